@@ -32,6 +32,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(_documents(spark, sf_dir), piece_model)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import ngram_join
+
+    return ngram_join.similarity_classes(_documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm import packing
 
