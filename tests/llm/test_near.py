@@ -81,3 +81,62 @@ def test_components(spark):
         label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {k: v for k, v in label.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
+def _edited_by_hand(rows):
+    import hashlib
+
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    out = []
+    for i, (d, t) in enumerate(order):
+        t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        e = t[: len(t) - half] + nxt[:half]
+        out.append((d, t, e, nxt))
+    return out
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 50])
+def test_edited_fingerprints(spark, ranges):
+    import hashlib
+
+    from tesserae.llm import fingerprints as fp
+
+    rows = [(i * 3, t) for i, t in enumerate(corpus(groups=3))] + [(None, "nobody knows"), (None, None), (9, "tied row here"), (9, "tied other row")]
+    got = fp.edited_fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), ranges).collect()
+    want = _edited_by_hand(rows)
+    shown = lambda r: (repr(r[0]), r[1], r[2])
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=shown) == sorted(((d, len(t), hashlib.sha256(e.encode()).hexdigest()) for d, t, e, _ in want), key=shown)
+    by = {(r["doc_id"], r["edited_sha256"]): r for r in got}
+    for d, t, e, nxt in want:
+        r = by[d, hashlib.sha256(e.encode()).hexdigest()]
+        a, b, c = (fp.fingerprint(x) for x in (t, e, nxt))
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (fp.shown(a), fp.shown(b))
+        assert (r["near_edited"], r["near_next"]) == (fp.likeness(a, b), fp.likeness(a, c))
+
+
+def test_edited_small_tables(spark):
+    from tesserae.llm import fingerprints as fp
+
+    assert fp.edited_fingerprints(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+    (one,) = fp.edited_fingerprints(spark.createDataFrame([(7, "abcd efgh ijkl mnop qrst")], "doc_id bigint, text string")).collect()
+    assert one["near_next"] == 1.0 and one["n_chars"] == 24
+
+
+def test_likeness_is_close_to_jaccard():
+    import numpy as np
+
+    from tesserae.llm import fingerprints as fp
+
+    rng = np.random.default_rng(0)
+    off = []
+    for share in (0.0, 0.2, 0.5, 0.8, 0.95, 1.0):
+        for n in (40, 200, 2000):
+            for _ in range(10):
+                both, a, b = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (int(n * share), n - int(n * share), n - int(n * share)))
+                x, y = np.concatenate([both, a]), np.concatenate([both, b])
+                off.append(fp.likeness(fp.packed(fp.sketch(x)), fp.packed(fp.sketch(y))) - len(both) / (len(both) + len(a) + len(b)))
+    assert abs(np.mean(off)) < 0.01 and np.sqrt(np.mean(np.square(off))) < 0.06
+    for bits in (1, 3, 8):
+        v = fp.sketch(rng.integers(0, 1 << 63, 500, dtype=np.uint64))
+        assert (fp.unpacked(fp.packed(v, bits), bits) == (v & np.uint64((1 << bits) - 1)).astype(np.int64)).all()
