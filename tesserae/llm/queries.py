@@ -32,6 +32,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(_documents(spark, sf_dir), piece_model)
 
 
+def op3_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import media_jpeg
+
+    return media_jpeg.stored_texts(_documents(spark, sf_dir))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm import ngram_join
 
