@@ -50,6 +50,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), piece_model)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import lang_id
+
+    return lang_id.identify(_documents(spark, sf_dir))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import quality
+
+    return quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm import fingerprints
 
