@@ -56,6 +56,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(_documents(spark, sf_dir))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import warc
+
+    return warc.archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm import quality
 
@@ -96,5 +102,22 @@ FROM keyed k LEFT JOIN gone g USING (key) GROUP BY doc_id
 """
 
 
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS data, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, max(page_id) AS first FROM p GROUP BY h),
+five AS (
+  SELECT page_id, h, first, strlen(data) AS n,
+         list_transform(range(32), lambda i: (
+           ((('0x' || substr(h || '00', 2 * ((5 * i) // 8)::INT + 1, 4))::BIGINT) >> (11 - (5 * i) % 8)::INT) & 31)) AS d
+  FROM p JOIN g USING (h)
+)
+SELECT page_id, n AS payload_bytes,
+       array_to_string(list_transform(d, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM five
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _LINE_SQL}
+    return {"op1_line_dedup": _LINE_SQL, "op7_warc": _WARC_SQL}
