@@ -234,14 +234,14 @@ class Scorer:
         return lang, score, rejected
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected."""
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """``docs`` with the language, its probability and whether it is rejected, under ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
-    schema = common.replaced(docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType()))
+    schema = common.replaced(docs.schema, *(StructField(n, k()) for n, k in zip(names, (StringType, DoubleType, BooleanType), strict=True)))
 
     def start():
         scorer = Scorer(shared.value)
-        return lambda piece: dict(zip(("lang_pred", "score", "rejected"), scorer(common.texts(piece, text)), strict=True))
+        return lambda piece: dict(zip(names, scorer(common.texts(piece, text)), strict=True))
 
     return common.map_slices(docs, schema, text, start)
 
@@ -256,5 +256,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def known_language(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents whose language is rejected."""
     model = train(docs.filter(~common.held_out(F.col("doc_id"))))
-    scored = predict(docs.withColumn("__text", F.col("text")), model, "__text")
-    return scored.filter(~F.col("rejected")).select(*docs.columns)
+    scored = predict(docs, model, names=("__lang", "__score", "__rejected"))
+    return scored.filter("NOT __rejected").select(*docs.columns)

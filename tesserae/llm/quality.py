@@ -196,15 +196,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     return fit(np.array(pos, np.float32).reshape(-1, WIDTH), np.array(unl, np.float32).reshape(-1, WIDTH))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT) -> DataFrame:
-    """``docs`` with score and predicted."""
+def score(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with the score and the prediction, under ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = common.replaced(docs.schema, StructField("score", DoubleType()), StructField("predicted", IntegerType()))
+    schema = common.replaced(docs.schema, StructField(names[0], DoubleType()), StructField(names[1], IntegerType()))
 
     def start():
         def kernel(piece):
             s = shared.value.scores(features(common.texts(piece, text)).astype(np.float64))
-            return {"score": s, "predicted": (s >= cut).astype(np.int32)}
+            return {names[0]: s, names[1]: (s >= cut).astype(np.int32)}
 
         return kernel
 
@@ -220,5 +220,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that are predicted 0."""
     model = train(docs, labels)
-    scored = score(docs.withColumn("__text", F.col("text")), model, "__text")
-    return scored.filter("predicted = 1").select(*docs.columns)
+    scored = score(docs, model, names=("__score", "__predicted"))
+    return scored.filter("__predicted = 1").select(*docs.columns)
