@@ -18,10 +18,9 @@ _B = np.diag([-1.0, 1.0, -1.0])
 def pose_of_homography(h: np.ndarray, cam: Camera) -> tuple[np.ndarray, np.ndarray]:
     """Rotation (polar decomposition) and translation of the tag's plane."""
     k = np.array([[-cam.fx, 0, cam.cx], [0, cam.fy, cam.cy], [0, 0, 1.0]])
-    # The camera looks along -z: the third row has the opposite sign.
-    m = np.linalg.inv(k @ np.diag([1.0, 1.0, -1.0])) @ h
+    m = np.linalg.inv(k) @ h
     scale = 1 / np.sqrt(np.linalg.norm(m[:, 0]) * np.linalg.norm(m[:, 1]))
-    m = m * (-scale if m[2, 2] * scale > 0 else scale)
+    m = m * (-scale if m[2, 2] > 0 else scale)  # in front of a camera that looks along -z
     u, _, vt = np.linalg.svd(np.stack([m[:, 0], m[:, 1], np.cross(m[:, 0], m[:, 1])], 1))
     half = cam.tagsize / 2
     return FLIP @ (u @ vt), m[:, 2] * np.array([half, -half, -half])

@@ -1,6 +1,6 @@
 """All registered queries of the marker engine, and their SQL."""
 
-from tesserae.plans import images
+from tesserae.plans import images, measurements
 
-QUERIES = {**images.QUERIES}
-SQL = {**images.SQL}
+QUERIES = {**images.QUERIES, **measurements.QUERIES}
+SQL = {**images.SQL, **measurements.SQL}

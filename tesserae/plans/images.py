@@ -296,7 +296,7 @@ def _detect(spark, sf_dir, **changes) -> DataFrame:
 _TRUTH = f"SELECT p_partkey AS image_id, '{scenes.FAMILY}' AS family, (p_partkey % {len(_SCENE.codes)})::INT AS id, 0 AS hamming FROM part"
 query("detect_scenes", _TRUTH)(lambda s, d: _detect(s, d).select("image_id", "family", "id", "hamming"))
 query("detect_scenes_decimated", _TRUTH)(lambda s, d: _detect(s, d, quad_decimate=2.0).select("image_id", "family", "id", "hamming"))
-_SCALE = "[5, 6, 7, 9][p_partkey % 4 + 1]"
+_SCALE = "[4, 5, 6, 7][p_partkey % 4 + 1]"
 query(
     "detect_corners",
     f"""SELECT p_partkey AS image_id, floor(({scenes.MARGIN} + p_partkey % 3 + ring) / 4)::BIGINT AS left_4, floor(({scenes.MARGIN} + p_partkey % 3 + side - ring) / 4)::BIGINT AS right_4

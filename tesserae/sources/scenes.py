@@ -9,14 +9,14 @@ from tesserae import families
 from tesserae.detector import FRAME
 
 FAMILY = "tag25h9"
-#: Odd, so that markers don't fall on the grid of threshold tiles (see the README on the causal window).
+#: Odd, so that markers don't fall on the grid of threshold tiles, and cells stay under two tiles: the causal window blanks flat runs of two (see README).
 MARGIN = 13
 GRAY = 128
 
 
 def scene(key: int, fam: families.Family) -> np.ndarray:
     """Id, scale, place and turn of the marker follow from the key."""
-    scale, turns = (5, 6, 7, 9)[key % 4], key % 7 % 4
+    scale, turns = (4, 5, 6, 7)[key % 4], key % 7 % 4
     tag = np.kron(np.rot90(families.render(fam, key % len(fam.codes)), turns), np.ones((scale, scale), np.uint8))
     n = len(tag) + 2 * MARGIN + 8
     im = np.full((n, n), GRAY, np.uint8)
