@@ -44,6 +44,7 @@ class _Reader:
 
 
 def _turned(h: np.ndarray, turns: int) -> np.ndarray:
+    """The homography after a turn by minus ``turns`` quarters, which is the convention that results follow."""
     c, s = [(1, 0), (0, 1), (-1, 0), (0, -1)][(4 - turns) % 4]
     return h @ np.array([[c, -s, 0], [s, c, 0], [0, 0, 1.0]])
 

@@ -49,7 +49,7 @@ def iterate(v: np.ndarray, p: np.ndarray, t: np.ndarray, r: np.ndarray, steps: i
         t = to_t @ ((f - eye) @ (p @ r.T)[:, :, None]).mean(0)[:, 0]
         q = (f @ (p @ r.T + t)[:, :, None])[:, :, 0]
         u, _, wt = np.linalg.svd((q - q.mean(0)).T @ centred)
-        r = u @ wt
+        r = u @ np.diag([1.0, 1.0, np.linalg.det(u @ wt)]) @ wt  # the points are coplanar: of the two signs, the rotation
         rest = ((eye - f) @ (p @ r.T + t)[:, :, None])[:, :, 0]
         error = float((rest * rest).sum())
     return r, t, error
