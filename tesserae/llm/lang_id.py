@@ -39,7 +39,8 @@ MOST_CHARS = 20_000
 EPOCHS, BATCH, RATE, SPARSE_RATE, DECAY = 8, 32, 2.0, 50.0, 1e-4
 LOST = 0.001
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters alone: word characters without digits and the numbers that aren't decimal, such as superscripts.
+_WORD = re.compile(r"[^\W\d_%s]+" % "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

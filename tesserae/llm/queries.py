@@ -119,5 +119,24 @@ FROM five
 """
 
 
+# CRC-32 byte by byte over the table of its polynomial; then slots, shards and places as windows.
+_SHARD_SQL = """
+WITH RECURSIVE tab(i, c, k) AS (
+  SELECT range::BIGINT, range::BIGINT, 0 FROM range(256)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM tab WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM tab WHERE k = 8),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, len(h) // 2 AS n, list_transform(range(len(h) // 2), lambda j:
+  (16 * (strpos('0123456789ABCDEF', h[2 * j + 1]) - 1) + strpos('0123456789ABCDEF', h[2 * j + 2]) - 1)::BIGINT) AS bytes FROM d),
+r AS (SELECT doc_id, (n + 8)::BIGINT AS size,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
+  (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % 4096)::INT AS vslot FROM b, crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, vslot % 24 AS shard,
+  row_number() OVER (PARTITION BY vslot % 24 ORDER BY vslot, doc_id, text_crc32, size) - 1 AS slot,
+  CASE WHEN vslot // 24 + 1 <= ceil(4096 / 25.0) THEN vslot % 24 ELSE 24 END AS grown_shard, vslot, 1 AS map_version
+FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _LINE_SQL, "op7_warc": _WARC_SQL}
+    return {"op1_line_dedup": _LINE_SQL, "op7_warc": _WARC_SQL, "op10_sharding": _SHARD_SQL}

@@ -50,6 +50,10 @@ def test_word_scores_don_t_hang_on_neighbours():
         assert sorted(bucket[owner == i]) == sorted(own)
 
 
+def test_letters_are_letters():
+    assert lang_id.words_of("x² ½ Ⅷ ٣ 12_a É日") == ["x", "a", "é日"]
+
+
 def test_quality_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = quality.classify(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
