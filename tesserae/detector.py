@@ -53,6 +53,7 @@ def detect_one(im: np.ndarray, config: DetectorConfig, readers: list[_Reader]) -
     """Detections in one image, reconciled and ordered by id."""
     if min(im.shape) < SMALLEST:
         return []
+    kernels.check_size(im.shape)
     k = config.decimation()
     small = kernels.decimate_three_halves(im) if k == 1.5 else kernels.decimate(im, int(k)) if k else im
     small = kernels.sigma_filter(np.ascontiguousarray(small), config)
@@ -89,6 +90,20 @@ def detect_one(im: np.ndarray, config: DetectorConfig, readers: list[_Reader]) -
     return [d for key in sorted(groups) for d in sorted(reconcile.greedy(groups[key]), key=reconcile.better_key)]
 
 
+def debug_images(im: np.ndarray, config: DetectorConfig) -> dict[str, np.ndarray]:
+    """The image after each step, by name."""
+    k = config.decimation()
+    out = {"source": im}
+    out["decimated"] = kernels.decimate_three_halves(im) if k == 1.5 else kernels.decimate(im, int(k)) if k else im
+    out["filtered"] = kernels.sigma_filter(np.ascontiguousarray(out["decimated"]), config)
+    out["threshold"] = kernels.threshold(out["filtered"], config.qtp.min_white_black_diff)
+    if config.qtp.deglitch:
+        out["deglitched"] = kernels.deglitch(out["threshold"])
+    rep, _ = kernels.components(out.get("deglitched", out["threshold"]))
+    out["components"] = (rep * 2654435761 >> 5 & 255).astype(np.uint8)
+    return out
+
+
 class Detector:
     def __init__(self, config: DetectorConfig, fams: list[tuple[families.Family, int]]):
         if not fams:
@@ -118,6 +133,22 @@ class Detector:
         return frames.select("image_id", "width", "height", "data").mapInArrow(run, DETECTION)
 
 
+    def debug(self, frames: DataFrame) -> DataFrame:
+        """Frames of every step (image_id, step, width, height, data), for writing aside."""
+        config = self.config
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for r in batch.to_pylist():
+                    im = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"])
+                    out = [{"image_id": r["image_id"], "step": n, "width": i.shape[1], "height": i.shape[0], "data": np.ascontiguousarray(i).tobytes()} for n, i in debug_images(im, config).items()]
+                    yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("image_id", pa.int64()), ("step", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("data", pa.binary())]))
+
+        return frames.select("image_id", "width", "height", "data").mapInArrow(run, "image_id bigint, step string, width int, height int, data binary")
+
+
 class DetectorBuilder:
     """Collects families and parameters."""
 

@@ -6,11 +6,12 @@ after the other; every step has the same result as its relational form.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 
 import numpy as np
 
-from tesserae.config import DetectorConfig, QuadParams
+from tesserae.config import ConfigError, DetectorConfig, QuadParams
 
 # Image steps.
 
@@ -72,6 +73,36 @@ def threshold(im: np.ndarray, least: int = 5, size: int = 4, full_blur: bool = F
     return out
 
 
+#: Points are kept at twice their coordinates, so sides stay below this.
+MOST_SIDE = 32768
+
+
+def check_size(shape: tuple[int, int]) -> None:
+    if max(shape) >= MOST_SIDE:
+        raise ConfigError(f"sides must be below {MOST_SIDE}")
+
+
+def bayer_threshold(im: np.ndarray, size: int = 32) -> np.ndarray:
+    """0 or 1 by the range of each of four phases over 3 x 3 tiles."""
+    h, w = im.shape
+    th, tw = -(-h // size), -(-w // size)
+    out = np.zeros(im.shape, np.uint8)
+    for py in (0, 1):
+        for px in (0, 1):
+            mn, mx = np.full((th + 2, tw + 2), 255), np.zeros((th + 2, tw + 2), int)
+            for ty in range(th):
+                for tx in range(tw):
+                    own = im[ty * size + py : (ty + 1) * size : 2, tx * size + px : (tx + 1) * size : 2]
+                    if own.size:
+                        mn[ty + 1, tx + 1], mx[ty + 1, tx + 1] = own.min(), own.max()
+            win = np.lib.stride_tricks.sliding_window_view
+            lo, hi = win(mn, (3, 3)).min((2, 3)), win(mx, (3, 3)).max((2, 3))
+            ys, xs = np.arange(py, h, 2), np.arange(px, w, 2)
+            at = np.ix_(ys // size, xs // size)
+            out[py::2, px::2] = im[py::2, px::2] > lo[at] + (hi[at] - lo[at]) // 2
+    return out
+
+
 def deglitch(t: np.ndarray) -> np.ndarray:
     """Closing of the inner pixels (see the relational form)."""
     win = np.lib.stride_tricks.sliding_window_view
@@ -286,6 +317,37 @@ def fit_quad(points: np.ndarray, im: np.ndarray, qtp: QuadParams, tag_width: int
     return np.array(corners), flipped
 
 
+def merged_corners(prefix: np.ndarray, qtp: QuadParams) -> tuple[int, int, int, int] | None:
+    """Another way to four corners: neighbouring runs of points are merged, the cheapest first, until four are left."""
+    n = len(prefix)
+    starts = list(range(n))
+    if n < 8:
+        return None
+    after = {s: (s + 1) % n for s in starts}
+    before = {s: (s - 1) % n for s in starts}
+
+    def entry(s: int) -> tuple[float, int, int, int]:
+        """Cost of merging the run at s with the next one, and what it was worked out for."""
+        nxt = after[s]
+        end = after[nxt]
+        return float(fit_lines(prefix, np.array([s]), np.array([(end - 1) % n]))["err"][0]), s, nxt, end
+
+    heap = [entry(s) for s in starts]
+    heapq.heapify(heap)
+    while len(after) > 4:
+        _, s, nxt, end = heapq.heappop(heap)
+        if after.get(s) != nxt or after.get(nxt) != end:
+            continue  # one of the two runs has changed since
+        after[s] = after.pop(nxt)
+        before[after[s]] = s
+        del before[nxt]
+        for q in (before[s], s):
+            heapq.heappush(heap, entry(q))
+    corners = tuple(sorted(after))
+    line = fit_lines(prefix, np.array(corners), np.array(corners[1:] + corners[:1]))
+    return corners if (line["mse"] <= qtp.max_line_fit_mse).all() else None
+
+
 def find_quads(im: np.ndarray, t: np.ndarray, config: DetectorConfig, tag_width: int, normal: bool, reversed_: bool) -> list[tuple[np.ndarray, bool]]:
     label, size = components(t)
     points = gradient_points(t, label, size)

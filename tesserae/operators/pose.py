@@ -26,6 +26,14 @@ def pose_of_homography(h: np.ndarray, cam: Camera) -> tuple[np.ndarray, np.ndarr
     return FLIP @ (u @ vt), m[:, 2] * np.array([half, -half, -half])
 
 
+def model_view(h: np.ndarray, cam: Camera) -> np.ndarray:
+    """4 x 4 matrix of the tag's pose for drawing."""
+    r, t = pose_of_homography(h, cam)
+    out = np.eye(4)
+    out[:3, :3], out[:3, 3] = r, t
+    return out
+
+
 def object_points(cam: Camera) -> np.ndarray:
     s = cam.tagsize / 2
     return np.array([(-s, s, 0), (s, s, 0), (s, -s, 0), (-s, -s, 0)])

@@ -299,6 +299,37 @@ def test_algebra():
     assert np.allclose(kernels.fit_homography(src, kernels.project(h, src)), h)
 
 
+def test_merging_finds_the_corners():
+    fam = families.family("tag25h9")
+    im = scene(fam, 4, 0, 7)
+    t = kernels.threshold(im)
+    p = kernels.gradient_points(t, *kernels.components(t))
+    own = max((p[(p[:, :2] == k).all(1)] for k in np.unique(p[:, :2], axis=0)), key=len)[:, 2:]
+    x, y, gx, gy = own.T
+    order = np.lexsort((gy, gx, x, y, kernels.slope_keys(x, y)))
+    prefix = kernels.prefix_moments(im, x[order], y[order])
+    corners = kernels.merged_corners(prefix, QuadParams())
+    at = np.stack([x[order], y[order]], 1)[list(corners)] / 2
+    box = np.array([(x.min(), y.min()), (x.max(), y.min()), (x.max(), y.max()), (x.min(), y.max())]) / 2
+    assert all(np.abs(at - c).sum(1).min() < 6 for c in box)
+
+
+def test_bayer_forms_agree(spark, images):
+    px = images[66, 37]
+    assert (as_image(pixels.threshold_bayer(px)) == kernels.bayer_threshold(as_image(px).astype(np.uint8))).all()
+
+
+def test_steps_and_limits(spark):
+    fam = families.family("tag25h9")
+    found = DetectorBuilder(DetectorConfig(quad_decimate=2.0, qtp=QuadParams(deglitch=True))).add_family(fam, 1).build()
+    steps = found.debug(generators.from_arrays(spark, {1: scene(fam, 3, 1, 6)})).collect()
+    assert [r["step"] for r in steps] == ["source", "decimated", "filtered", "threshold", "deglitched", "components"]
+    with pytest.raises(ConfigError):
+        kernels.check_size((10, 40000))
+    h = kernels.homography(np.array([(10, 10), (50, 10), (50, 50), (10, 50)], float))
+    assert pose.model_view(h, Camera(0.1, 100, 100, 30, 30)).shape == (4, 4)
+
+
 def test_quads_are_checked():
     square = np.array([(0, 0), (40, 0), (40, 40), (0, 40)], float)
     assert kernels.valid_quad(square, 8, QuadParams()) and not kernels.valid_quad(square, 50, QuadParams()) and not kernels.valid_quad(square[::-1], 8, QuadParams())
