@@ -16,6 +16,7 @@ from pyspark.sql.types import StructField, StructType
 SLICE_BYTES = 2 << 20
 
 _own_dir: str | None = None
+_paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tesserae/{name}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark).rstrip('/')}/tesserae/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -52,6 +54,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete every table that this process has written; for when no result is read any more."""
+    while _paths:
+        drop_path(spark, _paths.pop())
+
+
 def replaced(schema: StructType, *fields: StructField) -> StructType:
     """``schema`` with ``fields`` at its end; same-named input columns go."""
     names = {f.name.lower() for f in fields}

@@ -164,7 +164,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
 
 
 def sample(docs: DataFrame, text: str, lang: str, key: str, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """Training pairs: the first ``per_language`` of each language by a hash of the text.
+    """Training pairs: the first ``per_language`` of each language by a hash of id and text.
 
     Languages are counted first; each row then stays with a probability (from its
     hash) that leaves about twice as many as are wanted, so only that many reach the last step.
@@ -174,7 +174,7 @@ def sample(docs: DataFrame, text: str, lang: str, key: str, per_language: int =
     if not counts:
         return []
     share = F.create_map(*[F.lit(v) for r in counts for v in (r[0], min(1.0, 2.0 * per_language / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.lit(17), text), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.lit(17), key, text), F.lit(1 << 30)) / float(1 << 30)
     few = known.withColumn("__draw", draw).filter(F.col("__draw") < share[F.col(lang)])
     place = F.row_number().over(Window.partitionBy(lang).orderBy("__draw", key))
     return [(r[0], r[1]) for r in few.withColumn("__place", place).filter(F.col("__place") <= per_language).select(text, lang).orderBy("__draw").collect()]

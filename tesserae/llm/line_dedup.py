@@ -173,7 +173,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_cha
     with its least value: there the key's first line stays.
     """
     keys, shared, bits = repeated_keys(docs, text, min_docs, min_chars, bits)
-    few = keys.limit(most_broadcast + 1).count() <= most_broadcast
+    few = keys.count() <= most_broadcast  # of a written table
     schema = common.replaced(docs.schema, StructField(text, StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType()))
     if few and keep_first_by is None:
         known = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r["key"]) for r in keys.select("key").collect()))

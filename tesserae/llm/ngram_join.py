@@ -140,7 +140,8 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     members = common.written(met.select("set_key", "band", "hash").join(buckets, ["band", "hash"]), "ngram-members")
 
     wanted = members.select("set_key").distinct().join(distinct.select("set_key", "rep"), "set_key").select(F.col("rep").alias("__rep"))
-    if wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+    wanted = common.written(wanted, "ngram-wanted")
+    if wanted.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
 
     def sets_of():
@@ -227,6 +228,6 @@ def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     numbered = common.written(docs.withColumn("__row", F.monotonically_increasing_id()), "ngram-docs")
     classes = similarity_classes(numbered, "__row", text, **options)
     gone = common.written(classes.filter("class_id <> __row").select("__row"), "ngram-gone")
-    if gone.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+    if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)
     return numbered.join(gone, "__row", "left_anti").select(*docs.columns)

@@ -174,7 +174,7 @@ def fit(pos: np.ndarray, unl: np.ndarray, seed: int = 5) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
-    """Learn from the rows that aren't held out; both samples are taken in one scan by hashes of the id."""
+    """Learn from the rows that aren't held out; both samples are taken in one scan, by hashes of id and text."""
     spark = docs.sparkSession
     own = docs.select("doc_id", text).filter(~common.held_out(F.col("doc_id")))
     sure = (
@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     ids = [r["doc_id"] for r in sure.collect()]  # POSITIVES at most
     known = F.broadcast(spark.createDataFrame([(i, True) for i in ids], StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("__sure", BooleanType())])))
     share = min(1.0, UNLABELLED / max(1, docs.count() * 0.8))
-    draw = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < share
+    draw = F.pmod(F.xxhash64(F.lit(23), "doc_id", text), F.lit(1 << 30)) / float(1 << 30) < share
     picked = own.join(known, "doc_id", "left").withColumn("__sure", F.coalesce("__sure", F.lit(False))).withColumn("__draw", draw).filter("__sure OR __draw")
     schema = StructType([StructField("__sure", BooleanType()), StructField("__draw", BooleanType()), StructField("x", BinaryType())])
     made = common.map_slices(picked.select("__sure", "__draw", text), schema, text, lambda: lambda piece: {"x": [r.tobytes() for r in features(common.texts(piece, text))]})
