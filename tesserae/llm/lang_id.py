@@ -39,13 +39,17 @@ MOST_CHARS = 20_000
 EPOCHS, BATCH, RATE, SPARSE_RATE, DECAY = 8, 32, 2.0, 50.0, 1e-4
 LOST = 0.001
 UNKNOWN = "und"
-#: Letters alone: word characters without digits and the numbers that aren't decimal, such as superscripts.
-_WORD = re.compile(r"[^\W\d_%s]+" % "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()))
+_WORD = re.compile(r"[^\W\d_]+")
+#: Numbers that aren't decimal, such as superscripts: word characters, but no letters.
+_NUMBER = re.compile("[%s]+" % "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    words = _WORD.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for w in words for part in _NUMBER.split(w) if part]
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,12 +125,11 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     use = order[len(rows) // 10 :]
     y = np.array([label for _, label in rows])
 
-    def dense(own) -> np.ndarray:
-        out = np.zeros((len(own), BUCKETS), np.float32)
-        for r, i in enumerate(own):
-            bucket, share = rows[i][0]
-            out[r, bucket] = share
-        return out
+    def flat(own) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets and shares of some rows end to end, where each row begins, and the row of each."""
+        sizes = np.array([len(rows[i][0][0]) for i in own])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        return np.concatenate([rows[i][0][0] for i in own]), np.concatenate([rows[i][0][1] for i in own]), starts, np.repeat(np.arange(len(own)), sizes)
 
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     w = np.zeros((DIM, k), np.float32)
@@ -139,20 +142,22 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
         use = rng.permutation(use)
         for start in range(0, len(use), BATCH):
             own = use[start : start + BATCH]
-            a, t = dense(own), y[own]
-            hidden = a @ emb
+            t, (bucket, share, starts, row) = y[own], flat(own)
+            hidden = np.add.reduceat(emb[bucket] * share[:, None], starts)
             p = _softmax(hidden @ w + bias)
             p[np.arange(len(t)), t] -= 1
             p *= (weight[t] / len(t))[:, None]
             grad = p @ w.T
             w -= rate * (hidden.T @ p + DECAY * w)
             bias -= rate * p.sum(0)
-            touched = np.flatnonzero(a.any(0))
-            emb[touched] -= rate * SPARSE_RATE * (a[:, touched].T @ grad)
+            push = (grad * (rate * SPARSE_RATE))[row] * share[:, None]
+            for d in range(DIM):
+                emb[:, d] -= np.bincount(bucket, weights=push[:, d], minlength=BUCKETS)
     table = emb @ w
     if not len(apart):
         apart = use
-    logits = np.concatenate([dense(apart[i : i + 256]) @ table for i in range(0, len(apart), 256)]) + bias
+    bucket, share, starts, _ = flat(apart)
+    logits = np.add.reduceat(table[bucket] * share[:, None], starts) + bias
     truth = y[apart]
     unsure = 1 / (len(truth) + 2)  # so that a sample without an error doesn't call for certainty
     heat = min(np.geomspace(0.02, 10, 80), key=lambda h: _loss(_softmax(logits / h), truth, unsure))
@@ -188,7 +193,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 class Scorer:
     """Scores texts; keeps the logits of words seen, up to a bound."""
 
-    def __init__(self, model: Model, most_words: int = 1 << 17):
+    def __init__(self, model: Model, most_words: int = 1 << 16):
         self.model, self.most = model, most_words
         self._empty()
 
