@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -160,10 +161,17 @@ def edited_fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame
 
 
 def _range_of(column, cuts: list[int]):
-    """Number of cuts below the value (binary search written out as an array search)."""
+    """Number of cuts below the value: first among every so many cuts, then in between."""
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < column))
+    step = max(1, math.isqrt(len(cuts)))
+    below = lambda a: F.size(F.filter(a, lambda c: c < column))
+    parts = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    lits = lambda p: F.array(*[F.lit(c) for c in p]).cast("array<bigint>")
+    full = below(lits([p[-1] for p in parts if len(p) == step]))
+    if len(parts[-1]) == step:
+        parts.append([])
+    return full * step + below(F.element_at(F.array(*map(lits, parts)), full + 1))
 
 
 def _edit_rows(batches):
