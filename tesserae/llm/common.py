@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Text bytes that a kernel works on at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _own_dir: str | None = None
 _paths: list[str] = []
@@ -113,6 +113,8 @@ def map_slices(df: DataFrame, schema: StructType, column: str, start: Callable[[
                     for f in target
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=target.names)
+        del kernel
+        pa.default_memory_pool().release_unused()  # workers live on and serve other tasks
 
     return df.mapInArrow(run, schema)
 

@@ -35,7 +35,7 @@ THRESHOLD = 0.8
 RECALL = 0.999
 MOST_HASHES = 144
 #: Members and shingles of a block.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 MOST_BROADCAST = 1 << 20
 _COLUMNS = 4096
 

@@ -28,8 +28,7 @@ from tesserae.llm import common
 MARK = "▁"
 #: Chunks longer than this are segmented where they stand and not kept.
 LONG_CHUNK = 64
-TABLE_CHARS = 4 << 20
-#: Calls of the library take about so many ids at once.
+TABLE_CHARS = 1 << 20
 _RUNS = re.compile(r" *[^ ]+| +$")
 
 

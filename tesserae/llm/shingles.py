@@ -11,7 +11,7 @@ import xxhash
 
 WORDS = 5
 #: Distinct words whose hashes a task keeps.
-_KEPT_WORDS = 1 << 17
+_KEPT_WORDS = 1 << 16
 
 _known: dict[str, int] = {}
 
