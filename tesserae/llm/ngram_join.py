@@ -13,7 +13,8 @@
 4. Components of those edges are the classes.
 
 Defined cases: a text without words (null, empty, blank) has no shingles, links to nothing
-and is a class of its own; a text with fewer than five words has one shingle;
+and is a class of its own (with ``wordless_together``, as in :func:`one_of_each`, all such texts
+are copies of each other and form one class); a text with fewer than five words has one shingle;
 repeated rows are copies of each other, each with a row in the result; null keys are allowed,
 and a class with only null keys has a null id; other columns are not read.
 """
@@ -110,8 +111,11 @@ _SIGNED = StructType([StructField("set_key", BinaryType()), StructField("n_shing
 _LINKS = StructType([StructField("set_key", BinaryType()), StructField("docs", LongType()), StructField("sets", LongType()), StructField("tied", BinaryType())])
 
 
-def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, words: int = shingles.WORDS, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: key, class_id (least key of the class), n_links (other documents at the threshold), n_copies (documents with its shingle set, with itself)."""
+def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, words: int = shingles.WORDS, block: int = BLOCK, wordless_together: bool = False) -> DataFrame:
+    """One row per row of ``docs``: key, class_id (least key of the class), n_links (other documents at the threshold), n_copies (documents with its shingle set, with itself).
+
+    With ``wordless_together`` the empty shingle set is a set like any other, equal to itself.
+    """
     bands, rows = choose_bands(threshold, recall)
     docs = docs.select(key, text)
 
@@ -120,7 +124,7 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
             sets = [shingles.shingle_set(t, words) for t in common.texts(piece, text)]
             full = [s for s in sets if len(s)]
             made = iter(band_hashes(full, bands, rows).view(np.int64).tolist() if full else [])
-            return {"set_key": [set_key(s) if len(s) else None for s in sets], "n_shingles": [len(s) for s in sets], "bands": [next(made) if len(s) else None for s in sets]}
+            return {"set_key": [set_key(s) if len(s) or wordless_together else None for s in sets], "n_shingles": [len(s) for s in sets], "bands": [next(made) if len(s) else None for s in sets]}
 
         return kernel
 
@@ -224,9 +228,9 @@ def _verifier(threshold: float):
 
 
 def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of every class: the first by row number."""
+    """``docs`` with one row of every class: the first by row number. Texts without words are one class."""
     numbered = common.written(docs.withColumn("__row", F.monotonically_increasing_id()), "ngram-docs")
-    classes = similarity_classes(numbered, "__row", text, **options)
+    classes = similarity_classes(numbered, "__row", text, wordless_together=True, **options)
     gone = common.written(classes.filter("class_id <> __row").select("__row"), "ngram-gone")
     if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)

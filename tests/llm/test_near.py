@@ -72,6 +72,17 @@ def test_repeated_and_null_keys(spark):
     assert ngram_join.similarity_classes(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
 
+def test_one_of_texts_without_words(spark):
+    texts = ["", "a b c d e f", None, " ", "", "\n\n", "a b c d e f", "", "other words stand here now ok"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    kept = ngram_join.one_of_each(docs).collect()
+    assert sorted((r["text"] or "").strip() for r in kept) == ["", "a b c d e f", "other words stand here now ok"]
+    got = {r["doc_id"]: r for r in ngram_join.similarity_classes(docs, wordless_together=True).collect()}
+    sets = shingle_sets(texts)
+    same = [[j for j in range(len(texts)) if sets[i] == sets[j]] for i in range(len(texts))]  # two empty sets are equal
+    assert [(got[i]["class_id"], got[i]["n_links"], got[i]["n_copies"]) for i in range(len(texts))] == [(min(s), len(s) - 1, len(s)) for s in same]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(100)] + [(500, 501 + i) for i in range(50)]
