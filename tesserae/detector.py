@@ -163,6 +163,8 @@ class DetectorBuilder:
     def add_family(self, fam: families.Family | str, bits_corrected: int = 2) -> DetectorBuilder:
         fam = families.family(fam) if isinstance(fam, str) else fam
         fam.need_codes()
+        if not fam.geometric:
+            raise families.FamilyError(f"{fam.name} has no sound geometry, so only its codewords can be looked up")
         if not 0 <= bits_corrected <= 3:
             raise families.FamilyError("from 0 to 3 bits can be corrected")
         self.families[fam.name] = (fam, bits_corrected)

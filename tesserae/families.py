@@ -1,8 +1,8 @@
 """Marker families: geometry, codes, and DataFrames of both.
 
-The three small families come with their codes.  Larger ones (hundreds of codes and more) get
+All families but 48h12, 49h12 and 52h13 come with their codes.  Those three get
 theirs from a file of hexadecimal numbers, one a line in order of id - the form in which
-they are published - with :func:`load_family`, or from any list with
+they are published - with :func:`load_family`, or any family from any list with
 :func:`custom_family`.  Bits lie in four-fold symmetry: the first quarter is stated
 and turned three times.
 """
@@ -14,6 +14,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserae import family_codes
 from tesserae.config import FamilyError
 
 # Published codes in order of id.
@@ -35,6 +36,9 @@ _CIRCLE21H7 = """
 # Bits (x, y) of the first quarter where no ring rule gives them.
 _CIRCLE_21 = [(1, -2), (2, -2), (3, -2), (1, 1), (2, 1)]
 _STANDARD_41 = [(-2, -2), (-1, -2), (0, -2), (1, -2), (2, -2), (3, -2), (4, -2), (5, -2), (1, 1), (2, 1)]
+_CIRCLE_49 = [(1, -3), (2, -3), (3, -3), (-1, -2), (0, -2), (1, -2), (2, -2), (3, -2), (4, -2), (5, -2), (1, 1), (2, 1)]
+_CUSTOM_48 = [(-2, -2), (-1, -2), (0, -2), (1, -2), (2, -2), (3, -2), (4, -2), (5, -2), (6, -2), (1, 1), (2, 1), (3, 1)]
+_STANDARD_52 = [*_CUSTOM_48, (2, 2)]
 
 
 @dataclass(frozen=True)
@@ -81,14 +85,14 @@ def _known() -> dict[str, Family]:
     every = [
         _square("tag16h5", 4, 5, _TAG16H5),
         _square("tag25h9", 5, 9, _TAG25H9),
-        _square("tag36h10", 6, 10),
-        _square("tag36h11", 6, 11),
+        _square("tag36h10", 6, 10, family_codes.TAG36H10),
+        _square("tag36h11", 6, 11, family_codes.TAG36H11),
         Family("tagCircle21h7", _turned(_CIRCLE_21, 5, (2, 2)), 5, 9, True, 7, _parse(_CIRCLE21H7)),
         # Its stated geometry doesn't hold its own bits.
-        Family("tagStandard41h12", _turned(_STANDARD_41, 5, (2, 2)), 8, 10, False, 12, geometric=False),
-        Family("tagCircle49h12", (), 5, 11, True, 12, geometric=False),
-        Family("tagCustom48h12", (), 6, 10, True, 12, geometric=False),
-        Family("tagStandard52h13", (), 6, 10, True, 13, geometric=False),
+        Family("tagStandard41h12", _turned(_STANDARD_41, 5, (2, 2)), 8, 10, False, 12, _parse(family_codes.STANDARD41H12), geometric=False),
+        Family("tagCircle49h12", _turned(_CIRCLE_49, 5, (2, 2)), 5, 11, True, 12),
+        Family("tagCustom48h12", _turned(_CUSTOM_48, 6), 6, 10, True, 12),
+        Family("tagStandard52h13", _turned(_STANDARD_52, 6), 6, 10, True, 13),
     ]
     return {f.name: f for f in every}
 

@@ -71,6 +71,28 @@ def test_families_without_codes(tmp_path):
     assert families.custom_family("x", [1, 2], families.family("tag16h5")).name == "tag16h5 (modified)"
 
 
+def test_geometry_and_codes_of_large_families(spark):
+    for name, bits, codes in (("tag36h10", 36, 2320), ("tag36h11", 36, 587), ("tagStandard41h12", 41, 2115), ("tagCircle49h12", 49, 0), ("tagCustom48h12", 48, 0), ("tagStandard52h13", 52, 0)):
+        fam = families.family(name)
+        assert len(fam.bits) == len(set(fam.bits)) == bits and len(set(fam.codes or ())) == codes
+        ring = (fam.total_width - fam.width_at_border) // 2
+        assert fam.geometric == all(0 <= v + ring < fam.total_width for at in fam.bits for v in at)
+    assert families.min_distance(families.family("tag36h11")) == 11
+    with pytest.raises(FamilyError):
+        DetectorBuilder().add_family("tagStandard41h12")
+    rng = np.random.default_rng(3)
+    for name in ("tag36h11", "tagCircle49h12", "tagCustom48h12", "tagStandard52h13"):
+        fam = families.family(name)
+        if fam.codes is None:
+            fam = families.custom_family("", [int(c) for c in rng.integers(0, 1 << len(fam.bits), 20)], fam)
+        for turn in range(4):
+            (d,) = detect_one(scene(fam, 7 + turn, turn, 7), DetectorConfig(), [_Reader(fam, 1)])
+            assert (d["id"], d["hamming"]) == (7 + turn, 0)
+        words = [families.rotations(c, len(fam.bits))[i % 4] ^ (1 << i % 30) for i, c in enumerate(fam.codes)]
+        got = {r["k"]: (r["id"], r["hamming"]) for r in decode.lookup(spark.createDataFrame(list(enumerate(words)), "k bigint, word bigint"), fam, key="k").collect()}
+        assert got == {i: (i, 1) for i in range(len(words))}
+
+
 def test_render_transposes_on_request():
     fam = families.family("tag16h5")
     assert (families.render(fam, 3, transpose=True) == families.render(fam, 3).T).all()
