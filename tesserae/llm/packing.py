@@ -1,10 +1,11 @@
 """Packing into padded batches with optimal length buckets.
 
 The histogram of lengths over all documents is the input of a dynamic
-programme that chooses the bucket boundaries with the least padding.  Lengths
-up to :data:`EXACT` count singly, longer ones on a grid of relative steps of
-1 / :data:`STEPS`, so the histogram on the driver is bounded (a few thousand
-rows for any corpus) and its error too.  Inside a bucket every document is padded
+programme that chooses the bucket boundaries with the least padding.  Up to
+:data:`MOST_LENGTHS` distinct lengths all count singly.  Beyond, lengths up to
+:data:`EXACT` do, longer ones on a grid of relative steps of 1 / :data:`STEPS`,
+each cell with the greatest length in it, so the histogram on the driver is bounded
+(a few thousand rows for any corpus) and its error too.  Inside a bucket every document is padded
 to the boundary, and a batch holds as many as fit the token budget, or one.
 
 Places inside a bucket are counted in lanes (by hash) and offset by the rows of
@@ -28,6 +29,8 @@ from tesserae.llm import common
 
 EXACT = 1024
 STEPS = 64
+#: Distinct lengths that the programme takes as they are.
+MOST_LENGTHS = 4096
 LANES = 64
 
 
@@ -69,14 +72,17 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     return sorted(set(found))
 
 
-def pack(counted: DataFrame, length: str = "n_tokens", buckets: int = 16, budget: int = 65536, key: str = "doc_id") -> DataFrame:
+def pack(counted: DataFrame, length: str = "n_tokens", buckets: int = 16, budget: int = 65536, key: str = "doc_id", most_lengths: int = MOST_LENGTHS) -> DataFrame:
     """``counted`` with bucket, bucket_length, batch (in the bucket), place (in the batch), batch_docs and padding.
 
     ``counted`` must not change between reads (pass a written table).
     """
     spark = counted.sparkSession
-    rows = counted.drop("bucket", "bucket_length", "batch", "place", "padding").withColumn("__len", grid(F.coalesce(F.col(length), F.lit(0))))
-    histogram = rows.groupBy("__len").agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = counted.drop("bucket", "bucket_length", "batch", "place", "padding").withColumn("__len", F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(1)).cast("bigint"))
+    single = rows.groupBy("__len").agg(F.count(F.lit(1)).alias("n"))
+    histogram = single.limit(most_lengths + 1).collect()
+    if len(histogram) > most_lengths:
+        histogram = single.groupBy(grid(F.col("__len"))).agg(F.max("__len").alias("__len"), F.sum("n").alias("n")).select("__len", "n").collect()
     histogram.sort(key=lambda r: r["__len"])
     bounds = boundaries(np.array([r["__len"] for r in histogram], np.int64), np.array([r["n"] for r in histogram], np.int64), buckets)
     if not bounds:

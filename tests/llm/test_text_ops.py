@@ -97,6 +97,24 @@ def test_boundaries_are_optimal():
     assert packing.boundaries(np.array([], int), np.array([], int), 3) == []
 
 
+def test_packing_bounds_are_real_lengths(spark):
+    rng = np.random.default_rng(5)
+    tokens = [int(n) for n in rng.integers(900, 9000, 400)]
+    rows = spark.createDataFrame(list(enumerate(tokens)), "doc_id bigint, n_tokens bigint")
+    lengths, counts = np.unique(tokens, return_counts=True)
+    exact = packing.boundaries(lengths, counts, 4)
+    least = {}
+    for most in (4096, 10):
+        got = packing.pack(rows, buckets=4, budget=1 << 14, most_lengths=most).collect()
+        bounds = {r["bucket_length"] for r in got}
+        assert bounds <= set(tokens) and all(r["padding"] >= 0 for r in got)
+        assert bounds == {max(r["n_tokens"] for r in got if r["bucket_length"] == b) for b in bounds}
+        least[most] = sum(r["padding"] for r in got)
+        if most == 4096:
+            assert bounds == set(exact)
+    assert least[4096] <= least[10]
+
+
 def test_packing(spark):
     rng = random.Random(2)
     rows = [(i % 150, rng.choice([0, 1, 5, 5, 5, 300, 5000, 100_000])) for i in range(200)] + [(None, None)]
