@@ -14,6 +14,8 @@ from pyspark.sql.types import StructField, StructType
 
 #: Text bytes that a kernel works on at a time.
 SLICE_BYTES = 1 << 20
+#: A key with more than 1 / HOT of all rows is hot, so there are fewer than HOT of them at any size of data.
+HOT = 4096
 
 _own_dir: str | None = None
 _paths: list[str] = []
@@ -22,13 +24,18 @@ _paths: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster; only where that is unset
-    (local tests) a temporary folder of this machine serves.
+    ``spark.checkpoint.dir`` (or the context's checkpoint folder) names it on a cluster. Only on a local
+    master, as in tests, a temporary folder of this machine serves; elsewhere its lack is an error.
     """
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = folder.get() if folder.isDefined() else None
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="tesserae-")
     return _own_dir
@@ -60,6 +67,19 @@ def release(spark: SparkSession) -> None:
         drop_path(spark, _paths.pop())
 
 
+def join_skewed(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row a key and in ``count`` the number of ``rows`` with it.
+
+    Hot keys - more than 1 / :data:`HOT` of ``total`` rows - are fewer than HOT, so their rows of ``table`` are
+    broadcast and ``rows`` of a hot key never meet in one task. All others meet by a shuffle.
+    ``rows`` and ``table`` are read twice. Rows whose key is null or stands in no row of ``table`` go.
+    """
+    hot = F.col(count) * HOT > F.lit(total)
+    at_once = rows.join(F.broadcast(table.filter(hot)), key)
+    others = rows.join(F.broadcast(table.filter(hot).select(key)), key, "left_anti").join(table.filter(~hot), key)
+    return at_once.unionByName(others)
+
+
 def replaced(schema: StructType, *fields: StructField) -> StructType:
     """``schema`` with ``fields`` at its end; same-named input columns go."""
     names = {f.name.lower() for f in fields}

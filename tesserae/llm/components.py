@@ -14,7 +14,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     Every round links neighbours straight to their least neighbour, so the number of rounds
     grows with the logarithm of a component's size.  Rounds are written to the shared
     folder; two counts a round are all that the driver reads.  Only minima are
-    taken per node, which Spark combines before the shuffle.
+    taken per node, which Spark combines before the shuffle; edges meet their node's minimum by
+    :func:`common.join_skewed`, so the edges of a star's centre are never in one task.
     """
     spark = edges.sparkSession
     now = common.written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
@@ -22,14 +23,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     for _ in range(most_rounds):
         before, old = now.inputFiles(), state
         both = now.union(now.select(F.col("v"), F.col("u")))  # large star: higher neighbours to the least one
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))  # small star: lower neighbours to the least one
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = common.join_skewed(both, least, "u", "n", 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = common.written(large, "stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))  # small star: lower neighbours to the least one
+        small = common.join_skewed(large, least, "u", "n", state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = common.written(small.filter("u <> v").distinct(), "edges")
         state = _state(now)
-        if before:
-            common.drop_path(spark, before[0].rsplit("/", 1)[0])
+        for files in (before, large.inputFiles()):
+            if files:
+                common.drop_path(spark, files[0].rsplit("/", 1)[0])
         if state == old:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select("v", "v").distinct())
     raise RuntimeError("components did not settle")

@@ -20,7 +20,8 @@ A-Z in lower case.
 Defined cases: a null text stays null and counts as one empty line, as does an
 empty text; keys shorter than ``min_chars`` code points never count; each row is
 a document of its own, also where rows or ids repeat; a line that stands twice in
-one document counts once; input columns named n_lines or n_dropped are replaced.
+one document counts once; input columns named like ``names`` (n_lines and n_dropped) are replaced; with
+``keep_first_by`` a null is less than any value, and equal values are told apart by the row's number.
 """
 
 from __future__ import annotations
@@ -37,13 +38,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from tesserae.llm import common
+from tesserae.llm.bloom import LEAST_BITS, MOST_BITS, PARTS, WIDE, has, positions, put
 
 EDGE = b" \t\n\x0b\x0c\r"
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
-PROBES = 2
-PARTS = 8
-#: Tasks whose tables are merged in one step.
-WIDE = 256
 MOST_BROADCAST = 1 << 20
 #: Keys that a task counts before it passes them on.
 HELD = 1 << 18
@@ -62,30 +59,15 @@ def key_hashes(data: bytes, min_chars: int) -> set[bytes]:
     return {xxhash.xxh3_128_digest(k) for k in set(line_keys(data)) if _long_enough(k, min_chars)}
 
 
-def _positions(digests: list[bytes], bits: int) -> np.ndarray:
-    """Bit numbers of each hash: shape (hashes, PROBES)."""
-    words = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
-    return np.stack([(words[:, i] >> np.uint64(5)) & np.uint64(bits - 1) for i in range(PROBES)], 1).astype(np.int64)
-
-
-def _has(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool).all(1)
-
-
-def _put(table: np.ndarray, at: np.ndarray) -> None:
-    at = at.ravel()
-    np.bitwise_or.at(table, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
-
-
 def fill(once: np.ndarray, twice: np.ndarray, per_document: list[set[bytes]], bits: int) -> None:
     """Enter the key hashes of some documents."""
     seen = Counter(h for s in per_document for h in s)
     if not seen:
         return
-    at = _positions(list(seen), bits)
-    again = np.fromiter((n > 1 for n in seen.values()), bool, len(seen)) | _has(once, at)
-    _put(once, at)
-    _put(twice, at[again])
+    at = positions(list(seen), bits)
+    again = np.fromiter((n > 1 for n in seen.values()), bool, len(seen)) | has(once, at)
+    put(once, at)
+    put(twice, at[again])
 
 
 def _merge(once: np.ndarray, twice: np.ndarray, other_once: np.ndarray, other_twice: np.ndarray) -> None:
@@ -150,7 +132,7 @@ def repeated_keys(docs: DataFrame, text: str = "text", min_docs: int = 2, min_ch
             for piece in common.slices(batch, text):
                 own = [h for x in common.raw(piece, text) for h in key_hashes(x or b"", min_chars)]
                 if own:
-                    found = _has(shared.value, _positions(own, bits))
+                    found = has(shared.value, positions(own, bits))
                     held.update(h for h, ok in zip(own, found, strict=True) if ok)
                 if len(held) > HELD:
                     yield _counts(held)
@@ -165,8 +147,8 @@ def repeated_keys(docs: DataFrame, text: str = "text", min_docs: int = 2, min_ch
     return common.written(found, "line-keys"), shared, bits
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first_by: str | None = None, bits: int | None = None, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """``docs`` with repeated lines gone from ``text``, and n_lines and n_dropped.
+def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first_by: str | None = None, bits: int | None = None, most_broadcast: int = MOST_BROADCAST, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with repeated lines gone from ``text``, and the numbers of all and of dropped lines under ``names``.
 
     Keys in at least ``min_docs`` documents lose all their lines, or, with
     ``keep_first_by`` (a column, unique by row), all but those of the document
@@ -174,13 +156,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_cha
     """
     keys, shared, bits = repeated_keys(docs, text, min_docs, min_chars, bits)
     few = keys.count() <= most_broadcast  # of a written table
-    schema = common.replaced(docs.schema, StructField(text, StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType()))
+    schema = common.replaced(docs.schema, StructField(text, StringType()), *(StructField(n, LongType()) for n in names))
     if few and keep_first_by is None:
         known = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r["key"]) for r in keys.select("key").collect()))
 
         def start():
             drop = known.value
-            return lambda piece: _kept(common.raw(piece, text), lambda i, h, first: h in drop, text, min_chars)
+            return lambda piece: _kept(common.raw(piece, text), lambda i, h, first: h in drop, text, min_chars, names)
 
         return common.map_slices(docs, schema, text, start)
 
@@ -197,7 +179,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_cha
                 for i, x in enumerate(common.raw(piece, text)):
                     own_keys = list(key_hashes(x or b"", min_chars))
                     if own_keys:
-                        for h, ok in zip(own_keys, _has(shared.value, _positions(own_keys, bits)), strict=True):
+                        for h, ok in zip(own_keys, has(shared.value, positions(own_keys, bits)), strict=True):
                             if ok:
                                 at.append(i)
                                 found.append(h)
@@ -222,14 +204,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_cha
             def gone(i, h, seen):
                 return h in known[i] and not (known[i][h] and h not in seen)
 
-            return _kept(common.raw(piece, text), gone, text, min_chars)
+            return _kept(common.raw(piece, text), gone, text, min_chars, names)
 
         return kernel
 
     return common.map_slices(joined, schema, text, start_joined)
 
 
-def _kept(documents: list[bytes | None], gone, text: str, min_chars: int) -> dict:
+def _kept(documents: list[bytes | None], gone, text: str, min_chars: int, names: tuple[str, str]) -> dict:
     kept, n_lines, n_dropped = [], [], []
     for i, data in enumerate(documents):
         lines = (data or b"").split(b"\n")
@@ -245,4 +227,4 @@ def _kept(documents: list[bytes | None], gone, text: str, min_chars: int) -> dic
         n_lines.append(len(lines))
         n_dropped.append(len(lines) - len(stay))
         kept.append(None if data is None else b"\n".join(stay).decode())
-    return {text: kept, "n_lines": n_lines, "n_dropped": n_dropped}
+    return {text: kept, names[0]: n_lines, names[1]: n_dropped}

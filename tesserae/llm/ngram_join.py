@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from tesserae.llm import common, components, shingles
+from tesserae.llm import bloom, common, components, shingles
 
 THRESHOLD = 0.8
 RECALL = 0.999
@@ -111,7 +111,7 @@ _SIGNED = StructType([StructField("set_key", BinaryType()), StructField("n_shing
 _LINKS = StructType([StructField("set_key", BinaryType()), StructField("docs", LongType()), StructField("sets", LongType()), StructField("tied", BinaryType())])
 
 
-def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, words: int = shingles.WORDS, block: int = BLOCK, wordless_together: bool = False) -> DataFrame:
+def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, words: int = shingles.WORDS, block: int = BLOCK, wordless_together: bool = False, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """One row per row of ``docs``: key, class_id (least key of the class), n_links (other documents at the threshold), n_copies (documents with its shingle set, with itself).
 
     With ``wordless_together`` the empty shingle set is a set like any other, equal to itself.
@@ -143,10 +143,14 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     )
     members = common.written(met.select("set_key", "band", "hash").join(buckets, ["band", "hash"]), "ngram-members")
 
+    # Texts are read again for the full sets: those of the least key of each set that is in a bucket.
     wanted = members.select("set_key").distinct().join(distinct.select("set_key", "rep"), "set_key").select(F.col("rep").alias("__rep"))
     wanted = common.written(wanted, "ngram-wanted")
-    if wanted.count() <= MOST_BROADCAST:
-        wanted = F.broadcast(wanted)
+    if (many := wanted.count()) <= most_broadcast:
+        chosen = docs.join(F.broadcast(wanted), F.col(key).eqNullSafe(F.col("__rep")), "left_semi")
+    else:  # a bit table instead; the few rows that it lets in besides have no place in a bucket, or are there once already
+        table = bloom.table_of(wanted.select(bloom.digest_of(F.col("__rep")).alias("d")), "d", bloom.bits_for(many))
+        chosen = bloom.flagged(docs, bloom.digest_of(F.col(key)), table, "__wanted").filter("__wanted")
 
     def sets_of():
         def kernel(piece):
@@ -155,7 +159,7 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
         return kernel
 
-    full = common.map_slices(docs.join(wanted, F.col(key).eqNullSafe(F.col("__rep")), "left_semi"), StructType([StructField("set_key", BinaryType()), StructField("shingles", BinaryType())]), text, sets_of)
+    full = common.map_slices(chosen, StructType([StructField("set_key", BinaryType()), StructField("shingles", BinaryType())]), text, sets_of)
     full = full.join(distinct.select("set_key", "copies", "bands"), "set_key")
     own = F.pmod(F.xxhash64(F.lit(3), "set_key"), F.col("blocks")).cast("int")
     placed = (
@@ -169,16 +173,15 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     per_set = links.groupBy("set_key").agg(F.sum("docs").alias("docs"))
     label = components.components(links.filter("set_key <> tied"), "set_key", "tied")
-    classes = distinct.select("set_key", "rep", "copies").join(label, F.col("set_key") == F.col("node"), "left").join(per_set, "set_key", "left")
-    classes = classes.select("set_key", "rep", "copies", F.coalesce("label", "set_key").alias("label"), F.coalesce("docs", F.lit(0)).alias("docs"))
-    ids = classes.groupBy("label").agg(F.min("rep").alias("class_id"))
-    classes = classes.join(ids, "label").select("set_key", "class_id", (F.col("docs") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    return signed.select(key, "set_key").join(classes, "set_key", "left").select(
-        key,
-        F.when(F.col("set_key").isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"),
-    )
+    joined = distinct.select("set_key", "rep", "copies").join(label, F.col("set_key") == F.col("node"), "left").join(per_set, "set_key", "left")
+    joined = common.written(joined.select("set_key", "rep", F.col("copies").alias("n_copies"), F.coalesce("label", "set_key").alias("label"), F.coalesce("docs", F.lit(0)).alias("docs")), "ngram-labels")
+    sets, rows_with = joined.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_copies"), F.lit(0))).first()
+    ids = joined.groupBy("label").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("__members"))
+    classes = common.join_skewed(joined, ids, "label", "__members", sets)
+    classes = common.written(classes.select("set_key", "class_id", (F.col("docs") + F.col("n_copies") - 1).cast("bigint").alias("n_links"), "n_copies"), "ngram-classes")
+    alone = signed.filter("set_key IS NULL").select(key, F.col(key).alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
+    found = common.join_skewed(signed.filter("set_key IS NOT NULL").select(key, "set_key"), classes, "set_key", "n_copies", rows_with)
+    return found.select(key, "class_id", "n_links", "n_copies").unionByName(alone)
 
 
 def _verifier(threshold: float):
@@ -227,11 +230,15 @@ def _verifier(threshold: float):
     return run
 
 
-def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of every class: the first by row number. Texts without words are one class."""
-    numbered = common.written(docs.withColumn("__row", F.monotonically_increasing_id()), "ngram-docs")
-    classes = similarity_classes(numbered, "__row", text, wordless_together=True, **options)
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", most_broadcast: int = MOST_BROADCAST, **options) -> DataFrame:
+    """``docs`` with one row of every class: that with the least key, of equal keys the least hash of the text.
+
+    Texts without words are one class. Rows with equal key and text are told apart by number, and one stays.
+    """
+    row = F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("n"))
+    numbered = common.written(docs.withColumn("__row", row), "ngram-docs")
+    classes = similarity_classes(numbered, "__row", text, wordless_together=True, most_broadcast=most_broadcast, **options)
     gone = common.written(classes.filter("class_id <> __row").select("__row"), "ngram-gone")
-    if gone.count() <= MOST_BROADCAST:
+    if gone.count() <= most_broadcast:
         gone = F.broadcast(gone)
     return numbered.join(gone, "__row", "left_anti").select(*docs.columns)
