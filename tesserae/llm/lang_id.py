@@ -4,10 +4,12 @@ A text is the average of the embeddings of its words' character n-grams (2 to 4
 long, with word boundaries) and of the words themselves, hashed into
 :data:`BUCKETS` rows; a linear softmax over that average gives the language.
 Embeddings and softmax are trained by stochastic gradient descent in numpy on the
-driver, from a bounded sample (:data:`PER_LANGUAGE` texts a language, each of at most
-:data:`MOST_CHARS` characters; longer ones aren't used for training).  A tenth of
-it is kept apart: there a temperature is fitted, and the probability below which a
-prediction is rejected is set so that no more than :data:`LOST` of right predictions go.
+driver, from a bounded sample: :data:`PER_LANGUAGE` texts a language, fewer (but :data:`LEAST_PER_LANGUAGE`) where
+there are so many languages that all would exceed :data:`MOST_ROWS`.  Texts of any length are drawn; their features are made whole
+on the executors, so the driver gets at most :data:`BUCKETS` buckets and shares for each.  A tenth of
+the sample is kept apart: there a temperature is fitted, and the probability below which a
+prediction is rejected is set so that no more than :data:`LOST` of right predictions there go; as long as that
+is less than one row, the level is the least probability of a right prediction, and one half at most.
 
 Scoring reads every character of a text.  The softmax weights are folded into the
 embeddings, so a bucket has one number for each language, and each distinct word is
@@ -15,7 +17,8 @@ scored once in a slice.
 
 Defined cases: a text without a letter (null, empty, digits) is ``und`` with score 0 and rejected;
 with no training text at all every text is ``und``; with one language every text with a letter is that language; equal
-texts get equal results; other input columns are not read, and input columns named like a result are replaced.
+texts get equal results; more than :data:`MOST_LANGUAGES` languages raise ``ValueError``, as none may be left out silently;
+other input columns are not read, and input columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -26,16 +29,16 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from tesserae.llm import common
 
 BUCKETS = 1 << 14
 DIM = 16
 SIZES = (2, 3, 4)
-PER_LANGUAGE = 1000
-MOST_LANGUAGES = 256
-MOST_CHARS = 20_000
+PER_LANGUAGE, LEAST_PER_LANGUAGE, MOST_ROWS = 1000, 50, 8000
+#: The model has BUCKETS numbers for each language.
+MOST_LANGUAGES = 2048
 EPOCHS, BATCH, RATE, SPARSE_RATE, DECAY = 8, 32, 2.0, 50.0, 1e-4
 LOST = 0.001
 UNKNOWN = "und"
@@ -112,10 +115,11 @@ def _loss(p: np.ndarray, truth: np.ndarray, unsure: float) -> float:
     return float(-((1 - unsure) * of_truth + unsure / (p.shape[1] - 1) * (logs.sum(1) - of_truth)).mean())
 
 
-def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
-    """Train on (text, language) pairs."""
+def fit(found: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed: int = 7) -> Model:
+    """Train on texts' features (:func:`document_features`) and their languages."""
     languages = sorted(set(langs))
-    rows = [(f, languages.index(g)) for f, g in ((document_features(t), g) for t, g in zip(texts, langs, strict=True)) if f is not None]
+    place = {g: i for i, g in enumerate(languages)}
+    rows = [(f, place[g]) for f, g in zip(found, langs, strict=True)]
     rng = np.random.default_rng(seed)
     k = len(languages)
     if not rows or k < 2:
@@ -168,26 +172,43 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     return Model(languages, table.astype(np.float32), bias, float(heat), least)
 
 
-def sample(docs: DataFrame, text: str, lang: str, key: str, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """Training pairs: the first ``per_language`` of each language by a hash of id and text.
+_SAMPLE = StructType([StructField("lang", StringType()), StructField("draw", LongType()), StructField("bucket", BinaryType()), StructField("share", BinaryType())])
+
+
+def sample(docs: DataFrame, text: str, lang: str, key: str, per_language: int = PER_LANGUAGE) -> list:
+    """Rows (lang, draw, bucket, share) of the first texts of each language by a hash of id and text, in that order.
 
     Languages are counted first; each row then stays with a probability (from its
     hash) that leaves about twice as many as are wanted, so only that many reach the last step.
+    Texts without a letter teach nothing and have no row.
     """
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= MOST_CHARS))
-    counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    counts = known.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return []
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r[0], min(1.0, 2.0 * per_language / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.lit(17), key, text), F.lit(1 << 30)) / float(1 << 30)
-    few = known.withColumn("__draw", draw).filter(F.col("__draw") < share[F.col(lang)])
+    most = min(per_language, max(LEAST_PER_LANGUAGE, MOST_ROWS // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r[0], min(1.0, 2.0 * most / r["count"])) for r in counts], "__of string, __share double")
+    few = known.join(F.broadcast(shares), F.col(lang) == F.col("__of"))
+    few = few.withColumn("__draw", F.pmod(F.xxhash64(F.lit(17), key, text), F.lit(1 << 30))).filter(F.col("__draw") / float(1 << 30) < F.col("__share"))
     place = F.row_number().over(Window.partitionBy(lang).orderBy("__draw", key))
-    return [(r[0], r[1]) for r in few.withColumn("__place", place).filter(F.col("__place") <= per_language).select(text, lang).orderBy("__draw").collect()]
+    few = few.withColumn("__place", place).filter(F.col("__place") <= most).select(F.col(lang).alias("lang"), F.col("__draw").alias("draw"), F.col(text).alias("text"))
+
+    def start():
+        def kernel(piece):
+            made = [document_features(t) for t in common.texts(piece, "text")]
+            return {"bucket": [None if f is None else f[0].astype(np.uint16).tobytes() for f in made], "share": [None if f is None else f[1].tobytes() for f in made]}
+
+        return kernel
+
+    rows = common.map_slices(few, _SAMPLE, "text", start).filter("bucket IS NOT NULL").collect()
+    return sorted(rows, key=lambda r: (r["draw"], r["lang"], bytes(r["bucket"]), bytes(r["share"])))
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
-    pairs = sample(docs, text, lang, key, per_language)
-    return fit([t for t, _ in pairs], [g for _, g in pairs])
+    rows = sample(docs, text, lang, key, per_language)
+    return fit([(np.frombuffer(r["bucket"], np.uint16).astype(np.int64), np.frombuffer(r["share"], np.float32)) for r in rows], [r["lang"] for r in rows])
 
 
 class Scorer:

@@ -97,22 +97,44 @@ def test_boundaries_are_optimal():
     assert packing.boundaries(np.array([], int), np.array([], int), 3) == []
 
 
-def test_packing_bounds_are_real_lengths(spark):
-    rng = np.random.default_rng(5)
-    tokens = [int(n) for n in rng.integers(900, 9000, 400)]
-    rows = spark.createDataFrame(list(enumerate(tokens)), "doc_id bigint, n_tokens bigint")
-    lengths, counts = np.unique(tokens, return_counts=True)
-    exact = packing.boundaries(lengths, counts, 4)
-    least = {}
-    for most in (4096, 10):
-        got = packing.pack(rows, buckets=4, budget=1 << 14, most_lengths=most).collect()
-        bounds = {r["bucket_length"] for r in got}
-        assert bounds <= set(tokens) and all(r["padding"] >= 0 for r in got)
-        assert bounds == {max(r["n_tokens"] for r in got if r["bucket_length"] == b) for b in bounds}
-        least[most] = sum(r["padding"] for r in got)
-        if most == 4096:
-            assert bounds == set(exact)
-    assert least[4096] <= least[10]
+def test_boundaries_of_long_texts_are_optimal():
+    rng = np.random.default_rng(7)
+
+    def plain(lengths, counts, k):
+        best = {0: 0}
+        for _ in range(k):
+            best = {j: min((best[i] + lengths[j - 1] * sum(counts[i:j]) for i in best if i < j), default=None) for j in range(1, len(lengths) + 1)} | {0: 0}
+            best = {j: c for j, c in best.items() if c is not None}
+        return best[len(lengths)] - sum(n * c for n, c in zip(lengths, counts, strict=True))
+
+    for _ in range(30):
+        lengths = sorted(map(int, rng.choice(np.arange(1025, 10**6), 60, replace=False)))
+        counts = [int(c) for c in rng.choice([1, 1, 2, 50, 10**6], 60)]
+        for k in (1, 2, 5, 16, 80):
+            got = packing.boundaries(np.array(lengths), np.array(counts), k)
+            assert len(got) <= k and set(got) <= set(lengths)
+            assert sum(c * (min(x for x in got if x >= n) - n) for n, c in zip(lengths, counts, strict=True)) == plain(lengths, counts, min(k, 60))
+
+
+def test_packed_table_equals_a_plain_packer(spark):
+    """pack_documents over every text of the small table against the library's counts and a packer in plain Python."""
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    tokens = {r["doc_id"]: len(p.encode(r["text"] or "")) for r in docs.select("doc_id", "text").collect()}
+    got = packing.pack_documents(docs, piece_model, buckets=8, budget=8192).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == tokens
+    lengths, counts = np.unique([max(1, n) for n in tokens.values()], return_counts=True)
+    bounds = packing.boundaries(lengths, counts, 8)
+    for r in got:
+        own = next(j for j, b in enumerate(bounds) if b >= max(1, tokens[r["doc_id"]]))
+        assert (r["bucket"], r["bucket_length"], r["padding"]) == (own, bounds[own], bounds[own] - tokens[r["doc_id"]])
+    for b, bound in enumerate(bounds):
+        own = Counter(r["batch"] for r in got if r["bucket"] == b)
+        fit, n = max(1, 8192 // bound), sum(own.values())
+        assert own == Counter(i // fit for i in range(n))
+        assert {(r["batch"], r["place"]) for r in got if r["bucket"] == b} == {divmod(i, fit) for i in range(n)}
 
 
 def test_packing(spark):
@@ -134,12 +156,6 @@ def test_packing(spark):
     assert empty.collect() == []
 
 
-def test_grid_holds_lengths(spark):
-    df = spark.range(0, 200_000, 7).select(F.col("id"), packing.grid(F.col("id")).alias("g"))
-    assert df.filter("g < id or g > id * 1.02 + 1").count() == 0
-    assert df.select("g").distinct().count() < 1024 + 64 * 12
-
-
 def test_sharding(spark):
     rows = [(i, None if i % 7 == 0 else "é" * (i % 50), "k") for i in range(3000)] + [(None, "n", "k"), (5, "dup", "k"), (5, "dup", "k")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, shard string")
