@@ -9,11 +9,11 @@ non-negative unbiased risk: with class prior p,
 where a batch whose second term is negative takes a step the other way.  The prior
 itself is estimated (:func:`class_prior`): a plain classifier tells positives
 from unlabelled text, and on a part kept apart the least ratio of the two tails' shares, with a
-bound for chance, is the share of positives among the unlabelled.
+bound for chance, is the share of positives among the unlabelled (the mean over :data:`SPLITS` splits).
 
 Features of whole texts, made on the executors: frequencies of pairs of character classes,
-and shares of repeated words and lines, word lengths.  The samples for training have a documented bound
-(:data:`POSITIVES`, :data:`UNLABELLED` rows of features); their labels come only
+of hashed words and of hashed triples of characters, shares of repeated words and lines, word lengths.  The samples for training have a documented bound
+(at most :data:`POSITIVES` and :data:`UNLABELLED` rows of features reach the driver, chosen by hash, however often an id stands); their labels come only
 from rows that aren't held out.  Every text is scored.
 
 Defined cases: a null text counts as empty and is scored as well; without any positive label every
@@ -29,15 +29,22 @@ import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from tesserae.llm import common
+from tesserae.llm import common, shingles
 
 POSITIVES, UNLABELLED = 4000, 8000
 CLASSES = 20
-WIDTH = CLASSES * CLASSES + 8
+HASHED = 256
+WIDTH = CLASSES * CLASSES + 2 * HASHED + 8
+_WORDS = CLASSES * CLASSES
+#: Splits into halves over which the estimate of the prior is averaged.
+SPLITS = 4
+#: What a hashed feature counts beside the others, as each alone says little.
+HASHED_SHARE = 0.2
+_FACTORS = shingles.odd_factors(3, 41)
 CUT = 0.3
 EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.02, 1e-3
 
@@ -77,11 +84,20 @@ def features(texts: list[str]) -> np.ndarray:
         within = own[:-1] == own[1:]
         n = np.bincount(own[:-1][within] * (CLASSES * CLASSES) + pair[within], minlength=len(texts) * CLASSES * CLASSES).reshape(len(texts), -1)
         out[:, : CLASSES * CLASSES] = np.sqrt(n / np.maximum(1, lengths - 1)[:, None])
+    if len(points) > 2:
+        wide = points.astype(np.uint64)
+        triple = ((wide[:-2] * _FACTORS[0] + wide[1:-1] * _FACTORS[1] + wide[2:] * _FACTORS[2]) >> np.uint64(40)).astype(np.int64) % HASHED
+        own = np.repeat(np.arange(len(texts)), lengths)
+        within = own[:-2] == own[2:]
+        n = np.bincount(own[:-2][within] * HASHED + triple[within], minlength=len(texts) * HASHED).reshape(len(texts), -1)
+        out[:, _WORDS + HASHED : -8] = n / np.maximum(1, lengths - 2)[:, None]
     for i, text in enumerate(texts):
         words = text.split()
         lines = text.split("\n")
         n = max(1, len(words))
         again = sum(map(operator.eq, words, words[1:])) / n
+        if words:
+            out[i, _WORDS : _WORDS + HASHED] = np.bincount((shingles.word_hashes(words) >> np.uint64(40)).astype(np.int64) % HASHED, minlength=HASHED) / n
         out[i, -8:] = (
             again,
             again**0.5,
@@ -92,6 +108,7 @@ def features(texts: list[str]) -> np.ndarray:
             np.log1p(len(words)) / 10,
             min(1.0, max(map(len, words), default=0) / 50),
         )
+    np.sqrt(out[:, _WORDS:-8], out=out[:, _WORDS:-8])
     return out
 
 
@@ -123,7 +140,7 @@ class _Adam:
 
 
 def _with_one(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([x, np.ones((len(x), 1))], 1)
+    return np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
 
 
 def class_prior(pos: np.ndarray, unl: np.ndarray, rng: np.random.Generator, delta: float = 0.1) -> float:
@@ -149,15 +166,18 @@ def class_prior(pos: np.ndarray, unl: np.ndarray, rng: np.random.Generator, delt
 def fit(pos: np.ndarray, unl: np.ndarray, seed: int = 5) -> Model:
     """Minimise the non-negative risk over feature rows."""
     rng = np.random.default_rng(seed)
-    both = np.concatenate([pos, unl]).astype(np.float64).reshape(-1, WIDTH)
+    both = np.concatenate([pos, unl]).reshape(-1, WIDTH)
     if not len(pos) or not len(unl):
         return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 0.0, 0.5)
-    mean, scale = both.mean(0), 1 / np.maximum(both.std(0), 0.02)
+    mean, scale = both.mean(0, dtype=np.float64).astype(np.float32), (1 / np.maximum(both.std(0, dtype=np.float64), 0.02)).astype(np.float32)
+    del both
+    scale[_WORDS:-8] *= HASHED_SHARE
     pos, unl = (pos - mean) * scale, (unl - mean) * scale
-    prior = class_prior(pos, unl, rng)
+    prior = float(np.mean([class_prior(pos, unl, rng) for _ in range(SPLITS)]))
     pos, unl = _with_one(pos), _with_one(unl)
     w, step = np.zeros(WIDTH + 1), _Adam(WIDTH + 1, RATE)
-    for _ in range(EPOCHS):
+    mean_w, steps = np.zeros(WIDTH + 1), 0  # over the last third of the epochs: single steps swing
+    for epoch in range(EPOCHS):
         order = rng.permutation(len(unl))
         for start in range(0, len(unl), BATCH):
             u, p = unl[order[start : start + BATCH]], pos[rng.integers(0, len(pos), BATCH)]
@@ -170,7 +190,10 @@ def fit(pos: np.ndarray, unl: np.ndarray, seed: int = 5) -> Model:
             decay = DECAY * w
             decay[-1] = 0
             w -= step(grad + decay)
-    return Model(mean, scale, w[:-1], float(w[-1]), prior)
+            if epoch >= EPOCHS * 2 // 3:
+                steps += 1
+                mean_w += (w - mean_w) / steps
+    return Model(mean, scale, mean_w[:-1], float(mean_w[-1]), prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
@@ -183,17 +206,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     )
     ids = [r["doc_id"] for r in sure.collect()]  # POSITIVES at most
     known = F.broadcast(spark.createDataFrame([(i, True) for i in ids], StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("__sure", BooleanType())])))
-    share = min(1.0, UNLABELLED / max(1, docs.count() * 0.8))
+    share = min(1.0, UNLABELLED / max(1, docs.count() * 0.8))  # as many as are wanted, more or less
     draw = F.pmod(F.xxhash64(F.lit(23), "doc_id", text), F.lit(1 << 30)) / float(1 << 30) < share
     picked = own.join(known, "doc_id", "left").withColumn("__sure", F.coalesce("__sure", F.lit(False))).withColumn("__draw", draw).filter("__sure OR __draw")
+    roles = F.explode(F.array_compact(F.array(F.when(F.col("__sure"), F.lit(True)), F.when(F.col("__draw"), F.lit(False)))))
     schema = StructType([StructField("__sure", BooleanType()), StructField("__draw", BooleanType()), StructField("x", BinaryType())])
     made = common.map_slices(picked.select("__sure", "__draw", text), schema, text, lambda: lambda piece: {"x": [r.tobytes() for r in features(common.texts(piece, text))]})
-    rows = made.collect()
-    # In an order that doesn't hang on the partitions; rows that share an id may exceed the expected sample.
-    vectors = sorted((bytes(r["x"]), r["__sure"], r["__draw"]) for r in rows)
-    pos = [np.frombuffer(x, np.float32) for x, sure, _ in vectors if sure]
-    unl = [np.frombuffer(x, np.float32) for x, _, drawn in vectors if drawn]
-    return fit(np.array(pos, np.float32).reshape(-1, WIDTH), np.array(unl, np.float32).reshape(-1, WIDTH))
+    made = made.select(roles.alias("role"), "x").withColumn("place", F.row_number().over(Window.partitionBy("role").orderBy(F.xxhash64("x"), "x")))
+    vectors = sorted((r["role"], bytes(r["x"])) for r in made.filter(F.col("place") <= F.when(F.col("role"), POSITIVES).otherwise(UNLABELLED)).select("role", "x").collect())
+    rows = [np.frombuffer(x, np.float32) for _, x in vectors]  # in an order that doesn't hang on the partitions
+    unlabelled = sum(not role for role, _ in vectors)
+    return fit(np.array(rows[unlabelled:], np.float32).reshape(-1, WIDTH), np.array(rows[:unlabelled], np.float32).reshape(-1, WIDTH))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
