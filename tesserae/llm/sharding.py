@@ -1,10 +1,10 @@
 """Sharding over fixed virtual slots (DataFrame functions only).
 
-A record's id is hashed into one of :data:`SLOTS` virtual slots, and a
-versioned table maps every slot to a shard.  Growing or rebalancing writes a
-new version of that table in which single slots name another shard; records
-never rehash.  The map has as many rows as there are slots, whatever the size
-of the data, so it is the one thing that is broadcast.
+A record's id is hashed into one of :data:`SLOTS` virtual slots. A stored, versioned
+table says of every slot to which shard it belongs and how many rows and bytes it holds
+(summed per slot before the shuffle). Growing or rebalancing reads a version, edits single slots
+and stores the next one; records never rehash.  The map has as many rows as there are slots,
+whatever the size of the data, so it is the one thing that is broadcast.
 
 Defined cases: a null id hashes as the empty text; equal ids share a slot; rows
 of an empty table give an empty result; a null text has no bytes, so its size is
@@ -36,6 +36,28 @@ def initial_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFra
     )
 
 
+_MAP = "vslot int, shard int, slot_rows bigint, slot_bytes bigint, version int"
+
+
+def with_load(slot_map: DataFrame, load: DataFrame) -> DataFrame:
+    """A map with each slot's rows and bytes (0 where it has none)."""
+    return slot_map.select("version", "vslot", "shard").join(F.broadcast(load), "vslot", "left").fillna(0, ["slot_rows", "slot_bytes"])
+
+
+def store_map(slot_map: DataFrame, path: str) -> None:
+    """Add one version of the map to the table at ``path`` (one folder a version; storing a version again replaces it)."""
+    columns = [c.split()[0] for c in _MAP.split(", ")]
+    slot_map.select(*columns).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """One version of a stored map, else the latest."""
+    stored = spark.read.schema(_MAP).parquet(path)
+    if version is None:
+        version = stored.agg(F.max("version")).first()[0]
+    return stored.filter(F.col("version") == version)
+
+
 def grown_map(slot_map: DataFrame, shards: int) -> DataFrame:
     """The next version for one more shard: each old shard gives up its last slots.
 
@@ -65,6 +87,7 @@ def rebalanced_map(slot_map: DataFrame, load: DataFrame, tolerance: float = 0.02
     """
     w = Window.partitionBy("version", "shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy("version")
+    slot_map = slot_map.select("version", "vslot", "shard")
     m = slot_map.join(F.broadcast(load.select("vslot", "slot_bytes")), "vslot", "left").fillna(0, ["slot_bytes"])
     totals = m.groupBy("version", "shard").agg(F.sum("slot_bytes").alias("held")).withColumn("mean", F.avg("held").over(every))
     line = Window.partitionBy("version").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -83,37 +106,40 @@ def rebalanced_map(slot_map: DataFrame, load: DataFrame, tolerance: float = 0.02
 
 
 def assign(rows: DataFrame, slot_map: DataFrame, order: list[str], vslot: str = "vslot") -> DataFrame:
-    """Add ``shard`` and the gapless place ``slot`` (from 0) in that shard.
+    """Add ``shard``, ``map_version`` and the gapless place ``slot`` (from 0) in that shard, by a map with ``slot_rows`` of these rows.
 
     Places are counted within each virtual slot and offset by the rows of the
     shard's earlier slots, so no task ever sorts a whole shard.
     """
-    load = rows.groupBy(F.col(vslot).alias("vslot")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        slot_map.join(F.broadcast(load), "vslot", "left")
-        .select(F.col("vslot").alias("__vslot"), "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
-    )
+    offsets = slot_map.select(F.col("vslot").alias("__vslot"), "shard", F.col("version").alias("map_version"), F.coalesce(F.sum("slot_rows").over(before), F.lit(0)).alias("__offset"))
     within = F.row_number().over(Window.partitionBy(vslot).orderBy(*order)) - 1
     return (
-        rows.drop("shard", "slot").withColumn("__place", within)
+        rows.drop("shard", "slot", "map_version").withColumn("__place", within)
         .join(F.broadcast(offsets), F.col(vslot) == F.col("__vslot"))
         .withColumn("slot", F.col("__offset") + F.col("__place"))
         .drop("__place", "__vslot", "__offset")
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version."""
+def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version.
+
+    The map is stored at ``path`` (a folder of its own in the shared one, if none is given): version 1 with each slot's rows and bytes, from which rows are
+    placed, and version 2, edited from it for one more shard.
+    """
     spark = docs.sparkSession
     data = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     rows = docs.select(
         "doc_id", (F.octet_length(data) + ROW_BYTES).cast("bigint").alias("size"), F.crc32(data).alias("text_crc32"), slot_of(F.col("doc_id"), slots).alias("vslot")
     )
     rows = common.written(rows, "shard-rows")
-    first = initial_map(spark, shards, slots)
-    grown = grown_map(first, shards).select("vslot", F.col("shard").alias("grown_shard"))
+    path = path or common.new_path(spark, "shard-map")
+    store_map(with_load(initial_map(spark, shards, slots), slot_bytes(rows)), path)
+    first = load_map(spark, path, 1)
+    store_map(with_load(grown_map(first, shards), first.select("vslot", "slot_rows", "slot_bytes")), path)
     placed = assign(rows, first, ["doc_id", "text_crc32", "size"])
+    grown = load_map(spark, path, 2).select("vslot", F.col("shard").alias("grown_shard"))
     return placed.join(F.broadcast(grown), "vslot").select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "vslot", F.lit(1).alias("map_version")
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "vslot", "map_version"
     )
