@@ -12,8 +12,9 @@ and any shared store will do; :func:`read_archives` takes the ``content`` of
 
 Of pages with equal payloads the one with the largest id is a response, the
 others are revisits that name it and carry no payload.  Only digests and ids are
-shuffled to find it; pages whose payload stands once don't take part in
-the join that follows.
+shuffled to find it.  Up to :data:`MOST_BROADCAST` repeated digests are broadcast, so no page moves; beyond
+that a bit table of them holds back all pages but those whose payload (nearly surely) repeats, and only these move, a payload with more than
+1 / :data:`common.HOT` of them not even then.
 
 Defined cases: a null html is an empty payload; a null url is ``urn:page:<id>``, and bytes that a header
 can't hold are percent-encoded; rows that share the largest id and the payload are all
@@ -34,9 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from tesserae.llm import common
+from tesserae.llm import bloom, common
 
 ARCHIVE_BYTES = 4 << 20
+MOST_BROADCAST = 1 << 20
 DICTIONARY_BYTES = 16 << 10
 #: Payloads that a dictionary is trained on, and bytes of each.
 SAMPLES, SAMPLE_BYTES = 128, 4 << 10
@@ -163,16 +165,27 @@ def payload(fields: dict[str, str], block: bytes) -> bytes | None:
     return body
 
 
-def with_kinds(pages: DataFrame, key: str = "page_id", html: str = "html", least: int = 0) -> DataFrame:
+def with_kinds(pages: DataFrame, key: str = "page_id", html: str = "html", least: int = 0, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``pages`` with record_type and refers_to."""
     data = F.coalesce(F.col(html), F.lit("")).cast("binary")
     pages = pages.drop("record_type", "refers_to")
-    large = F.octet_length(data) >= least
-    groups = pages.select(F.col(key).alias("__id"), F.sha1(data).alias("__sha1"), large.alias("__large")).filter("__large")
-    groups = groups.groupBy("__sha1").agg(F.max("__id").alias("__first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND __first IS NOT NULL").drop("n")
-    joined = pages.withColumn("__own", F.when(large, F.sha1(data))).join(groups, F.col("__own") == F.col("__sha1"), "left")
-    again = F.col("__first").isNotNull() & ~F.col(key).eqNullSafe(F.col("__first"))
-    return joined.select(*pages.columns, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("__first")).alias("refers_to"))
+    own = F.when(F.octet_length(data) >= least, F.unhex(F.sha1(data)))
+    groups = pages.select(F.col(key).alias("__id"), own.alias("__sha1")).filter("__sha1 IS NOT NULL")
+    groups = groups.groupBy("__sha1").agg(F.max("__id").alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1 AND __first IS NOT NULL")
+    groups = common.written(groups, "warc-repeated")
+    many, held = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("__n"), F.lit(0))).first()
+    given = pages.withColumn("__sha1", own)
+    if many <= most_broadcast:
+        joined = given.join(F.broadcast(groups), "__sha1", "left")
+    else:
+        head = F.substring("__sha1", 1, 16)
+        table = bloom.table_of(groups.select(head.alias("d")), "d", bloom.bits_for(many))
+        marked = common.written(bloom.flagged(given.select(F.monotonically_increasing_id().alias("__row"), "*"), head, table, "__again"), "warc-marked")
+        again = marked.filter("__again")
+        found = common.join_skewed(again.select("__row", "__sha1"), groups, "__sha1", "__n", held).select("__row", "__first")
+        joined = again.join(found, "__row", "left").unionByName(marked.filter("NOT __again"), allowMissingColumns=True)
+    revisit = F.col("__first").isNotNull() & ~F.col(key).eqNullSafe(F.col("__first"))
+    return joined.select(*pages.columns, F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("__first")).alias("refers_to"))
 
 
 _ARCHIVE = StructType([StructField("records", LongType()), StructField("archive", BinaryType())])
