@@ -60,3 +60,49 @@ def test_stages_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).collect() == []
+
+
+ODD = "doc_id bigint, text string, lang string, source string, n_chars int, n_lines string, n_dropped string, score string, predicted string, rejected string, lang_pred string, class_id string, bucket string, n_tokens string, word string"
+
+
+def _odd_rows():
+    plain = ["the cat sat on the mat and looked at the moon over the hill", "der hund lief durch den wald und sah den mond am himmel stehen", "a short line", "eine kurze zeile"]
+    rows = []
+    for i in range(60):
+        text = plain[i % 4] + f" number {i % 9}"
+        rows.append((i, text, "en" if i % 2 == 0 else "de", "web", len(text), *["clash"] * 9, None))
+    long = " ".join(f"word{j}" for j in range(60_000))
+    rows += [(100, None, None, None, None, *["clash"] * 9, "x"), (101, "", "en", "web", 0, *["clash"] * 9, "x"), (102, long, "en", "web", len(long), *["clash"] * 9, "x")]
+    rows += [(None, plain[0] + " and no id", "en", None, 0, *[None] * 9, None), rows[5], rows[5]]
+    return rows
+
+
+def test_stages_with_odd_rows_and_clashing_names(spark):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    import os
+    import tempfile
+
+    sf = tempfile.mkdtemp()
+    labels.write.parquet(os.path.join(sf, "labels.parquet"))
+    docs = spark.createDataFrame(_odd_rows(), ODD).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        got = out.collect()
+        assert len(got) <= docs.count()
+        if name != "packing":
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+            assert {r["n_lines"] for r in got} | {r["score"] for r in got} <= {"clash", None}
+            if name != "line_dedup":  # rows pass through unchanged
+                left = [tuple(r) for r in docs.collect()]
+                for r in got:
+                    left.remove(tuple(r))
+        if name == "ngram_join":
+            texts = sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got)
+            assert len(texts) == len(set(texts)) and (True, 102) in texts
+
+
+def test_survivor_is_the_least_id_whatever_the_partitions(spark):
+    rows = [(9 - i, "one two three four five six seven", "en", "w", 1) for i in range(9)] + [(50, "other words stand here now ok", "en", "w", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    for parts in (1, 4, 7):
+        assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs.repartition(parts), SF).collect()) == [1, 50]

@@ -185,3 +185,34 @@ def test_rebalancing_evens_bytes(spark):
     assert max(held.values()) - min(held.values()) <= 1500
     moved = first.alias("a").join(second.alias("b"), "vslot").filter("a.shard <> b.shard")
     assert moved.filter("a.shard <> 0").count() == 0
+
+
+def test_map_is_stored_read_and_edited(spark, tmp_path):
+    """Growing and rebalancing on the bytes of real rows, through the stored versions."""
+    rows = [(i, "x" * (5000 if i % 97 < 5 else i % 300)) for i in range(5000)]
+    path = f"file://{tmp_path}/map"
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sharding.shard_documents(docs, shards=6, slots=256, path=path)
+    own = {(r["vslot"], r["shard"]) for r in got.collect()}
+    first, second = (sharding.load_map(spark, path, v).collect() for v in (1, 2))
+    assert len(first) == len(second) == 256 and own <= {(r["vslot"], r["shard"]) for r in first}
+    assert sum(r["slot_rows"] for r in first) == len(rows) and sum(r["slot_bytes"] for r in first) == sum(len(t) + 8 for _, t in rows)
+    assert all(b["shard"] in (a["shard"], 6) for a, b in zip(sorted(first), sorted(second), strict=True))
+    latest = sharding.load_map(spark, path)
+    assert latest.select("version").distinct().first()[0] == 2
+    sharding.store_map(sharding.with_load(sharding.rebalanced_map(latest, latest), latest.select("vslot", "slot_rows", "slot_bytes")), path)
+    held = lambda v: {r["shard"]: r["b"] for r in sharding.load_map(spark, path, v).groupBy("shard").agg(F.sum("slot_bytes").alias("b")).collect()}
+    spread = lambda h: max(h.values()) - min(h.values())
+    assert spread(held(3)) < spread(held(2)) / 2 and sum(held(3).values()) == sum(held(1).values())
+
+
+def test_sharding_a_very_long_text(spark):
+    rows = [(1, "é" * 3_000_000), (2, None)]
+    got = {r["doc_id"]: r for r in sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1]["size"] == 6_000_008 and got[1]["text_crc32"] == zlib.crc32(("é" * 3_000_000).encode()) and got[2]["size"] == 8
+
+
+def test_line_dedup_result_names(spark):
+    docs = spark.createDataFrame([(i, "same\nown %d" % i, "mine") for i in range(12)], "doc_id bigint, text string, n_lines string")
+    got = line_dedup.dedup_lines(docs, names=("a", "b")).collect()
+    assert {(r["n_lines"], r["a"], r["b"]) for r in got} == {("mine", 2, 1)}

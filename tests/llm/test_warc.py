@@ -67,3 +67,14 @@ def test_pages(spark, tmp_path):
     small = warc.with_kinds(pages, least=10_000).filter("record_type = 'revisit'").collect()
     assert [r["page_id"] for r in small] == [600]
     assert warc.archived_pages(pages.limit(0)).collect() == []
+
+
+def test_kinds_beyond_the_broadcast_bound(spark):
+    rows = [(i, "u", "same body" if i % 3 == 0 else f"body {i % 50}" if i % 3 == 1 else f"only {i}", "clash") for i in range(300)] + [(None, "u", "only null", "c"), (900, "u", None, "c"), (901, "u", "", "c")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, record_type string").repartition(5)
+    a, b = (sorted(map(tuple, warc.with_kinds(pages, most_broadcast=n).select("page_id", "html", "record_type", "refers_to").collect()), key=repr) for n in (1 << 20, 0))
+    assert a == b and len(a) == len(rows)
+    first = {}
+    for i, _, html, _ in rows:
+        first[html or ""] = max(first.get(html or "", -1), -1 if i is None else i)
+    assert all((kind, to) == (("response", None) if i is None or first[html or ""] == i else ("revisit", first[html or ""])) for i, html, kind, to in a)
