@@ -2,6 +2,12 @@
 
 Each stage takes all the documents that the one before it kept, and its decisions
 take effect.  Stages are written as Parquet between each other.
+
+Defined cases, for every stage: an empty table gives an empty one; a null text counts as empty (language ID rejects
+it, and any text without a letter); texts of any length are worked on whole; repeated rows are documents of their own until the
+n-gram join, which keeps one of them; a null doc_id is an id like others, less than any; more columns of any name pass through all stages
+but the last unchanged, also where an operator has a result of that name (columns that begin with two underscores are the operators').
+Ties: of a group of near copies the least doc_id stays, then the least hash of its text.
 """
 
 from __future__ import annotations
@@ -25,12 +31,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more of them share; n_chars follows the text."""
-    kept = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1)
+    kept = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1, names=("__lines", "__dropped"))
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the least doc_id."""
     return ngram_join.one_of_each(docs)
 
 
