@@ -172,7 +172,7 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = common.written(ready.mapInArrow(_verifier(threshold), _LINKS), "ngram-links")
 
     per_set = links.groupBy("set_key").agg(F.sum("docs").alias("docs"))
-    label = components.components(links.filter("set_key <> tied"), "set_key", "tied")
+    label = components.stars(links.filter("set_key <> tied"), "set_key", "tied")
     joined = distinct.select("set_key", "rep", "copies").join(label, F.col("set_key") == F.col("node"), "left").join(per_set, "set_key", "left")
     joined = common.written(joined.select("set_key", "rep", F.col("copies").alias("n_copies"), F.coalesce("label", "set_key").alias("label"), F.coalesce("docs", F.lit(0)).alias("docs")), "ngram-labels")
     sets, rows_with = joined.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_copies"), F.lit(0))).first()
