@@ -183,3 +183,17 @@ def render(fam: Family, id_: int, transpose: bool = False) -> np.ndarray:
         at = (x + ring, y + ring) if transpose else (y + ring, x + ring)
         im[at] = 255 if code >> (len(fam.bits) - 1 - i) & 1 else 0
     return im
+
+
+def tag_pixels(spark: SparkSession, fam: Family) -> DataFrame:
+    """Every marker of a family as pixel rows (id, x, y, v): data bits, a border of one pixel around the marker's edge, and what lies between."""
+    from pyspark.sql import functions as F
+
+    n, ring = fam.total_width, (fam.total_width - fam.width_at_border) // 2
+    side = F.sequence(F.lit(0), F.lit(n - 1))
+    grid = code_table(spark, [fam]).withColumn("x", F.explode(side)).withColumn("y", F.explode(side))
+    bits = F.broadcast(bit_table(spark, [fam]).select("pos", (F.col("bx") + ring).alias("x"), (F.col("by") + ring).alias("y")))  # at most 64 rows
+    outside = F.least("x", "y", n - 1 - F.col("x"), n - 1 - F.col("y")) < ring
+    one = F.expr(f"shiftright(code, {len(fam.bits) - 1} - pos)").bitwiseAND(F.lit(1)) * 255
+    light, dark = (0, 255) if fam.reversed_border else (255, 0)
+    return grid.join(bits, ["x", "y"], "left").select("id", "x", "y", F.when(F.col("pos").isNotNull(), one).when(outside, light).otherwise(dark).alias("v"))

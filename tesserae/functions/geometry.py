@@ -107,8 +107,17 @@ def contains_polygon(outer, inner) -> bool:
 
 
 def interior_point(poly):
-    """A point inside a convex polygon: the mean of its first three corners."""
-    return tuple(sum(p[i] for p in poly[:3]) / 3 for i in (0, 1))
+    """A point inside a simple polygon, concave ones too: the middle of the widest stretch inside along a line halfway between two heights of corners."""
+    heights = sorted({p[1] for p in poly})
+    best = None
+    for low, high in zip(heights, heights[1:], strict=False):
+        y = (low + high) / 2
+        xs = rasterize(poly, y)
+        for x0, x1 in zip(xs[::2], xs[1::2], strict=True):
+            size = min(x1 - x0, high - low)
+            if best is None or size > best[0]:
+                best = size, ((x0 + x1) / 2, y)
+    return best[1] if best else tuple(poly[0])
 
 
 def overlap(a, b) -> bool:

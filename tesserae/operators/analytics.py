@@ -128,6 +128,15 @@ def distinct_labels(runs: DataFrame, label: str, stamp: str) -> DataFrame:
     return runs.withColumn("shown", F.when(many, shown).otherwise(c(label)))
 
 
+def profile_lines(runs: DataFrame, short: bool = False) -> DataFrame:
+    """``runs`` with a line of text for each time stamp: number, stage, milliseconds and share of the run's last stamp; or stage and microseconds."""
+    if short:
+        return runs.withColumn("line", F.format_string("%s: %d us", "stage", "wall"))
+    total = F.max("wall").over(Window.partitionBy("label", "image_id", "iter"))
+    tenths = F.when(total > 0, F.floor(c("wall") * 1000 / total)).otherwise(0)  # of a percent, cut off
+    return runs.withColumn("line", F.format_string("%2d %-32s%15.3f%5d.%d %%", "seq", "stage", c("wall") / 1e3, F.floor(tenths / 10), tenths % 10))
+
+
 def pairwise_welch(rows: DataFrame, key: str = "label") -> DataFrame:
     """All pairs of runs, first key before second: means, population deviations, difference in percent, t and degrees of freedom.
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.columns import Matrix
+
 KEYS = ("image_id", "w", "h", "x", "y", "v")
 
 
@@ -220,3 +222,63 @@ def clusters(points: DataFrame, min_pixels: int = 24) -> DataFrame:
     g = g.filter((c("n") >= max(min_pixels, 24)) & (c("n") <= (c("w") + c("h")) * 4))
     # Sum of (p - centre) . gradient, doubled: positive where light surrounds dark.
     return g.withColumn("dot2", c("sxg") * 2 - cx * c("sgx") - cy * c("sgy")).drop("sgx", "sgy", "sxg")
+
+
+# Brightness.
+
+
+def plane_moments(p: DataFrame) -> DataFrame:
+    """Sums of the normal equations of a plane through each image's brightness: one pass, combined before the shuffle."""
+    x, y, v = c("x"), c("y"), c("v")
+    sums = {"sx": x, "sy": y, "sxx": x * x, "sxy": x * y, "syy": y * y, "sv": v, "sxv": x * v, "syv": y * v}
+    return p.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(n) for n, e in sums.items()])
+
+
+def planes(moments: DataFrame) -> DataFrame:
+    """a, b and d of the plane a x + b y + d through each image's brightness, by least squares; null where pixels lie on a line."""
+    a, b, d = Matrix([[c("sxx"), c("sxy"), c("sx")], [c("sxy"), c("syy"), c("sy")], [c("sx"), c("sy"), c("n")]]).solve([c("sxv"), c("syv"), c("sv")])
+    return moments.select("image_id", a.alias("a"), b.alias("b"), d.alias("d"))
+
+
+def laplacian(p: DataFrame, amount: float) -> DataFrame:
+    """v + amount * (4 v - neighbours), zero outside."""
+    row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+    zero = lambda e: F.coalesce(e, F.lit(0))
+    around = zero(F.lag("v").over(row)) + zero(F.lead("v").over(row)) + zero(F.lag("v").over(column)) + zero(F.lead("v").over(column))
+    return p.withColumn("v", c("v") + F.lit(amount) * (c("v") * 4 - around))
+
+
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Of each image the number of pixels that differ (one that only one side has counts as well) and the largest difference."""
+    other = b.select("image_id", "x", "y", c("v").alias("__other"))
+    d = F.abs(c("v") - c("__other"))
+    both = a.select("image_id", "x", "y", "v").join(other, ["image_id", "x", "y"], "full")
+    return both.groupBy("image_id").agg(F.count_if(F.coalesce(d != 0, F.lit(True))).alias("n_diff"), F.max(d).alias("max_diff"))
+
+
+def labels(ternary: DataFrame) -> DataFrame:
+    """Least pixel number of each pixel's component (image_id, pix_id, rep), by Catalyst expressions alone.
+
+    The links of an image are folded one by one over an array of labels. That is quadratic in an image's
+    pixels: a second way for checking small images; :func:`tesserae.operators.frames.labels` is the one for large ones.
+    """
+    links = component_edges(ternary).groupBy("image_id").agg(F.collect_list(F.struct("a", "b")).alias("links"))
+    sizes = ternary.groupBy("image_id").agg((F.max("w") * F.max("h")).alias("n"))
+    at = lambda lab, i: F.element_at(lab, i.cast("int") + 1)
+
+    def join(lab, e):
+        low, high = F.least(at(lab, e["a"]), at(lab, e["b"])), F.greatest(at(lab, e["a"]), at(lab, e["b"]))
+        return F.when(low == high, lab).otherwise(F.transform(lab, lambda v: F.when(v == high, low).otherwise(v)))
+
+    start = F.sequence(F.lit(0).cast("bigint"), c("n").cast("bigint") - 1)
+    p = sizes.join(links, "image_id", "left").withColumn("rep", F.aggregate(F.coalesce("links", F.expr("array()").cast("array<struct<a:bigint,b:bigint>>")), start, join))
+    return p.select("image_id", F.posexplode("rep").alias("pix_id", "rep")).withColumn("pix_id", c("pix_id").cast("bigint"))
+
+
+def same_partition(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Of each image whether two labellings name the same components, whatever the names: labels correspond one to one."""
+    pairs = a.select("image_id", "pix_id", c("rep").alias("__a")).join(b.select("image_id", "pix_id", c("rep").alias("__b")), ["image_id", "pix_id"], "full")
+    pairs = pairs.groupBy("image_id", "__a", "__b").agg(F.count(F.lit(1)).alias("n"))
+    ends = F.struct(F.count(F.lit(1)).alias("pairs"), F.count_distinct("__a").alias("a"), F.count_distinct("__b").alias("b"), F.count_if(c("__a").isNull() | c("__b").isNull()).alias("lone"))
+    counts = pairs.groupBy("image_id").agg(ends.alias("s"))
+    return counts.select("image_id", ((c("s.pairs") == c("s.a")) & (c("s.pairs") == c("s.b")) & (c("s.lone") == 0)).alias("same"))

@@ -6,7 +6,7 @@ that one image shows often is bounded by that image.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import geometry
@@ -38,8 +38,13 @@ def greedy(rows: list[dict]) -> list[dict]:
 
 
 def reconcile(detections: DataFrame) -> DataFrame:
-    """Rows with image_id, family, id, hamming, margin and corners (array of 8 numbers) that survive."""
+    """Rows with image_id, family, id, hamming, margin and corners (array of 8 numbers) that survive.
+
+    Most tags stand once in an image: those rows stay in the JVM, and only the others go to Python, a group at a time.
+    """
     schema = detections.schema
+    key = ["image_id", "family", "id"]
+    counted = detections.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
 
     def group(table):
         import pyarrow as pa
@@ -53,7 +58,19 @@ def reconcile(detections: DataFrame) -> DataFrame:
             r["corners"] = r.pop("flat")
         return pa.Table.from_pylist(kept, schema=table.schema)
 
-    return detections.groupBy("image_id", "family", "id").applyInArrow(group, schema)
+    several = counted.filter("__n > 1").drop("__n").groupBy(*key).applyInArrow(group, schema)
+    return counted.filter("__n = 1").drop("__n").unionByName(several)
+
+
+def in_order(detections: DataFrame, *ties: str) -> DataFrame:
+    """``detections`` with their place in their image: by id, family, errors, margin from the largest, then ``ties``."""
+    order = Window.partitionBy("image_id").orderBy("id", "family", "hamming", F.desc("margin"), *ties)
+    return detections.withColumn("place", F.row_number().over(order))
+
+
+def with_margin(detections: DataFrame, least: float) -> DataFrame:
+    """Detections of at least that margin."""
+    return detections.filter(F.col("margin") >= least)
 
 
 def without(rows: DataFrame, drop: DataFrame, key: str) -> DataFrame:

@@ -218,6 +218,25 @@ query(
 ob AS (SELECT o_orderkey, xor(((code << (4 * turn)::INT) | (code >> (16 - 4 * turn)::INT)) & 65535, xor(CASE WHEN flips > 0 THEN 1::BIGINT << bit::INT ELSE 0 END, CASE WHEN flips > 1 THEN 1::BIGINT << ((bit + 5) % 16)::INT ELSE 0 END)) AS word FROM kn),
 {_rot_sql('ob', 'o_orderkey')}, {_match_sql(2)}""",
 )(lambda s, d: decode.lookup(_known_words(s, d), _FAM))
+# The largest family in use: 587 codes of 36 bits, each turned, with up to two bits flipped, against all codes.
+_F36 = families.family("tag36h11")
+_CODES36 = "co AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {c}::BIGINT)" for i, c in enumerate(_F36.codes)) + ") t(id, code))"
+
+
+def _words36(spark, sf_dir):
+    o = bridges.table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select("o_orderkey", (F.col("o_orderkey") % 587).alias("id"), (F.col("o_custkey") % 4).alias("turn"), (F.col("o_custkey") % 3).alias("flips"), (F.col("o_orderkey") % 36).cast("int").alias("bit"))
+    words = o.join(F.broadcast(families.code_table(spark, [_F36]).select(F.col("id").cast("bigint").alias("id"), "code")), "id")
+    turned = decode.rotations(words, "code", 36).filter("rotation = turn")
+    one = lambda bit: F.expr(f"shiftleft(1L, {bit})")
+    flip = F.when(F.col("flips") > 0, one("bit")).otherwise(0).bitwiseXOR(F.when(F.col("flips") > 1, one("(bit + 5) % 36")).otherwise(0))
+    return turned.select("o_orderkey", F.col("turned").bitwiseXOR(flip).alias("word"))
+
+
+query(
+    "codeword_decode_36h11",
+    f"""SELECT o_orderkey, 'tag36h11' AS family, (o_orderkey % 587)::INT AS id, (o_custkey % 3)::INT AS hamming, ((4 - o_custkey % 4) % 4)::INT AS rotation FROM orders WHERE o_orderkey % 5 = 0""",
+)(lambda s, d: decode.lookup(_words36(s, d), _F36))
+query("chunk_stats_36h11", f"WITH {_CODES36}, n AS (SELECT c.range AS chunk, (code >> (9 * c.range)::INT) & 511 AS value, count(*) AS n FROM co, range(4) c GROUP BY ALL) SELECT 'tag36h11' AS family, min(n) AS least, round(avg(n), 6) AS mean, max(n) AS most FROM n")(lambda s, d: decode.index_stats(decode.index(s, _F36)))
 _CH = f"{_CODES}, ix AS (SELECT 'tag16h5' AS family, id, code, c.range::INT AS chunk, (code >> (4 * c.range)::INT) & 15 AS value FROM co, range(4) c)"
 query("chunk_index", f"WITH {_CH} SELECT * FROM ix")(lambda s, d: decode.index(s, _FAM))
 query("chunk_stats", f"WITH {_CH}, n AS (SELECT family, chunk, value, count(*) AS n FROM ix GROUP BY ALL) SELECT family, min(n) AS least, round(avg(n), 6) AS mean, max(n) AS most FROM n GROUP BY family")(lambda s, d: decode.index_stats(decode.index(s, _FAM)))
@@ -243,12 +262,7 @@ _BITS = ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(_FAM.bits))
 SELECT id, x, y, CASE WHEN bi.pos IS NOT NULL THEN ((code >> (15 - bi.pos)) & 1) * 255 WHEN x IN (0, 7) OR y IN (0, 7) THEN 255 ELSE 0 END AS v FROM g LEFT JOIN bi ON bi.bx + 1 = x AND bi.y_ + 1 = y""",
 )
 def tag_render(spark, sf_dir):
-    n, ring = _FAM.total_width, (_FAM.total_width - _FAM.width_at_border) // 2
-    grid = families.code_table(spark, [_FAM]).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    bits = F.broadcast(families.bit_table(spark, [_FAM]).select("pos", (F.col("bx") + ring).alias("x"), (F.col("by") + ring).alias("y")))
-    edge = F.least("x", "y", n - 1 - F.col("x"), n - 1 - F.col("y")) < ring
-    one = F.expr(f"shiftright(code, {len(_FAM.bits) - 1} - pos)").bitwiseAND(F.lit(1)) * 255
-    return grid.join(bits, ["x", "y"], "left").select("id", "x", "y", F.when(F.col("pos").isNotNull(), one).when(edge, 255).otherwise(0).alias("v"))
+    return families.tag_pixels(spark, _FAM)
 
 
 # Gray model and sharpening.
@@ -259,12 +273,17 @@ def tag_render(spark, sf_dir):
     f"WITH {_MO} SELECT image_id, count(*) AS n, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy, sum(x * x)::BIGINT AS sxx, sum(x * y)::BIGINT AS sxy, sum(y * y)::BIGINT AS syy, sum(v)::BIGINT AS sv, sum(x * v)::BIGINT AS sxv, sum(y * v)::BIGINT AS syv FROM mo GROUP BY image_id",
 )
 def graymodel_moments(spark, sf_dir):
-    """Sums of the normal equations of a plane through each image's brightness."""
-    c = F.col
-    total = lambda name, e: F.sum(e).alias(name)
-    return bridges.mosaic(spark, sf_dir).groupBy("image_id").agg(
-        F.count(F.lit(1)).alias("n"), total("sx", c("x")), total("sy", c("y")), total("sxx", c("x") * c("x")), total("sxy", c("x") * c("y")), total("syy", c("y") * c("y")), total("sv", c("v")), total("sxv", c("x") * c("v")), total("syv", c("y") * c("v"))
-    )
+    return pixels.plane_moments(bridges.mosaic(spark, sf_dir))
+
+
+# The plane through a whole grid: its slopes are those of the two single regressions.
+@query(
+    "graymodel_planes",
+    f"WITH {_MO} SELECT image_id, round(regr_slope(v, x), 4) + 0.0::DOUBLE AS a, round(regr_slope(v, y), 4) + 0.0::DOUBLE AS b FROM mo GROUP BY image_id HAVING count(*) = 6400",
+)
+def graymodel_planes(spark, sf_dir):
+    whole = pixels.plane_moments(bridges.mosaic(spark, sf_dir)).filter("n = 6400")
+    return pixels.planes(whole).select("image_id", *[(F.round(n, 4) + F.lit(0.0)).alias(n) for n in ("a", "b")])
 
 
 @query(
@@ -274,13 +293,7 @@ LEFT JOIN f8 l ON l.image_id = a.image_id AND l.x = a.x - 1 AND l.y = a.y LEFT J
 LEFT JOIN f8 u ON u.image_id = a.image_id AND u.x = a.x AND u.y = a.y - 1 LEFT JOIN f8 d ON d.image_id = a.image_id AND d.x = a.x AND d.y = a.y + 1""",
 )
 def laplacian_sharpen(spark, sf_dir):
-    from pyspark.sql import Window
-
-    row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    zero = lambda e: F.coalesce(e, F.lit(0))
-    around = zero(F.lag("v").over(row)) + zero(F.lead("v").over(row)) + zero(F.lag("v").over(column)) + zero(F.lead("v").over(column))
-    p = bridges.frames8(spark, sf_dir)
-    return p.select("image_id", "x", "y", F.round(F.col("v") + F.lit(0.25) * (F.col("v") * 4 - around), 6).alias("v"))
+    return pixels.laplacian(bridges.frames8(spark, sf_dir), 0.25).select("image_id", "x", "y", F.round("v", 6).alias("v"))
 
 
 # Detection.
@@ -306,21 +319,22 @@ FROM (SELECT p_partkey, {_SCALE} AS ring, {_SCENE.total_width} * {_SCALE} AS sid
 
 @query("label_bijection", f"WITH RECURSIVE {_T8}, {_LB} SELECT image_id, true AS same FROM lb GROUP BY image_id")
 def label_bijection(spark, sf_dir):
-    """Whether labels and labels of the image counted from its end name the same components."""
-    lab = frames.labels(frames.pack(_ternary8(spark, sf_dir)))
-    other = lab.withColumn("other", 63 - F.col("rep")).select("image_id", "pix_id", "other")
-    both = lab.join(other, ["image_id", "pix_id"], "full").select("image_id", "rep", "other").distinct()
-    a = both.groupBy("image_id", "rep").count().groupBy("image_id").agg(F.max("count").alias("a"))
-    b = both.groupBy("image_id", "other").count().groupBy("image_id").agg(F.max("count").alias("b"))
-    return a.join(b, "image_id").select("image_id", ((F.col("a") == 1) & (F.col("b") == 1)).alias("same"))
+    """Whether the kernel's labels and those folded from links in Catalyst name the same components."""
+    t = _ternary8(spark, sf_dir)
+    return pixels.same_partition(frames.labels(frames.pack(t)), pixels.labels(t))
+
+
+# The same comparison must fail where labels are wrong: pixels of unlike value are never in one component.
+query("label_bijection_broken", f"WITH {_T8} SELECT image_id, count(DISTINCT v) = 1 AS same FROM tn WHERE v <> 127 AND x BETWEEN 1 AND 6 GROUP BY image_id")(
+    lambda s, d: pixels.same_partition(*(lambda t: (t.select("image_id", (F.col("y") * 8 + F.col("x")).alias("pix_id"), F.col("v").alias("rep")), t.select("image_id", (F.col("y") * 8 + F.col("x")).alias("pix_id"), F.lit(1).alias("rep"))))(_ternary8(s, d).filter("v <> 127 AND x BETWEEN 1 AND 6")))
+)
+query("cc_labels_relational", f"WITH RECURSIVE {_T8}, {_LB} SELECT image_id, pix_id, rep FROM lb")(lambda s, d: pixels.labels(_ternary8(s, d)))
 
 
 @query("image_diff", f"WITH {_BL} SELECT image_id, count(*) FILTER (WHERE mo.v <> bv.v) AS n_diff, max(abs(mo.v - bv.v))::INT AS max_diff FROM mo FULL JOIN bv USING (image_id, x, y) GROUP BY image_id")
 def image_diff(spark, sf_dir):
     m = bridges.mosaic(spark, sf_dir)
-    b = pixels.blur(m, KERNEL).select("image_id", "x", "y", F.col("v").alias("other"))
-    d = F.abs(F.col("v") - F.col("other"))
-    return m.join(b, ["image_id", "x", "y"], "full").groupBy("image_id").agg(F.count_if(d != 0).alias("n_diff"), F.max(d).alias("max_diff"))
+    return pixels.difference(m, pixels.blur(m, KERNEL))
 
 
 # Reconciliation.
@@ -346,7 +360,8 @@ query("best_detection", f"WITH {_BOX} SELECT image_id, id, det, hamming FROM (SE
 query("remove_indices", f"WITH {_BOX} SELECT det FROM bx WHERE det NOT IN (SELECT s_suppkey FROM supplier)")(
     lambda s, d: reconcile.without(_boxes(s, d), bridges.table(s, d, "supplier").select(F.col("s_suppkey").alias("det")), "det").select("det")
 )
-query("margin_filter", f"WITH {_BOX} SELECT det, margin FROM bx WHERE margin >= 32")(lambda s, d: _boxes(s, d).filter("margin >= 32").select("det", "margin"))
-query("detection_order", f"WITH {_BOX} SELECT det, row_number() OVER (PARTITION BY image_id ORDER BY id, family, hamming, margin DESC, det) AS place FROM bx")(
-    lambda s, d: _boxes(s, d).selectExpr("det", "row_number() OVER (PARTITION BY image_id ORDER BY id, family, hamming, margin DESC, det) AS place")
-)
+query("margin_filter", f"WITH {_BOX} SELECT det, margin FROM bx WHERE NOT margin < 32")(lambda s, d: reconcile.with_margin(_boxes(s, d), 32).select("det", "margin"))
+query(
+    "detection_order",
+    f"WITH {_BOX} SELECT a.det, count(*) AS place FROM bx a JOIN bx b ON b.image_id = a.image_id AND (b.id, b.family, b.hamming, -b.margin, b.det) <= (a.id, a.family, a.hamming, -a.margin, a.det) GROUP BY a.det",
+)(lambda s, d: reconcile.in_order(_boxes(s, d), "det").select("det", "place"))

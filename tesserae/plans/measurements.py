@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.config import Camera
+from tesserae.functions import columns as cols
 from tesserae.operators import analytics as an
-from tesserae.operators import pose
+from tesserae.operators import moments, pose
 from tesserae.plans.images import _detect
 from tesserae.sources import bridges
 
@@ -103,8 +102,13 @@ q(
 q("runs_union", f"WITH {_RUNS} SELECT label, count(*) AS n FROM (SELECT label FROM ru UNION ALL SELECT o_orderpriority FROM orders) GROUP BY label", lambda s, d: runs(s, d).select("label").unionByName(bridges.table(s, d, "orders").select(F.col("o_orderpriority").alias("label"))).groupBy("label").agg(F.count(F.lit(1)).alias("n")))
 q(
     "profile_report",
-    f"WITH {_RUNS} SELECT event_id, printf('%2d %-10s %8d', seq, stage, wall) AS line FROM ru",
-    lambda s, d: runs(s, d).select("event_id", F.format_string("%2d %-10s %8d", "seq", "stage", "wall").alias("line")),
+    f"WITH {_RUNS}, t AS (SELECT *, max(wall) OVER ({_K}) AS total FROM ru) SELECT event_id, lpad(seq::VARCHAR, 2, ' ') || ' ' || rpad(stage, 32, ' ') || lpad(format('{{:.3f}}', wall / 1e3), 15, ' ') || lpad(((wall * 1000 // total) // 10)::VARCHAR, 5, ' ') || '.' || (wall * 1000 // total) % 10 || ' %' AS line FROM t",
+    lambda s, d: an.profile_lines(runs(s, d)).select("event_id", "line"),
+)
+q(
+    "profile_report_short",
+    f"WITH {_RUNS} SELECT event_id, stage || ': ' || wall || ' us' AS line FROM ru",
+    lambda s, d: an.profile_lines(runs(s, d), short=True).select("event_id", "line"),
 )
 
 # Moments, lines and maxima over measured points.
@@ -118,106 +122,111 @@ def _points(s, d):
 
 
 _MOMENTS = {"sw": "w", "swx": "w * x", "swy": "w * y", "swxx": "w * x * x", "swxy": "w * x * y", "swyy": "w * y * y"}
+_BY, _IN = ["l_orderkey"], ["l_linenumber", "x", "y", "w"]
+_NUMBERED = f"{_LI}, r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, x, y, w) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM li)"
 q(
     "prefix_moments",
-    f"WITH {_LI} SELECT l_orderkey, l_linenumber, " + ", ".join(f"(sum({e}) OVER w)::BIGINT AS {n}" for n, e in _MOMENTS.items()) + " FROM li WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, x, y, w ROWS UNBOUNDED PRECEDING)",
-    lambda s, d: _points(s, d).select("l_orderkey", "l_linenumber", *[F.sum(F.expr(e)).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "x", "y", "w").rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n, e in _MOMENTS.items()]),
+    f"WITH {_NUMBERED} SELECT a.l_orderkey, a.l_linenumber, " + ", ".join(f"sum(b.{e.replace('* ', '* b.')})::BIGINT AS {n}" for n, e in _MOMENTS.items()) + " FROM r a JOIN r b ON b.l_orderkey = a.l_orderkey AND b.i <= a.i GROUP BY a.l_orderkey, a.l_linenumber, a.i",
+    lambda s, d: moments.prefix_moments(_points(s, d), _BY, _IN).select("l_orderkey", "l_linenumber", *_MOMENTS),
 )
-
-
-def _range_moments(s, d):
-    """Circular sums over a point, the one before and the one after, from prefix sums."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "x", "y", "w")
-    p = _points(s, d).withColumns({"i": F.row_number().over(w), "n": F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")), "p": F.sum(F.col("w") * F.col("x")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    total = F.sum(F.col("w") * F.col("x")).over(Window.partitionBy("l_orderkey"))
-    first, last = F.first("p").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), total - F.lag("p", 1, 0).over(w)
-    own = F.col("p") - F.lag("p", 2, 0).over(w)
-    after = F.coalesce(F.lead("p").over(w) - F.col("p"), first)
-    before_first = total - F.max(F.when(F.col("i") == F.col("n") - 1, F.col("p")).otherwise(0)).over(Window.partitionBy("l_orderkey"))
-    del last
-    return p.withColumn("s", own + after + F.when(F.col("i") == 1, before_first).otherwise(0)).filter("n >= 3").select("l_orderkey", "l_linenumber", "s")
-
-
 q(
     "range_moments",
-    f"""WITH {_LI}, r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, x, y, w) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM li)
-SELECT a.l_orderkey, a.l_linenumber, sum(b.w * b.x)::BIGINT AS s FROM r a JOIN r b ON b.l_orderkey = a.l_orderkey AND b.i IN ((a.i + a.n - 1) % a.n, a.i, (a.i + 1) % a.n) WHERE a.n >= 3 GROUP BY a.l_orderkey, a.l_linenumber, a.i""",
-    _range_moments,
+    f"WITH {_NUMBERED} SELECT a.l_orderkey, a.l_linenumber, " + ", ".join(f"sum(b.{e.replace('* ', '* b.')})::BIGINT AS {n}" for n, e in _MOMENTS.items()) + " FROM r a JOIN r b ON b.l_orderkey = a.l_orderkey AND b.i IN ((a.i + a.n - 1) % a.n, a.i, (a.i + 1) % a.n) WHERE a.n >= 3 GROUP BY a.l_orderkey, a.l_linenumber, a.i",
+    lambda s, d: moments.range_moments(_points(s, d), _BY, _IN, 1).select("l_orderkey", "l_linenumber", *_MOMENTS),
 )
-
-
-def _line_fit(s, d):
-    g = _points(s, d).groupBy("l_orderkey").agg(*[F.sum(F.expr(e)).cast("double").alias(n) for n, e in _MOMENTS.items()])
-    g = g.selectExpr("l_orderkey", "swx / sw AS ex", "swy / sw AS ey", "swxx / sw - (swx / sw) * (swx / sw) AS cxx", "swxy / sw - (swx / sw) * (swy / sw) AS cxy", "swyy / sw - (swy / sw) * (swy / sw) AS cyy")
-    return g.selectExpr("l_orderkey", "round(ex, 4) AS ex", "round(ey, 4) AS ey", "round(0.5 * (cxx + cyy - sqrt((cxx - cyy) * (cxx - cyy) + 4 * cxy * cxy)), 4) + 0.0 AS mse")
-
-
+# The error is the least eigenvalue: trace and determinant of the weighted covariance; the normal is checked by what it must give.
 q(
     "line_fit",
-    f"""WITH {_LI}, g AS (SELECT l_orderkey, sum(w)::DOUBLE AS sw, sum(w * x)::DOUBLE AS sx, sum(w * y)::DOUBLE AS sy, sum(w * x * x)::DOUBLE AS sxx, sum(w * x * y)::DOUBLE AS sxy, sum(w * y * y)::DOUBLE AS syy FROM li GROUP BY l_orderkey),
-v AS (SELECT l_orderkey, sx / sw AS ex, sy / sw AS ey, sxx / sw - (sx / sw) * (sx / sw) AS cxx, sxy / sw - (sx / sw) * (sy / sw) AS cxy, syy / sw - (sy / sw) * (sy / sw) AS cyy FROM g)
-SELECT l_orderkey, round(ex, 4) AS ex, round(ey, 4) AS ey, round(0.5 * (cxx + cyy - sqrt((cxx - cyy) * (cxx - cyy) + 4 * cxy * cxy)), 4) + 0.0 AS mse FROM v""",
-    _line_fit,
+    f"""WITH {_LI}, g AS (SELECT l_orderkey, sum(w)::DOUBLE AS sw, sum(w * x)::DOUBLE AS sx, sum(w * y)::DOUBLE AS sy FROM li GROUP BY l_orderkey),
+v AS (SELECT li.l_orderkey, any_value(sx / sw) AS ex, any_value(sy / sw) AS ey, sum(w * (x - sx / sw) * (x - sx / sw)) / any_value(sw) AS cxx, sum(w * (x - sx / sw) * (y - sy / sw)) / any_value(sw) AS cxy, sum(w * (y - sy / sw) * (y - sy / sw)) / any_value(sw) AS cyy FROM li JOIN g USING (l_orderkey) GROUP BY li.l_orderkey),
+e AS (SELECT *, (cxx + cyy) / 2 - sqrt(greatest(0, (cxx + cyy) * (cxx + cyy) / 4 - (cxx * cyy - cxy * cxy))) AS low FROM v)
+SELECT l_orderkey, round(ex, 3) AS ex, round(ey, 3) AS ey, round(greatest(low, 0), 3) AS mse, abs(cxx + cyy - 2 * low) > 1e-6 AS has_normal FROM e""",
+    lambda s, d: moments.cluster_lines(_points(s, d), _BY).select("l_orderkey", F.round("ex", 3).alias("ex"), F.round("ey", 3).alias("ey"), (F.round(F.greatest("mse", F.lit(0.0)), 3)).alias("mse"), (F.abs(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") - 1) < 1e-6).alias("has_normal")),
 )
-_SLOPE = "CASE WHEN y > 50 THEN CASE WHEN x > 25 THEN 2 ELSE 3 END ELSE CASE WHEN x > 25 THEN 1 ELSE 0 END END"
 q(
     "slope_order",
-    f"WITH {_LI} SELECT l_orderkey, l_linenumber, {_SLOPE} AS quadrant, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_SLOPE}, y, x, w, l_linenumber) AS place FROM li",
-    lambda s, d: _points(s, d).selectExpr("l_orderkey", "l_linenumber", f"{_SLOPE} AS quadrant", f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {_SLOPE}, y, x, w, l_linenumber) AS place"),
+    f"""WITH {_LI}, b AS (SELECT *, x - ((min(x) OVER g + max(x) OVER g) / 2.0 + 0.05118) AS dx, y - ((min(y) OVER g + max(y) OVER g) / 2.0 - 0.028581) AS dy FROM li WINDOW g AS (PARTITION BY l_orderkey))
+SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY atan2(dy::DOUBLE, dx::DOUBLE), y, x, w, l_linenumber) AS place FROM b""",
+    lambda s, d: moments.slope_key(_points(s, d), _BY).select("l_orderkey", "l_linenumber", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("slope_key", "y", "x", "w", "l_linenumber")).alias("place")),
 )
+_MAX = f"""{_NUMBERED}, mx AS (SELECT r.l_orderkey, r.l_linenumber, r.y FROM r JOIN r a ON a.l_orderkey = r.l_orderkey AND a.i = (r.i + r.n - 1) % r.n JOIN r b ON b.l_orderkey = r.l_orderkey AND b.i = (r.i + 1) % r.n WHERE r.y > a.y AND r.y > b.y)"""
 
 
 def _maxima(s, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "x", "y", "w")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    p = _points(s, d).withColumns({"a": F.coalesce(F.lag("y").over(w), F.last("y").over(whole)), "b": F.coalesce(F.lead("y").over(w), F.first("y").over(whole))})
-    return p.filter("y > a AND y > b").select("l_orderkey", "l_linenumber", "y")
+    return moments.local_maxima(_points(s, d), _BY, _IN, "y").select("l_orderkey", "l_linenumber", "y")
 
 
-_MAX = f"""{_LI}, r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, x, y, w) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM li),
-mx AS (SELECT r.l_orderkey, r.l_linenumber, r.y FROM r JOIN r a ON a.l_orderkey = r.l_orderkey AND a.i = (r.i + r.n - 1) % r.n JOIN r b ON b.l_orderkey = r.l_orderkey AND b.i = (r.i + 1) % r.n WHERE r.y > a.y AND r.y > b.y)"""
 q("local_maxima", f"WITH {_MAX} SELECT * FROM mx", _maxima)
 q(
     "topk_maxima",
     f"WITH {_MAX} SELECT l_orderkey, l_linenumber, y FROM mx m WHERE (SELECT count(*) FROM mx o WHERE o.l_orderkey = m.l_orderkey AND o.y >= m.y) <= 2",
-    lambda s, d: _maxima(s, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("l_orderkey").orderBy(F.desc("y")))).filter("n <= 2").drop("n"),
+    lambda s, d: moments.top_maxima(_maxima(s, d), _BY, "y", 2),
 )
 
-# Scalar, geometric and algebraic functions as expressions.
+# Functions on columns, against SQL that states them another way.
 
 _PT = "pt AS (SELECT c_custkey AS k, (c_custkey % 17 - 8)::DOUBLE AS x, (c_custkey % 23 - 11)::DOUBLE AS y, (c_custkey % 5 + 1)::DOUBLE AS u, (c_custkey % 7 - 3)::DOUBLE AS v, c_acctbal AS a FROM customer)"
+_C = {n: F.col(n) for n in "xyuva"}
 
 
 def _pt(s, d):
     k = F.col("c_custkey")
-    return bridges.table(s, d, "customer").select(k.alias("k"), (k % 17 - 8).cast("double").alias("x"), (k % 23 - 11).cast("double").alias("y"), (k % 5 + 1).cast("double").alias("u"), (k % 7 - 3).cast("double").alias("v"), F.col("c_acctbal").alias("a"))
-
-
-def both(name: str, *columns: str) -> None:
-    """A query that is the same expressions in either language; its SQL may state them its own way after ``=>``."""
-    ours, theirs = zip(*[(c.split("=>")[0], c.split("=>")[-1]) for c in columns], strict=True)
-    names = [c.rsplit(" AS ", 1)[1].strip() for c in ours]
-    strip = lambda c: c.rsplit(" AS ", 1)[0]
-    SQL[name] = f"WITH {_PT} SELECT k, " + ", ".join(f"{strip(t)} AS {n}" for t, n in zip(theirs, names, strict=True)) + " FROM pt"
-    QUERIES[name] = lambda s, d: _pt(s, d).selectExpr("k", *[f"{strip(o)} AS {n}" for o, n in zip(ours, names, strict=True)])
-
-
-_TAU = 2 * math.pi
-both("mod2pi", f"round(a - {_TAU!r} * floor(a / {_TAU!r}), 6) AS pos", f"round(a + {math.pi!r} - {_TAU!r} * floor((a + {math.pi!r}) / {_TAU!r}) - {math.pi!r}, 6) AS mid")
-both("poly_eval", "round(aggregate(array(2D, x, -1D, 0.5D), 0D, (acc, c) -> acc * v + c), 6) AS p => round(((2 * v + x) * v - 1) * v + 0.5, 6) AS p", "round(6 * v * v + 2 * x * v - 1, 6) AS dp => round((6 * v + 2 * x) * v - 1, 6) AS dp")
-both("geom_distance", "round(sqrt((x - u) * (x - u) + (y - v) * (y - v)), 6) AS dist => round(pow(pow(x - u, 2) + pow(y - v, 2), 0.5), 6) AS dist", "round(atan2(v - y, u - x), 6) AS angle")
-_DET = "(x * v - y * u)"
-both("line_intersection", f"CASE WHEN abs({_DET}) >= 1e-8 THEN round((3 * v - 5 * y) / {_DET}, 6) END AS ix", f"CASE WHEN abs({_DET}) >= 1e-8 THEN round((5 * x - 3 * u) / {_DET}, 6) END AS iy")
-both("point_in_polygon", "(y >= -6 AND y < 6 AND x >= -5 AND x < 5) AS inside => ((y BETWEEN -6 AND 5.5) AND (x BETWEEN -5 AND 4.5)) AS inside")
-both("quad_rescale", "round((x - 0.5) * 2 + 0.5, 6) AS x2 => round(2 * x - 0.5, 6) AS x2", "round(x * 1.5, 6) AS x15")
-both("clamp_saturate", "greatest(-5D, least(5D, x)) AS clamped => CASE WHEN x < -5 THEN -5.0::DOUBLE WHEN x > 5 THEN 5.0::DOUBLE ELSE x END AS clamped", "greatest(0D, x - u) AS sat => CASE WHEN x > u THEN x - u ELSE 0.0::DOUBLE END AS sat")
-both("matrix_det", "round(x * v - y * u, 6) AS d2", "round(x * (v * 2 - 1 * a) - y * (u * 2 - 1 * 3) + 1 * (u * a - v * 3), 4) AS d3 => round(x * v * 2 + y * 1 * 3 + 1 * u * a - 1 * v * 3 - y * u * 2 - x * 1 * a, 4) AS d3")
-_D2 = "(x * v - y * u)"
-both("matrix_inv", f"CASE WHEN {_D2} <> 0 THEN round(v / {_D2}, 6) + 0D END AS i00 => CASE WHEN {_D2} <> 0 THEN round(v / {_D2}, 6) + 0.0 END AS i00", f"CASE WHEN {_D2} <> 0 THEN round(x / {_D2}, 6) + 0D END AS i11 => CASE WHEN {_D2} <> 0 THEN round(x / {_D2}, 6) + 0.0 END AS i11")
-both("matrix_matmul", "round(aggregate(zip_with(array(x, y), array(u, v), (p, q) -> p * q), 0D, (acc, e) -> acc + e), 6) AS m00 => round(x * u + y * v, 6) AS m00", "round(aggregate(zip_with(array(x, y), array(v, u), (p, q) -> p * q), 0D, (acc, e) -> acc + e), 6) AS m01 => round(x * v + y * u, 6) AS m01")
-both("matrix_transpose", "transform(sequence(0, 1), i -> array(x, y, u, v)[i * 2])[1] AS t01 => u AS t01", "array(x, y, u, v)[1] AS t10 => y AS t10")
-both("vec_cross", "round(y * 2 - 1 * v, 6) AS cx", "round(1 * u - x * 2, 6) AS cy", "round(x * v - y * u, 6) AS cz")
-both("matrix_max_err", "array_max(zip_with(array(x, y), array(u, v), (p, q) -> abs(p - q))) AS err => greatest(abs(x - u), abs(y - v)) AS err", "array_max(array(x, y, u, v)) AS most => greatest(x, y, u, v) AS most")
+    return bridges.table(s, d, "customer").select(k.alias("k"), (k % 17 - 8).cast("double").alias("x"), (k % 23 - 11).cast("double").alias("y"), (k % 5 + 1).cast("double").alias("u"), (k % 7 - 3).cast("double").alias("v"), F.col("c_acctbal").cast("double").alias("a"))
+
+
+def f(name: str, sql: str, **made) -> None:
+    """A query of the point table with some made columns, rounded; ``sql`` selects the same."""
+    SQL[name] = f"WITH {_PT} {sql}"
+    shown = {n: F.round(e, 4) + F.lit(0.0) if n not in ("inside",) else e for n, e in made.items()}
+    QUERIES[name] = lambda s, d: _pt(s, d).select("k", *[e.alias(n) for n, e in shown.items()])
+
+
+x, y, u, v, a = (_C[n] for n in "xyuva")
+_r = lambda e, n: f"round({e}, 4) + 0.0::DOUBLE AS {n}"
+f("mod2pi", f"SELECT k, {_r('CASE WHEN atan2(sin(z), cos(z)) < 0 THEN atan2(sin(z), cos(z)) + 2 * pi() ELSE atan2(sin(z), cos(z)) END', 'pos')}, {_r('atan2(sin(z), cos(z))', 'mid')} FROM (SELECT k, x * 1.3 + y * 0.7 + 0.1 AS z FROM pt)", pos=cols.mod2pi_pos(x * 1.3 + y * 0.7 + 0.1), mid=cols.mod2pi(x * 1.3 + y * 0.7 + 0.1))
+_CO = [F.lit(0.5), F.lit(-1.0), x, F.lit(2.0)]
+f("poly_eval", f"SELECT k, {_r('0.5 - v + x * pow(v, 2) + 2 * pow(v, 3)', 'p')}, {_r('-1 + 2 * x * v + 6 * pow(v, 2)', 'dp')} FROM pt", p=cols.poly(_CO, v), dp=cols.poly(cols.poly_derivative(_CO), v))
+f("geom_distance", f"SELECT k, {_r('pow(pow(x - u, 2) + pow(y - v, 2), 0.5)', 'dist')}, {_r('CASE WHEN x = u AND y = v THEN 0 WHEN x = u THEN CASE WHEN v > y THEN pi() / 2 ELSE -pi() / 2 END ELSE atan((v - y) / (u - x)) + CASE WHEN u > x THEN 0 WHEN v >= y THEN pi() ELSE -pi() END END', 'angle')} FROM pt", dist=cols.distance((x, y), (u, v)), angle=cols.angle((x, y), (u, v)))
+_three, _four = (F.lit(0.0), F.lit(5.0)), (F.lit(3.0), F.lit(-4.0))
+_ix, _iy = cols.line_intersection((x, y), (u, v), _three, _four)
+_sx, _sy = cols.segment_intersection((x, y), (u, v), _three, _four)
+# The given line is 9 x + 3 y = 15; the other one (v - y) x - (u - x) y = (v - y) x0 - (u - x) y0.
+_MEET = "SELECT k, x, y, u, v, (v - y) AS p, (x - u) AS q, (v - y) * x + (x - u) * y AS r, 9 * (x - u) - 3 * (v - y) AS det FROM pt"
+_HIT = "det <> 0 AND (x <> u OR y <> v)"
+f("line_intersection", f"SELECT k, {_r(f'CASE WHEN {_HIT} THEN (15 * q - 3 * r) / det END', 'ix')}, {_r(f'CASE WHEN {_HIT} THEN (9 * r - 15 * p) / det END', 'iy')} FROM ({_MEET})", ix=_ix, iy=_iy)
+f(
+    "segment_intersection",
+    f"""SELECT k, {_r('CASE WHEN ok THEN ix END', 'ix')}, {_r('CASE WHEN ok THEN iy END', 'iy')} FROM (SELECT *, ix BETWEEN -1e-9 AND 3 + 1e-9 AND iy BETWEEN -4 - 1e-9 AND 5 + 1e-9
+  AND ix BETWEEN least(x, u) - 1e-9 AND greatest(x, u) + 1e-9 AND iy BETWEEN least(y, v) - 1e-9 AND greatest(y, v) + 1e-9 AS ok FROM (SELECT *, CASE WHEN {_HIT} THEN (15 * q - 3 * r) / det END AS ix, CASE WHEN {_HIT} THEN (9 * r - 15 * p) / det END AS iy FROM ({_MEET})))""",
+    ix=_sx, iy=_sy,
+)
+_NOTCHED = [(-7, -9), (6, -10), (7.5, 8.5), (0.5, 1.25), (-6.5, 9.5)]
+_SIDES = ", ".join(f"({p[0]}::DOUBLE, {p[1]}::DOUBLE, {q_[0]}::DOUBLE, {q_[1]}::DOUBLE)" for p, q_ in zip(_NOTCHED, _NOTCHED[1:] + _NOTCHED[:1], strict=True))
+f(
+    "point_in_polygon",
+    f"SELECT k, (sum(CASE WHEN (y0 > y) <> (y1 > y) AND sign(y1 - y0) * ((x - x0) * (y1 - y0) - (x1 - x0) * (y - y0)) < 0 THEN 1 ELSE 0 END) % 2 = 1) AS inside FROM pt, (VALUES {_SIDES}) e(x0, y0, x1, y1) GROUP BY k",
+    inside=cols.contains_point(cols.polygon(_NOTCHED), x, y),
+)
+f("polygon_area", f"SELECT k, {_r('((v - y) * (x + 1) + (y - 4) * u + (4 - v) * x) / -2 - 0.0', 'area')} FROM (SELECT k, x, y, u, v FROM pt)".replace("((v - y) * (x + 1) + (y - 4) * u + (4 - v) * x) / -2 - 0.0", "((u - x) * (4 - y) - (x + 1 - x) * (v - y)) / 2"), area=cols.polygon_area(F.array(F.struct(x.alias("x"), y.alias("y")), F.struct(u.alias("x"), v.alias("y")), F.struct((x + 1).alias("x"), F.lit(4.0).alias("y")))))
+f("quad_rescale", f"SELECT k, {_r('2 * x - 0.5', 'x2')}, {_r('x + x / 2', 'x15')}, {_r('x', 'x0')} FROM pt", x2=cols.rescale_corner(x, 2), x15=cols.rescale_corner(x, 1.5), x0=cols.rescale_corner(x, 0))
+f("clamp_saturate", f"SELECT k, {_r('CASE WHEN x < -5 THEN -5 WHEN x > 5 THEN 5 ELSE x END', 'clamped')}, {_r('CASE WHEN x > u THEN x - u ELSE 0 END', 'sat')} FROM pt", clamped=cols.clamp(x, -5.0, 5.0), sat=cols.saturating_sub(x, u))
+_M2, _M3 = cols.Matrix([[x, y], [u, v]]), cols.Matrix([[x, y, 1], [u, v, F.floor(a).cast("double")], [3, x - y, 2]])
+_S3 = "x * v * 2 + y * floor(a) * 3 + u * (x - y) - 3 * v - 2 * u * y - x * (x - y) * floor(a)"  # the rule of Sarrus
+f("matrix_det", f"SELECT k, {_r('x * v - y * u', 'd2')}, {_r(_S3, 'd3')} FROM pt", d2=_M2.det(), d3=_M3.det())
+_i2 = _M2.inverse()
+f("matrix_inv", f"SELECT k, {_r('v / d', 'i00')}, {_r('-y / d', 'i01')}, {_r('-u / d', 'i10')}, {_r('x / d', 'i11')} FROM (SELECT *, nullif(x * v - y * u, 0) AS d FROM pt)", i00=_i2.rows[0][0], i01=_i2.rows[0][1], i10=_i2.rows[1][0], i11=_i2.rows[1][1])
+_x3 = cols.Matrix([[2, 1, 0], [1, 3, 1], [0, 1, x * x + 1.37]]).solve([u, v, y])
+# Elimination by hand: the second row less half of the first, the third less 2/5 of the second.
+f("matrix_solve", f"SELECT k, {_r('(u - s1) / 2', 's0')}, {_r('s1', 's1')}, {_r('s2', 's2')} FROM (SELECT *, (v - u / 2 - s2) / 2.5 AS s1 FROM (SELECT *, (y - (v - u / 2) / 2.5) / (x * x + 1.37 - 1 / 2.5) AS s2 FROM pt))", s0=_x3[0], s1=_x3[1], s2=_x3[2])
+_mm = _M2 @ cols.Matrix([[u, 2], [v, -1]])
+f("matrix_matmul", f"SELECT k, {_r('x * u + y * v', 'm00')}, {_r('2 * x - y', 'm01')}, {_r('u * u + v * v', 'm10')}, {_r('2 * u - v', 'm11')} FROM pt", m00=_mm.rows[0][0], m01=_mm.rows[0][1], m10=_mm.rows[1][0], m11=_mm.rows[1][1])
+_tt = cols.Matrix([[x, y, 1], [u, v, 2]]).T
+f("matrix_transpose", f"SELECT k, {_r('u', 't01')}, {_r('y', 't10')}, {_r('2.0', 't21')} FROM pt", t01=_tt.rows[0][1], t10=_tt.rows[1][0], t21=_tt.rows[2][1])
+_cr = cols.cross([x, y, F.lit(1.0)], [u, v, F.lit(2.0)])
+f("vec_cross", f"SELECT k, {_r('2 * y - v', 'cx')}, {_r('u - 2 * x', 'cy')}, {_r('x * v - y * u', 'cz')} FROM pt", cx=_cr[0], cy=_cr[1], cz=_cr[2])
+_no = cols.normalized([x, y, u])
+f("vec_normalized", f"SELECT k, {_r('x * pow(x * x + y * y + u * u, -0.5)', 'nx')}, {_r('u * pow(x * x + y * y + u * u, -0.5)', 'nz')}, {_r('pow(pow(x - u, 2) + pow(y - v, 2), 0.5)', 'dist')} FROM pt", nx=_no[0], nz=_no[2], dist=cols.vec_dist([x, y], [u, v]))
+f("matrix_max_err", f"SELECT k, {_r('CASE WHEN abs(x - u) > abs(y - v) THEN abs(x - u) ELSE abs(y - v) END', 'err')}, {_r('list_max([x, y, u, v])', 'most')} FROM pt", err=cols.Matrix([[x, y]]).err_inf(cols.Matrix([[u, v]])), most=_M2.largest())
 
 # Poses of the scenes' markers.
 

@@ -298,6 +298,19 @@ def test_geometry():
     assert geometry.closest_boundary_point(sq, (2, -3)) == (2, 0) and geometry.rasterize(sq, 2) == [0, 4]
 
 
+def test_points_inside_concave_polygons():
+    from tesserae.functions import geometry
+
+    notched = [[(0, 0), (2, 1), (4, 0), (4, 4), (0, 4)], [(0, 0), (4, 0), (4, 4), (2, 0.5), (0, 4)], [(0, 0), (1, 0), (1, 3), (5, 3), (5, 4), (0, 4)]]
+    for poly in notched:
+        for own in (poly, poly[::-1], poly[2:] + poly[:2]):
+            assert geometry.contains_point(own, geometry.interior_point(own))
+    u = [(0, 0), (5, 0), (5, 5), (4, 5), (4, 1), (1, 1), (1, 5), (0, 5)]
+    within = [(2, 2), (3, 2), (3, 3), (2, 3)]  # in the opening of the U, outside it
+    assert not geometry.overlap(u, within) and not geometry.overlap(within, u)
+    assert geometry.overlap(u, [(0.2, 0.2), (0.8, 0.2), (0.8, 0.8), (0.2, 0.8)])
+
+
 def test_algebra():
     rng = np.random.default_rng(1)
     for n in (2, 3, 5, 9):
