@@ -26,6 +26,8 @@ class QuadParams:
     max_line_fit_mse: float = 10.0
     min_white_black_diff: int = 5
     deglitch: bool = False
+    #: Threshold by all eight neighbours of a tile instead of itself, the left and the upper ones.
+    full_blur: bool = False
 
 
 @dataclass(frozen=True)

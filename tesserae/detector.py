@@ -35,11 +35,12 @@ class _Reader:
 
     def __call__(self, word: int) -> tuple[int, int, int] | None:
         """id, Hamming distance, rotation."""
-        for turn, w in enumerate(families.rotations(word, len(self.bits))):
-            d = np.bitwise_count(self.codes ^ np.uint64(w))
-            if d.min() <= self.errors:
-                at = int(np.flatnonzero(d <= self.errors)[0])
-                return at, int(d[at]), turn
+        turned = np.array(families.rotations(word, len(self.bits)), np.uint64)
+        d = np.bitwise_count(self.codes ^ turned[:, None])
+        near = d <= self.errors
+        for turn in np.flatnonzero(near.any(1)):
+            at = int(near[turn].argmax())
+            return at, int(d[turn, at]), int(turn)
         return None
 
 
@@ -59,18 +60,19 @@ def detect_one(im: np.ndarray, config: DetectorConfig, readers: list[_Reader]) -
     small = kernels.sigma_filter(np.ascontiguousarray(small), config)
     if min(small.shape) < 4:
         return []
-    t = kernels.threshold(small, config.qtp.min_white_black_diff)
+    t = kernels.threshold(small, config.qtp.min_white_black_diff, full_blur=config.qtp.full_blur)
     if config.qtp.deglitch:
         t = kernels.deglitch(t)
+    factor = config.quad_decimate or 1.0  # as given, also where the image is decimated by its rounded value
     fams = [r.family for r in readers]
-    tag_width = max(3, int(min(f.width_at_border for f in fams) / (k or 1)))
+    tag_width = max(3, int(min(f.width_at_border for f in fams) / factor))
     quads = kernels.find_quads(small, t, config, tag_width, any(not f.reversed_border for f in fams), any(f.reversed_border for f in fams))
     found = []
     for corners, flipped in quads:
         if k:
             corners = np.array([[geometry.rescale_corner(v, k) for v in c] for c in corners])
         if config.refine_edges:
-            corners = kernels.refine(corners, im, flipped, (k or 1) + 1)
+            corners = kernels.refine(corners, im, flipped, factor + 1)
         h = kernels.homography(corners)
         if h is None:
             continue
@@ -96,7 +98,7 @@ def debug_images(im: np.ndarray, config: DetectorConfig) -> dict[str, np.ndarray
     out = {"source": im}
     out["decimated"] = kernels.decimate_three_halves(im) if k == 1.5 else kernels.decimate(im, int(k)) if k else im
     out["filtered"] = kernels.sigma_filter(np.ascontiguousarray(out["decimated"]), config)
-    out["threshold"] = kernels.threshold(out["filtered"], config.qtp.min_white_black_diff)
+    out["threshold"] = kernels.threshold(out["filtered"], config.qtp.min_white_black_diff, full_blur=config.qtp.full_blur)
     if config.qtp.deglitch:
         out["deglitched"] = kernels.deglitch(out["threshold"])
     rep, _ = kernels.components(out.get("deglitched", out["threshold"]))
@@ -121,14 +123,18 @@ class Detector:
 
             readers = [_Reader(f, e) for f, e in fams]
             for batch in batches:
+                out: list[dict] = []
                 for row in range(batch.num_rows):
                     image_id, w, h, data = (batch.column(batch.schema.get_field_index(n))[row].as_py() for n in ("image_id", "width", "height", "data"))
                     if config.source_dimensions and (w, h) != config.source_dimensions:
                         raise ConfigError(f"frame {image_id} is {w} x {h}")
                     im = np.frombuffer(data, np.uint8)[: w * h].reshape(h, w)
-                    out = [d | {"image_id": image_id, "corners": [v for p in d["corners"] for v in p]} for d in detect_one(im, config, readers)]
-                    if out:
+                    out += [d | {"image_id": image_id, "corners": [v for p in d["corners"] for v in p]} for d in detect_one(im, config, readers)]
+                    if len(out) >= 512:
                         yield pa.RecordBatch.from_pylist(out, schema=target)
+                        out = []
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=target)
 
         return frames.select("image_id", "width", "height", "data").mapInArrow(run, DETECTION)
 

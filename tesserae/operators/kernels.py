@@ -6,6 +6,7 @@ after the other; every step has the same result as its relational form.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 
@@ -199,9 +200,9 @@ def prefix_moments(im: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     px, py = x / 2 + 0.5, y / 2 + 0.5
     ix, iy = px.astype(int), py.astype(int)
     inner = (ix > 0) & (ix + 1 < im.shape[1]) & (iy > 0) & (iy + 1 < im.shape[0])
-    i = im.astype(np.float64)
-    jx, jy = np.clip(ix, 1, im.shape[1] - 2), np.clip(iy, 1, im.shape[0] - 2)
-    w = np.where(inner, np.hypot(i[jy, jx + 1] - i[jy, jx - 1], i[jy + 1, jx] - i[jy - 1, jx]) + 1, 1.0)
+    jx, jy = np.minimum(np.maximum(ix, 1), im.shape[1] - 2), np.minimum(np.maximum(iy, 1), im.shape[0] - 2)
+    i = lambda dy, dx: im[jy + dy, jx + dx].astype(np.float64)
+    w = np.where(inner, np.hypot(i(0, 1) - i(0, -1), i(1, 0) - i(-1, 0)) + 1, 1.0)
     return np.cumsum(np.stack([w, w * px, w * py, w * px * px, w * px * py, w * py * py], 1), 0)
 
 
@@ -238,7 +239,8 @@ def corner_maxima(prefix: np.ndarray, most: int) -> np.ndarray | None:
     at = np.arange(n)
     err = fit_lines(prefix, (at - reach) % n, (at + reach) % n)["err"]
     weights = np.exp(-0.5 * np.arange(-3, 4) ** 2.0)
-    err = sum(wt * np.roll(err, -j) for j, wt in zip(range(-3, 4), weights, strict=True))
+    wide = np.concatenate([err[(np.arange(-3, 0)) % n], err, err[np.arange(3) % n]])
+    err = sum(wt * wide[j : j + n] for j, wt in enumerate(weights))
     top = np.flatnonzero((err > np.roll(err, -1)) & (err > np.roll(err, 1)))
     if len(top) < 4:
         return None
@@ -247,13 +249,18 @@ def corner_maxima(prefix: np.ndarray, most: int) -> np.ndarray | None:
     return top if len(top) >= 4 else None
 
 
+@functools.lru_cache(maxsize=64)
+def _fours(k: int) -> np.ndarray:
+    return np.array(list(itertools.combinations(range(k), 4)))
+
+
 def best_corners(prefix: np.ndarray, top: np.ndarray, qtp: QuadParams) -> tuple[int, int, int, int] | None:
     """The four maxima whose lines fit best."""
     k = len(top)
     i, j = (a.ravel() for a in np.meshgrid(np.arange(k), np.arange(k), indexing="ij"))
     line = fit_lines(prefix, top[i], top[j])
     at = lambda a, b: a * k + b
-    four = np.array(list(itertools.combinations(range(k), 4)))
+    four = _fours(k)
     sides = [at(four[:, a], four[:, b]) for a, b in ((0, 1), (1, 2), (2, 3), (3, 0))]
     ok = np.logical_and.reduce([line["mse"][s] <= qtp.max_line_fit_mse for s in sides])
     ok &= np.abs(line["nx"][sides[0]] * line["nx"][sides[1]] + line["ny"][sides[0]] * line["ny"][sides[1]]) <= qtp.cos_critical_rad
@@ -266,12 +273,11 @@ def best_corners(prefix: np.ndarray, top: np.ndarray, qtp: QuadParams) -> tuple[
 
 def intersect(p: tuple, q: tuple) -> tuple[float, float] | None:
     """Meeting point of lines given by centre and normal."""
-    a = np.array([[p[2], p[3]], [q[2], q[3]]])
-    det = a[0, 0] * a[1, 1] - a[0, 1] * a[1, 0]
+    det = p[2] * q[3] - p[3] * q[2]
     if abs(det) < 1e-3:
         return None
-    r = np.array([a[0] @ p[:2], a[1] @ q[:2]])
-    return (r[0] * a[1, 1] - r[1] * a[0, 1]) / det, (a[0, 0] * r[1] - a[1, 0] * r[0]) / det
+    r, t = p[2] * p[0] + p[3] * p[1], q[2] * q[0] + q[3] * q[1]
+    return (r * q[3] - t * p[3]) / det, (p[2] * t - q[2] * r) / det
 
 
 def _heron(a: float, b: float, c: float) -> float:
@@ -354,13 +360,21 @@ def find_quads(im: np.ndarray, t: np.ndarray, config: DetectorConfig, tag_width:
     if not len(points):
         return []
     points = points[np.lexsort((points[:, 5], points[:, 4], points[:, 2], points[:, 3], points[:, 1], points[:, 0]))]
-    edges = np.flatnonzero(np.any(points[1:, :2] != points[:-1, :2], 1)) + 1
+    starts = np.concatenate([[0], np.flatnonzero(np.any(points[1:, :2] != points[:-1, :2], 1)) + 1])
+    ends = np.append(starts[1:], len(points))
+    x, y, gx, gy = points[:, 2:].T
+    # Clusters of no use go at once: by length, box and polarity (where it isn't near the middle).
+    low, high = np.minimum.reduceat(points[:, 2:4], starts), np.maximum.reduceat(points[:, 2:4], starts)
+    middle = (low + high) * 0.5 + (0.05118, -0.028581)
+    sums = np.add.reduceat(np.stack([x * gx + y * gy, gx, gy], 1), starts)
+    polarity = sums[:, 0] - (middle * sums[:, 1:]).sum(1)
+    use = (ends - starts >= max(config.qtp.min_cluster_pixels, 24)) & (ends - starts <= 4 * sum(t.shape)) & ((high - low).prod(1) >= tag_width)
+    use &= (normal & (polarity > -1e-6)) | (reversed_ & (polarity < 1e-6))
     out = []
-    for own in np.split(points, edges):
-        if max(config.qtp.min_cluster_pixels, 24) <= len(own) <= 4 * sum(t.shape):
-            quad = fit_quad(own[:, 2:], im, config.qtp, tag_width, normal, reversed_)
-            if quad is not None:
-                out.append(quad)
+    for start, end in zip(starts[use], ends[use], strict=True):
+        quad = fit_quad(points[start:end, 2:], im, config.qtp, tag_width, normal, reversed_)
+        if quad is not None:
+            out.append(quad)
     return out
 
 
@@ -368,46 +382,45 @@ def find_quads(im: np.ndarray, t: np.ndarray, config: DetectorConfig, tag_width:
 
 
 def refine(corners: np.ndarray, im: np.ndarray, flipped: bool, reach: float) -> np.ndarray:
-    """Corners moved to lines through the strongest edges near the sides."""
+    """Corners moved to lines through the strongest edges near the sides. All four sides are searched at once."""
     f = np.float32
     c = corners.astype(f).astype(np.float64)
     steps = np.arange(-reach, reach + 1e-9, 0.25)
-    lines = []
-    for i in range(4):
-        a, b = c[i], c[(i + 1) % 4]
-        d = b - a
-        length = float(np.hypot(*d))
-        if length == 0:
-            return corners
-        normal = np.array([d[1], -d[0]]) / length * (-1 if flipped else 1)
-        count = max(16, int(length / 8))
-        alpha = ((1 + np.arange(count)) / (count + 1))[:, None]
-        p0 = alpha * a + (1 - alpha) * b
-        at = p0[:, None, :] + steps[None, :, None] * normal
-        out, inn = at + normal, at - normal
-        px = lambda q: (np.trunc(q[..., 0]).astype(int), np.trunc(q[..., 1]).astype(int))
-        (x1, y1), (x2, y2) = px(out), px(inn)
-        h, w = im.shape
-        ok = (x1 >= 0) & (x1 < w) & (y1 >= 0) & (y1 < h) & (x2 >= 0) & (x2 < w) & (y2 >= 0) & (y2 < h)
-        g1 = im[np.clip(y1, 0, h - 1), np.clip(x1, 0, w - 1)].astype(np.float64)
-        g2 = im[np.clip(y2, 0, h - 1), np.clip(x2, 0, w - 1)].astype(np.float64)
-        weight = np.where(ok & (g1 >= g2), (g2 - g1) ** 2, 0)
-        total = weight.sum(1)
-        use = total > 0
-        if not use.any():
-            lines.append((np.nan,) * 4)
-            continue
-        best = p0[use] + ((weight * steps).sum(1)[use] / total[use])[:, None] * normal
-        e = best.mean(0)
-        cov = (best * best).mean(0) - e * e
-        cxy = (best[:, 0] * best[:, 1]).mean() - e[0] * e[1]
-        theta = f(0.5) * np.arctan2(f(-2 * cxy), f(cov[1] - cov[0]))
-        lines.append((e[0], e[1], float(np.cos(theta)), float(np.sin(theta))))
+    d = np.roll(c, -1, 0) - c
+    length = np.hypot(d[:, 0], d[:, 1])
+    if not length.all():
+        return corners
+    normal = np.stack([d[:, 1], -d[:, 0]], 1) / length[:, None] * (-1 if flipped else 1)
+    count = np.maximum(16, (length / 8).astype(int))
+    place = np.arange(count.max())
+    alpha = ((1 + place) / (count[:, None] + 1))[..., None]
+    p0 = alpha * c[:, None, :] + (1 - alpha) * np.roll(c, -1, 0)[:, None, :]
+    along = normal[:, None, None, :]
+    at = p0[:, :, None, :] + steps[:, None] * along
+    h, w = im.shape
+
+    def pixels(q):
+        x, y = q[..., 0].astype(int), q[..., 1].astype(int)  # towards zero
+        ok = (x >= 0) & (x < w) & (y >= 0) & (y < h)
+        return ok, im[np.minimum(np.maximum(y, 0), h - 1), np.minimum(np.maximum(x, 0), w - 1)].astype(np.float64)
+
+    (ok1, g1), (ok2, g2) = pixels(at + along), pixels(at - along)
+    weight = np.where(ok1 & ok2 & (g1 >= g2), (g2 - g1) ** 2, 0)
+    total = weight.sum(2)
+    use = (total > 0) & (place < count[:, None])
+    best = p0 + ((weight * steps).sum(2) / np.where(total > 0, total, 1))[..., None] * normal[:, None, :]
+    n = use.sum(1)
+    u = use / np.maximum(n, 1)[:, None]
+    e = (best * u[..., None]).sum(1)
+    cov = (best * best * u[..., None]).sum(1) - e * e
+    cxy = (best[..., 0] * best[..., 1] * u).sum(1) - e[:, 0] * e[:, 1]
+    theta = f(0.5) * np.arctan2((-2 * cxy).astype(f), (cov[:, 1] - cov[:, 0]).astype(f))
+    lines = np.stack([e[:, 0], e[:, 1], np.cos(theta), np.sin(theta)], 1)
     new = corners.copy()
     for i in range(4):
-        p, q = lines[i], lines[(i + 1) % 4]
-        if not np.isnan([*p, *q]).any() and (hit := intersect(p, q)) is not None:
-            new[(i + 1) % 4] = hit
+        j = (i + 1) % 4
+        if n[i] and n[j] and (hit := intersect(tuple(lines[i]), tuple(lines[j]))) is not None:
+            new[j] = hit
     return new
 
 
@@ -450,29 +463,40 @@ def sample(im: np.ndarray, p: np.ndarray) -> np.ndarray:
     ok = (x0 >= 0) & (y0 >= 0) & (x0 + 1 < im.shape[1]) & (y0 + 1 < im.shape[0])
     x, y = np.clip(x0, 0, im.shape[1] - 2), np.clip(y0, 0, im.shape[0] - 2)
     fx, fy = q[:, 0] - x0, q[:, 1] - y0
-    i = im.astype(np.float64)
-    v = i[y, x] * (1 - fx) * (1 - fy) + i[y, x + 1] * fx * (1 - fy) + i[y + 1, x] * (1 - fx) * fy + i[y + 1, x + 1] * fx * fy
+    i = lambda dy, dx: im[y + dy, x + dx].astype(np.float64)
+    v = i(0, 0) * (1 - fx) * (1 - fy) + i(0, 1) * fx * (1 - fy) + i(1, 0) * (1 - fx) * fy + i(1, 1) * fx * fy
     return np.where(ok, v, np.nan)
 
 
 def gray_planes(im: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients (x, y, 1) of the light and the dark border's brightness, from a strip on either side of each edge of the border."""
-    along = np.arange(width) + 0.5
-    strips = []
-    for at, light in ((-0.5, True), (0.5, False), (width + 0.5, True), (width - 0.5, False)):
-        fixed = np.full(width, at)
-        strips += [(np.stack([fixed, along], 1), light), (np.stack([along, fixed], 1), light)]
     fits = []
-    for light in (True, False):
-        tag = np.concatenate([s for s, of in strips if of == light]) / width * 2 - 1
-        p = np.trunc(project(h, tag)).astype(int)
+    for tag in _strips(width):
+        p = project(h, tag[:, :2]).astype(int)  # towards zero
         ok = (p[:, 0] >= 0) & (p[:, 1] >= 0) & (p[:, 0] < im.shape[1]) & (p[:, 1] < im.shape[0])
-        a = np.concatenate([tag[ok], np.ones((int(ok.sum()), 1))], 1)
-        v = im[p[ok, 1], p[ok, 0]].astype(np.float64)
-        fits.append(np.linalg.lstsq(a, v, rcond=None)[0] if ok.any() else np.zeros(3))
+        if not ok.any():
+            fits.append(np.zeros(3))
+            continue
+        a, v = tag[ok], im[p[ok, 1], p[ok, 0]].astype(np.float64)
+        try:
+            fits.append(np.linalg.solve(a.T @ a, a.T @ v))
+        except np.linalg.LinAlgError:  # too few places
+            fits.append(np.linalg.lstsq(a, v, rcond=None)[0])
     return fits[0], fits[1]
 
 
+@functools.lru_cache(maxsize=64)
+def _strips(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y, 1) on the light and on the dark side of the border's edges."""
+    along = np.arange(width) + 0.5
+    sides = []
+    for of in ((-0.5, width + 0.5), (0.5, width - 0.5)):
+        own = [np.stack(q, 1) for at in of for q in ((np.full(width, at), along), (along, np.full(width, at)))]
+        places = np.concatenate(own) / width * 2 - 1
+        sides.append(np.concatenate([places, np.ones((len(places), 1))], 1))
+    return sides[0], sides[1]
+
+
 def laplacian(values: np.ndarray, amount: float) -> np.ndarray:
     """values + amount * (4 v - neighbours), zero outside."""
     z = np.pad(values, 1)

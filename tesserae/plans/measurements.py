@@ -166,7 +166,6 @@ q(
 # Functions on columns, against SQL that states them another way.
 
 _PT = "pt AS (SELECT c_custkey AS k, (c_custkey % 17 - 8)::DOUBLE AS x, (c_custkey % 23 - 11)::DOUBLE AS y, (c_custkey % 5 + 1)::DOUBLE AS u, (c_custkey % 7 - 3)::DOUBLE AS v, c_acctbal AS a FROM customer)"
-_C = {n: F.col(n) for n in "xyuva"}
 
 
 def _pt(s, d):
@@ -174,59 +173,59 @@ def _pt(s, d):
     return bridges.table(s, d, "customer").select(k.alias("k"), (k % 17 - 8).cast("double").alias("x"), (k % 23 - 11).cast("double").alias("y"), (k % 5 + 1).cast("double").alias("u"), (k % 7 - 3).cast("double").alias("v"), F.col("c_acctbal").cast("double").alias("a"))
 
 
-def f(name: str, sql: str, **made) -> None:
-    """A query of the point table with some made columns, rounded; ``sql`` selects the same."""
+def f(name: str, sql: str, make) -> None:
+    """A query of the point table: ``make(x, y, u, v, a)`` gives columns, which are rounded; ``sql`` selects the same."""
     SQL[name] = f"WITH {_PT} {sql}"
-    shown = {n: F.round(e, 4) + F.lit(0.0) if n not in ("inside",) else e for n, e in made.items()}
-    QUERIES[name] = lambda s, d: _pt(s, d).select("k", *[e.alias(n) for n, e in shown.items()])
+
+    def run(s, d):
+        made = make(*(F.col(n) for n in "xyuva"))
+        return _pt(s, d).select("k", *[(F.round(e, 4) + F.lit(0.0) if n != "inside" else e).alias(n) for n, e in made.items()])
+
+    QUERIES[name] = run
 
 
-x, y, u, v, a = (_C[n] for n in "xyuva")
 _r = lambda e, n: f"round({e}, 4) + 0.0::DOUBLE AS {n}"
-f("mod2pi", f"SELECT k, {_r('CASE WHEN atan2(sin(z), cos(z)) < 0 THEN atan2(sin(z), cos(z)) + 2 * pi() ELSE atan2(sin(z), cos(z)) END', 'pos')}, {_r('atan2(sin(z), cos(z))', 'mid')} FROM (SELECT k, x * 1.3 + y * 0.7 + 0.1 AS z FROM pt)", pos=cols.mod2pi_pos(x * 1.3 + y * 0.7 + 0.1), mid=cols.mod2pi(x * 1.3 + y * 0.7 + 0.1))
-_CO = [F.lit(0.5), F.lit(-1.0), x, F.lit(2.0)]
-f("poly_eval", f"SELECT k, {_r('0.5 - v + x * pow(v, 2) + 2 * pow(v, 3)', 'p')}, {_r('-1 + 2 * x * v + 6 * pow(v, 2)', 'dp')} FROM pt", p=cols.poly(_CO, v), dp=cols.poly(cols.poly_derivative(_CO), v))
-f("geom_distance", f"SELECT k, {_r('pow(pow(x - u, 2) + pow(y - v, 2), 0.5)', 'dist')}, {_r('CASE WHEN x = u AND y = v THEN 0 WHEN x = u THEN CASE WHEN v > y THEN pi() / 2 ELSE -pi() / 2 END ELSE atan((v - y) / (u - x)) + CASE WHEN u > x THEN 0 WHEN v >= y THEN pi() ELSE -pi() END END', 'angle')} FROM pt", dist=cols.distance((x, y), (u, v)), angle=cols.angle((x, y), (u, v)))
-_three, _four = (F.lit(0.0), F.lit(5.0)), (F.lit(3.0), F.lit(-4.0))
-_ix, _iy = cols.line_intersection((x, y), (u, v), _three, _four)
-_sx, _sy = cols.segment_intersection((x, y), (u, v), _three, _four)
+f("mod2pi", f"SELECT k, {_r('CASE WHEN atan2(sin(z), cos(z)) < 0 THEN atan2(sin(z), cos(z)) + 2 * pi() ELSE atan2(sin(z), cos(z)) END', 'pos')}, {_r('atan2(sin(z), cos(z))', 'mid')} FROM (SELECT k, x * 1.3 + y * 0.7 + 0.1 AS z FROM pt)", lambda x, y, u, v, a: {"pos": cols.mod2pi_pos(x * 1.3 + y * 0.7 + 0.1), "mid": cols.mod2pi(x * 1.3 + y * 0.7 + 0.1)})
+_CUBIC = lambda x: [F.lit(0.5), F.lit(-1.0), x, F.lit(2.0)]
+f("poly_eval", f"SELECT k, {_r('0.5 - v + x * pow(v, 2) + 2 * pow(v, 3)', 'p')}, {_r('-1 + 2 * x * v + 6 * pow(v, 2)', 'dp')} FROM pt", lambda x, y, u, v, a: {"p": cols.poly(_CUBIC(x), v), "dp": cols.poly(cols.poly_derivative(_CUBIC(x)), v)})
+f("geom_distance", f"SELECT k, {_r('pow(pow(x - u, 2) + pow(y - v, 2), 0.5)', 'dist')}, {_r('CASE WHEN x = u AND y = v THEN 0 WHEN x = u THEN CASE WHEN v > y THEN pi() / 2 ELSE -pi() / 2 END ELSE atan((v - y) / (u - x)) + CASE WHEN u > x THEN 0 WHEN v >= y THEN pi() ELSE -pi() END END', 'angle')} FROM pt", lambda x, y, u, v, a: {"dist": cols.distance((x, y), (u, v)), "angle": cols.angle((x, y), (u, v))})
+
+
+def _meeting(op):
+    return lambda x, y, u, v, a: dict(zip(("ix", "iy"), op((x, y), (u, v), (F.lit(0.0), F.lit(5.0)), (F.lit(3.0), F.lit(-4.0))), strict=True))
+
+
 # The given line is 9 x + 3 y = 15; the other one (v - y) x - (u - x) y = (v - y) x0 - (u - x) y0.
 _MEET = "SELECT k, x, y, u, v, (v - y) AS p, (x - u) AS q, (v - y) * x + (x - u) * y AS r, 9 * (x - u) - 3 * (v - y) AS det FROM pt"
 _HIT = "det <> 0 AND (x <> u OR y <> v)"
-f("line_intersection", f"SELECT k, {_r(f'CASE WHEN {_HIT} THEN (15 * q - 3 * r) / det END', 'ix')}, {_r(f'CASE WHEN {_HIT} THEN (9 * r - 15 * p) / det END', 'iy')} FROM ({_MEET})", ix=_ix, iy=_iy)
+f("line_intersection", f"SELECT k, {_r(f'CASE WHEN {_HIT} THEN (15 * q - 3 * r) / det END', 'ix')}, {_r(f'CASE WHEN {_HIT} THEN (9 * r - 15 * p) / det END', 'iy')} FROM ({_MEET})", _meeting(cols.line_intersection))
 f(
     "segment_intersection",
     f"""SELECT k, {_r('CASE WHEN ok THEN ix END', 'ix')}, {_r('CASE WHEN ok THEN iy END', 'iy')} FROM (SELECT *, ix BETWEEN -1e-9 AND 3 + 1e-9 AND iy BETWEEN -4 - 1e-9 AND 5 + 1e-9
   AND ix BETWEEN least(x, u) - 1e-9 AND greatest(x, u) + 1e-9 AND iy BETWEEN least(y, v) - 1e-9 AND greatest(y, v) + 1e-9 AS ok FROM (SELECT *, CASE WHEN {_HIT} THEN (15 * q - 3 * r) / det END AS ix, CASE WHEN {_HIT} THEN (9 * r - 15 * p) / det END AS iy FROM ({_MEET})))""",
-    ix=_sx, iy=_sy,
+    _meeting(cols.segment_intersection),
 )
 _NOTCHED = [(-7, -9), (6, -10), (7.5, 8.5), (0.5, 1.25), (-6.5, 9.5)]
 _SIDES = ", ".join(f"({p[0]}::DOUBLE, {p[1]}::DOUBLE, {q_[0]}::DOUBLE, {q_[1]}::DOUBLE)" for p, q_ in zip(_NOTCHED, _NOTCHED[1:] + _NOTCHED[:1], strict=True))
 f(
     "point_in_polygon",
     f"SELECT k, (sum(CASE WHEN (y0 > y) <> (y1 > y) AND sign(y1 - y0) * ((x - x0) * (y1 - y0) - (x1 - x0) * (y - y0)) < 0 THEN 1 ELSE 0 END) % 2 = 1) AS inside FROM pt, (VALUES {_SIDES}) e(x0, y0, x1, y1) GROUP BY k",
-    inside=cols.contains_point(cols.polygon(_NOTCHED), x, y),
+    lambda x, y, u, v, a: {"inside": cols.contains_point(cols.polygon(_NOTCHED), x, y)},
 )
-f("polygon_area", f"SELECT k, {_r('((v - y) * (x + 1) + (y - 4) * u + (4 - v) * x) / -2 - 0.0', 'area')} FROM (SELECT k, x, y, u, v FROM pt)".replace("((v - y) * (x + 1) + (y - 4) * u + (4 - v) * x) / -2 - 0.0", "((u - x) * (4 - y) - (x + 1 - x) * (v - y)) / 2"), area=cols.polygon_area(F.array(F.struct(x.alias("x"), y.alias("y")), F.struct(u.alias("x"), v.alias("y")), F.struct((x + 1).alias("x"), F.lit(4.0).alias("y")))))
-f("quad_rescale", f"SELECT k, {_r('2 * x - 0.5', 'x2')}, {_r('x + x / 2', 'x15')}, {_r('x', 'x0')} FROM pt", x2=cols.rescale_corner(x, 2), x15=cols.rescale_corner(x, 1.5), x0=cols.rescale_corner(x, 0))
-f("clamp_saturate", f"SELECT k, {_r('CASE WHEN x < -5 THEN -5 WHEN x > 5 THEN 5 ELSE x END', 'clamped')}, {_r('CASE WHEN x > u THEN x - u ELSE 0 END', 'sat')} FROM pt", clamped=cols.clamp(x, -5.0, 5.0), sat=cols.saturating_sub(x, u))
-_M2, _M3 = cols.Matrix([[x, y], [u, v]]), cols.Matrix([[x, y, 1], [u, v, F.floor(a).cast("double")], [3, x - y, 2]])
+f("polygon_area", f"SELECT k, {_r('((u - x) * (4 - y) - (v - y)) / 2', 'area')} FROM pt", lambda x, y, u, v, a: {"area": cols.polygon_area(F.array(*[F.struct(p.alias("x"), q_.alias("y")) for p, q_ in ((x, y), (u, v), (x + 1, F.lit(4.0)))]))})
+f("quad_rescale", f"SELECT k, {_r('2 * x - 0.5', 'x2')}, {_r('x + x / 2', 'x15')}, {_r('x', 'x0')} FROM pt", lambda x, y, u, v, a: {"x2": cols.rescale_corner(x, 2), "x15": cols.rescale_corner(x, 1.5), "x0": cols.rescale_corner(x, 0)})
+f("clamp_saturate", f"SELECT k, {_r('CASE WHEN x < -5 THEN -5 WHEN x > 5 THEN 5 ELSE x END', 'clamped')}, {_r('CASE WHEN x > u THEN x - u ELSE 0 END', 'sat')} FROM pt", lambda x, y, u, v, a: {"clamped": cols.clamp(x, -5.0, 5.0), "sat": cols.saturating_sub(x, u)})
+_named = lambda prefix, m: {f"{prefix}{i}{j}": v for i, r in enumerate(m.rows) for j, v in enumerate(r)}
 _S3 = "x * v * 2 + y * floor(a) * 3 + u * (x - y) - 3 * v - 2 * u * y - x * (x - y) * floor(a)"  # the rule of Sarrus
-f("matrix_det", f"SELECT k, {_r('x * v - y * u', 'd2')}, {_r(_S3, 'd3')} FROM pt", d2=_M2.det(), d3=_M3.det())
-_i2 = _M2.inverse()
-f("matrix_inv", f"SELECT k, {_r('v / d', 'i00')}, {_r('-y / d', 'i01')}, {_r('-u / d', 'i10')}, {_r('x / d', 'i11')} FROM (SELECT *, nullif(x * v - y * u, 0) AS d FROM pt)", i00=_i2.rows[0][0], i01=_i2.rows[0][1], i10=_i2.rows[1][0], i11=_i2.rows[1][1])
-_x3 = cols.Matrix([[2, 1, 0], [1, 3, 1], [0, 1, x * x + 1.37]]).solve([u, v, y])
+f("matrix_det", f"SELECT k, {_r('x * v - y * u', 'd2')}, {_r(_S3, 'd3')} FROM pt", lambda x, y, u, v, a: {"d2": cols.Matrix([[x, y], [u, v]]).det(), "d3": cols.Matrix([[x, y, 1], [u, v, F.floor(a).cast("double")], [3, x - y, 2]]).det()})
+f("matrix_inv", f"SELECT k, {_r('v / d', 'i00')}, {_r('-y / d', 'i01')}, {_r('-u / d', 'i10')}, {_r('x / d', 'i11')} FROM (SELECT *, nullif(x * v - y * u, 0) AS d FROM pt)", lambda x, y, u, v, a: _named("i", cols.Matrix([[x, y], [u, v]]).inverse()))
 # Elimination by hand: the second row less half of the first, the third less 2/5 of the second.
-f("matrix_solve", f"SELECT k, {_r('(u - s1) / 2', 's0')}, {_r('s1', 's1')}, {_r('s2', 's2')} FROM (SELECT *, (v - u / 2 - s2) / 2.5 AS s1 FROM (SELECT *, (y - (v - u / 2) / 2.5) / (x * x + 1.37 - 1 / 2.5) AS s2 FROM pt))", s0=_x3[0], s1=_x3[1], s2=_x3[2])
-_mm = _M2 @ cols.Matrix([[u, 2], [v, -1]])
-f("matrix_matmul", f"SELECT k, {_r('x * u + y * v', 'm00')}, {_r('2 * x - y', 'm01')}, {_r('u * u + v * v', 'm10')}, {_r('2 * u - v', 'm11')} FROM pt", m00=_mm.rows[0][0], m01=_mm.rows[0][1], m10=_mm.rows[1][0], m11=_mm.rows[1][1])
-_tt = cols.Matrix([[x, y, 1], [u, v, 2]]).T
-f("matrix_transpose", f"SELECT k, {_r('u', 't01')}, {_r('y', 't10')}, {_r('2.0', 't21')} FROM pt", t01=_tt.rows[0][1], t10=_tt.rows[1][0], t21=_tt.rows[2][1])
-_cr = cols.cross([x, y, F.lit(1.0)], [u, v, F.lit(2.0)])
-f("vec_cross", f"SELECT k, {_r('2 * y - v', 'cx')}, {_r('u - 2 * x', 'cy')}, {_r('x * v - y * u', 'cz')} FROM pt", cx=_cr[0], cy=_cr[1], cz=_cr[2])
-_no = cols.normalized([x, y, u])
-f("vec_normalized", f"SELECT k, {_r('x * pow(x * x + y * y + u * u, -0.5)', 'nx')}, {_r('u * pow(x * x + y * y + u * u, -0.5)', 'nz')}, {_r('pow(pow(x - u, 2) + pow(y - v, 2), 0.5)', 'dist')} FROM pt", nx=_no[0], nz=_no[2], dist=cols.vec_dist([x, y], [u, v]))
-f("matrix_max_err", f"SELECT k, {_r('CASE WHEN abs(x - u) > abs(y - v) THEN abs(x - u) ELSE abs(y - v) END', 'err')}, {_r('list_max([x, y, u, v])', 'most')} FROM pt", err=cols.Matrix([[x, y]]).err_inf(cols.Matrix([[u, v]])), most=_M2.largest())
+f("matrix_solve", f"SELECT k, {_r('(u - s1) / 2', 's0')}, {_r('s1', 's1')}, {_r('s2', 's2')} FROM (SELECT *, (v - u / 2 - s2) / 2.5 AS s1 FROM (SELECT *, (y - (v - u / 2) / 2.5) / (x * x + 1.37 - 1 / 2.5) AS s2 FROM pt))", lambda x, y, u, v, a: {f"s{i}": e for i, e in enumerate(cols.Matrix([[2, 1, 0], [1, 3, 1], [0, 1, x * x + 1.37]]).solve([u, v, y]))})
+f("matrix_matmul", f"SELECT k, {_r('x * u + y * v', 'm00')}, {_r('2 * x - y', 'm01')}, {_r('u * u + v * v', 'm10')}, {_r('2 * u - v', 'm11')} FROM pt", lambda x, y, u, v, a: _named("m", cols.Matrix([[x, y], [u, v]]) @ cols.Matrix([[u, 2], [v, -1]])))
+f("matrix_transpose", f"SELECT k, {_r('x', 't00')}, {_r('u', 't01')}, {_r('y', 't10')}, {_r('v', 't11')}, {_r('1.0', 't20')}, {_r('2.0', 't21')} FROM pt", lambda x, y, u, v, a: _named("t", cols.Matrix([[x, y, 1], [u, v, 2]]).T))
+f("vec_cross", f"SELECT k, {_r('2 * y - v', 'cx')}, {_r('u - 2 * x', 'cy')}, {_r('x * v - y * u', 'cz')} FROM pt", lambda x, y, u, v, a: dict(zip(("cx", "cy", "cz"), cols.cross([x, y, F.lit(1.0)], [u, v, F.lit(2.0)]), strict=True)))
+f("vec_normalized", f"SELECT k, {_r('x * pow(x * x + y * y + u * u, -0.5)', 'nx')}, {_r('y * pow(x * x + y * y + u * u, -0.5)', 'ny')}, {_r('u * pow(x * x + y * y + u * u, -0.5)', 'nz')}, {_r('pow(pow(x - u, 2) + pow(y - v, 2), 0.5)', 'dist')} FROM pt", lambda x, y, u, v, a: dict(zip(("nx", "ny", "nz"), cols.normalized([x, y, u]), strict=True)) | {"dist": cols.vec_dist([x, y], [u, v])})
+f("matrix_max_err", f"SELECT k, {_r('CASE WHEN abs(x - u) > abs(y - v) THEN abs(x - u) ELSE abs(y - v) END', 'err')}, {_r('list_max([x, y, u, v])', 'most')} FROM pt", lambda x, y, u, v, a: {"err": cols.Matrix([[x, y]]).err_inf(cols.Matrix([[u, v]])), "most": cols.Matrix([[x, y], [u, v]]).largest()})
 
 # Poses of the scenes' markers.
 
