@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae import families
-from tesserae.config import DetectorConfig, gaussian_kernel
+from tesserae.config import DetectorConfig, QuadParams, gaussian_kernel
 from tesserae.detector import DetectorBuilder
 from tesserae.operators import decode, frames, pixels, reconcile
 from tesserae.sources import bridges, scenes
@@ -301,20 +301,60 @@ def laplacian_sharpen(spark, sf_dir):
 _SCENE = families.family(scenes.FAMILY)
 
 
-def _detect(spark, sf_dir, **changes) -> DataFrame:
-    config = DetectorConfig(**changes)
-    return DetectorBuilder(config).add_family(_SCENE, 2).build().detect(scenes.frames(spark, sf_dir))
+def _detect(spark, sf_dir, names=(scenes.FAMILY,), make=scenes.scene, errors=2, **changes) -> DataFrame:
+    builder = DetectorBuilder(DetectorConfig(**changes))
+    for n in names:
+        builder.add_family(n, errors)
+    return builder.build().detect(scenes.frames(spark, sf_dir, names, make))
 
 
 _TRUTH = f"SELECT p_partkey AS image_id, '{scenes.FAMILY}' AS family, (p_partkey % {len(_SCENE.codes)})::INT AS id, 0 AS hamming FROM part"
 query("detect_scenes", _TRUTH)(lambda s, d: _detect(s, d).select("image_id", "family", "id", "hamming"))
 query("detect_scenes_decimated", _TRUTH)(lambda s, d: _detect(s, d, quad_decimate=2.0).select("image_id", "family", "id", "hamming"))
+_FOUND = ("image_id", "family", "id", "hamming")
+query("detect_scenes_decimated_24", _TRUTH)(lambda s, d: _detect(s, d, quad_decimate=2.4).select(*_FOUND))
+query("detect_scenes_36h11", f"SELECT p_partkey AS image_id, 'tag36h11' AS family, (p_partkey % 587)::INT AS id, 0 AS hamming FROM part")(lambda s, d: _detect(s, d, ("tag36h11",)).select(*_FOUND))
+query(
+    "detect_two_families",
+    f"SELECT p_partkey AS image_id, 'tag25h9' AS family, (p_partkey % {len(_SCENE.codes)})::INT AS id, 0 AS hamming FROM part UNION ALL SELECT p_partkey, 'tag36h11', ((p_partkey + 1) % 587)::INT, 0 FROM part",
+)(lambda s, d: _detect(s, d, (scenes.FAMILY, "tag36h11"), scenes.pair_scene, 1).select(*_FOUND))
+# Markers on the tile grid, which the window of all neighbours finds.
+_BLUR = QuadParams(full_blur=True)
+query("detect_grid_full_blur", _TRUTH)(lambda s, d: _detect(s, d, make=scenes.grid_scene, qtp=_BLUR).select(*_FOUND))
+_TILT = "[(30 + k % 7, 28 + k % 5), (82 - k % 6, 31 + k % 4), (86 + k % 3, 83 - k % 5), (28 + k % 4, 79 + k % 6)]"
+
+
+@query(
+    "detect_tilted",
+    f"""WITH c AS (SELECT p_partkey AS image_id, unnest({_TILT.replace('k %', 'p_partkey %')}) AS c FROM part)
+SELECT image_id, (image_id % 587)::INT AS id, 0 AS hamming, round(avg(c[1]))::BIGINT AS x, round(avg(c[2]))::BIGINT AS y, true AS within FROM c GROUP BY image_id""",
+)
+def detect_tilted(spark, sf_dir):
+    """Markers in perspective with noise: id, the corners' mean, and whether every corner is within half a pixel of where it was drawn.
+
+    With the window of all neighbours: the narrower one misses some three in a hundred of these (see README).
+    """
+    corners = F.expr(_TILT.replace("[(", "array(array(").replace("), (", "), array(").replace(")]", "))").replace("k %", "image_id %"))
+    found = _detect(spark, sf_dir, ("tag36h11",), scenes.tilted_scene, qtp=_BLUR).withColumn("want", corners)
+    point = lambda i: F.struct(F.element_at("corners", 2 * i + 1).alias("x"), F.element_at("corners", 2 * i + 2).alias("y"))
+    got = F.array(*[point(i) for i in range(4)])
+    near = F.forall("want", lambda w: F.exists(got, lambda g: F.hypot(g["x"] - w[0], g["y"] - w[1]) < 0.5))
+    mean = lambda i: F.round(F.aggregate("want", F.lit(0.0), lambda s, w: s + w[i]) / 4).cast("bigint")
+    return found.select("image_id", "id", "hamming", mean(0).alias("x"), mean(1).alias("y"), near.alias("within"))
+
+
 _SCALE = "[4, 5, 6, 7][p_partkey % 4 + 1]"
+# To half a pixel: the border's outer edges, doubled.
 query(
     "detect_corners",
-    f"""SELECT p_partkey AS image_id, floor(({scenes.MARGIN} + p_partkey % 3 + ring) / 4)::BIGINT AS left_4, floor(({scenes.MARGIN} + p_partkey % 3 + side - ring) / 4)::BIGINT AS right_4
+    f"""SELECT p_partkey AS image_id, (2 * ({scenes.MARGIN} + p_partkey % 3 + ring))::BIGINT AS left2, (2 * ({scenes.MARGIN} + p_partkey % 3 + side - ring))::BIGINT AS right2,
+  (2 * ({scenes.MARGIN} + p_partkey % 2 + ring))::BIGINT AS top2, (2 * ({scenes.MARGIN} + p_partkey % 2 + side - ring))::BIGINT AS bottom2
 FROM (SELECT p_partkey, {_SCALE} AS ring, {_SCENE.total_width} * {_SCALE} AS side FROM part)""",
-)(lambda s, d: _detect(s, d).selectExpr("image_id", "floor(least(corners[0], corners[2], corners[4], corners[6]) / 4 + 0.1) AS left_4", "floor(greatest(corners[0], corners[2], corners[4], corners[6]) / 4 + 0.1) AS right_4"))
+)(
+    lambda s, d: _detect(s, d).select(
+        "image_id", *[F.floor(f(*[F.element_at("corners", i + at) for i in (0, 2, 4, 6)]) * 2 + 0.5).alias(n) for n, f, at in (("left2", F.least, 1), ("right2", F.greatest, 1), ("top2", F.least, 2), ("bottom2", F.greatest, 2))]
+    )
+)
 
 
 @query("label_bijection", f"WITH RECURSIVE {_T8}, {_LB} SELECT image_id, true AS same FROM lb GROUP BY image_id")

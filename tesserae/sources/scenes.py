@@ -12,12 +12,22 @@ FAMILY = "tag25h9"
 #: Odd, so that markers don't fall on the grid of threshold tiles, and cells stay under two tiles: the causal window blanks flat runs of two (see README).
 MARGIN = 13
 GRAY = 128
+#: Side of a tilted scene.
+SIDE = 116
+
+
+def marker(key: int, fam: families.Family, scale: int) -> np.ndarray:
+    """The key's marker, turned; cells of ``scale`` pixels."""
+    return np.kron(np.rot90(families.render(fam, key % len(fam.codes)), key % 7 % 4), np.ones((scale, scale), np.uint8))
+
+
+def scale_of(key: int) -> int:
+    return (4, 5, 6, 7)[key % 4]
 
 
 def scene(key: int, fam: families.Family) -> np.ndarray:
     """Id, scale, place and turn of the marker follow from the key."""
-    scale, turns = (4, 5, 6, 7)[key % 4], key % 7 % 4
-    tag = np.kron(np.rot90(families.render(fam, key % len(fam.codes)), turns), np.ones((scale, scale), np.uint8))
+    tag = marker(key, fam, scale_of(key))
     n = len(tag) + 2 * MARGIN + 8
     im = np.full((n, n), GRAY, np.uint8)
     x, y = MARGIN + key % 3, MARGIN + key % 2
@@ -25,17 +35,57 @@ def scene(key: int, fam: families.Family) -> np.ndarray:
     return im
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pair_scene(key: int, first: families.Family, second: families.Family) -> np.ndarray:
+    """A marker of each family side by side."""
+    a, b = scene(key, first), scene(key + 1, second)
+    im = np.full((max(len(a), len(b)), a.shape[1] + b.shape[1]), GRAY, np.uint8)
+    im[: len(a), : a.shape[1]] = a
+    im[: len(b), a.shape[1] :] = b
+    return im
+
+
+def grid_scene(key: int, fam: families.Family) -> np.ndarray:
+    """A marker on the grid of threshold tiles, with cells of one and a half tiles."""
+    tag = marker(key, fam, 6)
+    im = np.full((len(tag) + 32, len(tag) + 32), GRAY, np.uint8)
+    im[16 : 16 + len(tag), 16 : 16 + len(tag)] = tag
+    return im
+
+
+def tilted_corners(key: int) -> list[tuple[float, float]]:
+    """Where the outer corners of the key's border are in its tilted scene, from the upper left clockwise."""
+    return [(30.0 + key % 7, 28.0 + key % 5), (82.0 - key % 6, 31.0 + key % 4), (86.0 + key % 3, 83.0 - key % 5), (28.0 + key % 4, 79.0 + key % 6)]
+
+
+def tilted_scene(key: int, fam: families.Family, noise: float = 3.0) -> np.ndarray:
+    """The key's marker in perspective, blurred by sampling nine places a pixel, with noise from the key."""
+    from tesserae.operators import kernels
+
+    ring = (fam.total_width - fam.width_at_border) // 2
+    tag = families.render(fam, key % len(fam.codes))
+    lo, hi = ring, fam.total_width - ring
+    back = kernels.homography(np.array([(lo, lo), (hi, lo), (hi, hi), (lo, hi)], np.float64), np.array(tilted_corners(key)))
+    at = (np.arange(SIDE * 3) + 0.5) / 3
+    x, y = np.meshgrid(at, at)
+    cell = np.floor(kernels.project(back, np.stack([x.ravel(), y.ravel()], 1))).astype(int)
+    inside = ((cell >= 0) & (cell < fam.total_width)).all(1)
+    cell = np.clip(cell, 0, fam.total_width - 1)
+    v = np.where(inside, tag[cell[:, 1], cell[:, 0]], GRAY).reshape(SIDE, 3, SIDE, 3).mean((1, 3))
+    v = 128 + (v - 128) * 0.7 + np.random.default_rng(key).normal(0, noise, v.shape)
+    return np.clip(np.rint(v), 0, 255).astype(np.uint8)
+
+
+def frames(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = (FAMILY,), make=scene) -> DataFrame:
     """One frame a part. Rendering is the work here, so the few key rows are dealt to all cores first."""
 
     def run(batches):
         import pyarrow as pa
 
-        fam = families.family(FAMILY)
+        fams = [families.family(n) for n in names]
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 keys = batch.column(0)[start : start + 64].to_pylist()
-                ims = [scene(k, fam) for k in keys]
+                ims = [make(k, *fams) for k in keys]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.int64()), pa.array([i.shape[1] for i in ims], pa.int32()), pa.array([i.shape[0] for i in ims], pa.int32()), pa.array([i.tobytes() for i in ims], pa.binary())],
                     names=["image_id", "width", "height", "data"],
