@@ -137,19 +137,25 @@ def profile_lines(runs: DataFrame, short: bool = False) -> DataFrame:
     return runs.withColumn("line", F.format_string("%2d %-32s%15.3f%5d.%d %%", "seq", "stage", c("wall") / 1e3, F.floor(tenths / 10), tenths % 10))
 
 
-def pairwise_welch(rows: DataFrame, key: str = "label") -> DataFrame:
+def pairwise_welch(rows: DataFrame, key: str = "label", by: str | None = None) -> DataFrame:
     """All pairs of runs, first key before second: means, population deviations, difference in percent, t and degrees of freedom.
 
-    Only one row a run meets another, after aggregation.
+    With ``by`` (such as the stage) each of its values has its pairs. Only one row a run and value meets another, after aggregation.
     """
-    a = rows.groupBy(key).agg(F.count("wall").alias("n"), F.avg("wall").alias("m"), F.stddev_pop("wall").alias("sp"), F.var_samp("wall").alias("v"))
-    b = a.select(*[c(n).alias(f"{n}_b") for n in (key, "n", "m", "sp", "v")])
-    p = a.join(b, c(key) < c(f"{key}_b"))
+    own = [by] if by else []
+    return _welch(rows.groupBy(*own, key), key, own)
+
+
+def _welch(groups, key: str, by: list[str]) -> DataFrame:
+    a = groups.agg(F.count("wall").alias("n"), F.avg("wall").alias("m"), F.stddev_pop("wall").alias("sp"), F.var_samp("wall").alias("v"))
+    b = a.select(*by, *[c(n).alias(f"{n}_b") for n in (key, "n", "m", "sp", "v")])
+    p = a.join(b, by) if by else a.join(b, c(key) < c(f"{key}_b"))
+    p = p.filter(c(key) < c(f"{key}_b"))
     ea, eb = c("v") / c("n"), c("v_b") / c("n_b")
     t = F.when(ea + eb > 0, (c("m") - c("m_b")) / F.sqrt(ea + eb))
     df = F.when((c("n") > 1) & (c("n_b") > 1) & (ea + eb > 0), (ea + eb) * (ea + eb) / (ea * ea / (c("n") - 1) + eb * eb / (c("n_b") - 1)))
     diff = F.when(c("m") != 0, (c("m_b") - c("m")) / c("m") * 100).otherwise(0.0)
-    return p.select(c(key).alias("run_a"), c(f"{key}_b").alias("run_b"), r6(c("m")).alias("mean_a"), r6(c("sp")).alias("std_a"), r6(c("m_b")).alias("mean_b"), r6(c("sp_b")).alias("std_b"), r6(diff).alias("diff_pct"), r6(t).alias("t"), r6(df).alias("df"))
+    return p.select(*by, c(key).alias("run_a"), c(f"{key}_b").alias("run_b"), r6(c("m")).alias("mean_a"), r6(c("sp")).alias("std_a"), r6(c("m_b")).alias("mean_b"), r6(c("sp_b")).alias("std_b"), r6(diff).alias("diff_pct"), r6(t).alias("t"), r6(df).alias("df"))
 
 
 def incomplete_beta(a, b, x) -> np.ndarray:
@@ -221,12 +227,11 @@ RUN_SCHEMA = "label string, images array<struct<image_id: bigint, iterations: ar
 
 
 def to_records(rows: DataFrame) -> DataFrame:
-    """One JSON document a run: label, images, iterations, stages. A run's rows meet in one document, as they do in its file."""
+    """One JSON document for each image of a run: label, the image, its iterations and their stages. No larger group meets in one task."""
     it = rows.groupBy("label", "image_id", "iter").agg(F.sum("wall").alias("wall"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("-", "stage", c("seq").cast("string")).alias("key"), c("wall").alias("value"))))).alias("stages"))
     im = it.groupBy("label", "image_id").agg(F.array_sort(F.collect_list(F.struct("iter", "wall", F.to_json("stages").alias("stages")))).alias("i"))
     im = im.select("label", "image_id", F.transform("i", lambda x: F.struct(x["iter"].alias("iter"), x["wall"].alias("wall"), F.from_json(x["stages"], "map<string,bigint>").alias("stages"))).alias("iterations"))
-    run = im.groupBy("label").agg(F.collect_list(F.struct("image_id", "iterations")).alias("images"))
-    return run.select(F.to_json(F.struct("label", "images")).alias("value"))
+    return im.select(F.to_json(F.struct("label", F.array(F.struct("image_id", "iterations")).alias("images"))).alias("value"))
 
 
 def from_records(text: DataFrame, column: str = "value") -> DataFrame:

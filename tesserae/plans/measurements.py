@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -85,7 +87,20 @@ SELECT a.label AS run_a, b.label AS run_b, round(a.m, 6) AS mean_a, round(a.sp,
   round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t,
   round(pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)), 6) AS df FROM a JOIN a b ON a.label < b.label"""
 q("pairwise_welch", _WELCH, lambda s, d: an.pairwise_welch(runs(s, d)))
-q("pairwise_pvalue", None, lambda s, d: an.with_p_value(an.pairwise_welch(runs(s, d))).select("run_a", "run_b", an.r6(F.col("p")).alias("p"), "stars"))
+_WELCH_STAGE = (
+    _WELCH.replace("SELECT label, count(wall)", "SELECT stage, label, count(wall)").replace("GROUP BY label)", "GROUP BY ALL)").replace("SELECT a.label AS run_a", "SELECT a.stage, a.label AS run_a").replace("ON a.label < b.label", "ON a.stage = b.stage AND a.label < b.label")
+)
+q("pairwise_welch_stages", _WELCH_STAGE, lambda s, d: an.pairwise_welch(runs(s, d), by="stage"))
+# The density of t from 0 to |t| by Simpson's rule in 4000 steps; a second query has t from 0 to 6 and other degrees of freedom.
+_SIMPSON = """greatest(0, 1 - 2 * list_sum(list_transform(range(4001), lambda i: (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) *
+  exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * pow(1 + pow(abs(t) * i / 4000, 2) / df, -(df + 1) / 2))) * abs(t) / 4000 / 3)"""
+_STARS = "CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars"
+q("pairwise_pvalue", f"SELECT run_a, run_b, round(p, 6) AS p, {_STARS} FROM (SELECT run_a, run_b, {_SIMPSON} AS p FROM ({_WELCH}))", lambda s, d: an.with_p_value(an.pairwise_welch(runs(s, d))).select("run_a", "run_b", an.r6(F.col("p")).alias("p"), "stars"))
+q(
+    "p_values",
+    f"WITH t AS (SELECT p_partkey AS k, (p_partkey % 61) / 10.0::DOUBLE AS t, 1.5::DOUBLE + p_partkey % 47 AS df FROM part WHERE p_partkey <= 400) SELECT k, round(p, 6) AS p, {_STARS} FROM (SELECT k, {_SIMPSON} AS p FROM t)",
+    lambda s, d: an.with_p_value(bridges.table(s, d, "part").filter("p_partkey <= 400").select(F.col("p_partkey").alias("k"), ((F.col("p_partkey") % 61) / 10.0).cast("double").alias("t"), (F.col("p_partkey") % 47 + 1.5).cast("double").alias("df"))).select("k", F.round("p", 6).alias("p"), "stars"),
+)
 q(
     "groupby_variables",
     f"""WITH {_RUNS} SELECT * FROM (SELECT 'label' AS variable, count(DISTINCT label) AS n_values, 'discrete' AS kind FROM ru UNION ALL SELECT 'image_id', count(DISTINCT image_id), CASE WHEN count(DISTINCT image_id) > 5 THEN 'continuous' ELSE 'discrete' END FROM ru
@@ -230,6 +245,17 @@ f("matrix_max_err", f"SELECT k, {_r('CASE WHEN abs(x - u) > abs(y - v) THEN abs(
 # Poses of the scenes' markers.
 
 CAMERA = Camera(tagsize=0.1, fx=600.0, fy=600.0, cx=50.0, cy=50.0)
-q("pose_homography", None, lambda s, d: pose.with_pose(_detect(s, d), CAMERA, best_only=False, refine=False).select("image_id", "id", "r", "t"))
-q("pose_orthogonal", None, lambda s, d: pose.with_pose(_detect(s, d), CAMERA).select("image_id", "id", "solution", "r", "t", "error", "ambiguity"))
-q("pose_both_solutions", None, lambda s, d: pose.with_pose(_detect(s, d), CAMERA, best_only=False).select("image_id", "id", "solution", "error", "ambiguity"))
+#: In closed form: a border of 7 cells at a distance of f * size / side, its middle from the scene's margin, turned by quarters.
+_POSED = """SELECT p_partkey AS image_id, (p_partkey % 35)::INT AS id, ((p_partkey % 7 % 4 + 2) % 4)::BIGINT AS quarter, round(z, 1) + 0.0::DOUBLE AS z, round((13 + p_partkey % 3 + 4.5 * sc - 50) / 600 * z, 2) + 0.0::DOUBLE AS x, round((13 + p_partkey % 2 + 4.5 * sc - 50) / 600 * z, 2) + 0.0::DOUBLE AS y{more}
+FROM (SELECT *, 60.0::DOUBLE / (7 * sc) AS z FROM (SELECT p_partkey, [4, 5, 6, 7][p_partkey % 4 + 1] AS sc FROM part))"""
+
+
+def _posed(found, *more):
+    turn = F.round(F.atan2(F.col("r")[3], F.col("r")[0]) / (math.pi / 2)).cast("bigint")
+    place = [(F.round(F.col("t")[i], n) + F.lit(0.0)).alias(a) for a, i, n in (("z", 2, 1), ("x", 0, 2), ("y", 1, 2))]
+    return found.select("image_id", "id", ((turn + 4) % 4).alias("quarter"), *place, *more)
+
+
+q("pose_homography", _POSED.format(more=""), lambda s, d: _posed(pose.with_pose(_detect(s, d), CAMERA, best_only=False, refine=False)))
+q("pose_orthogonal", _POSED.format(more=", true AS exact, true AS facing"), lambda s, d: _posed(pose.with_pose(_detect(s, d), CAMERA), (F.col("error") < 1e-6).alias("exact"), (F.col("r")[8] > 0.99).alias("facing")))
+q("pose_both_solutions", _POSED.format(more=", 0 AS solution, true AS exact"), lambda s, d: _posed(pose.with_pose(_detect(s, d), CAMERA, best_only=False).filter("solution = 0"), "solution", (F.col("error") < 1e-6).alias("exact")))
