@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from tesserae.config import Camera
-from tesserae.functions.algebra import Poly, normalized
+from tesserae.functions.algebra import Poly
 
 FLIP = np.diag([1.0, -1.0, -1.0])
 #: Half tangent parametrisation of a turn about y: (I + t A + t^2 B) / (1 + t^2).
@@ -16,14 +16,14 @@ _B = np.diag([-1.0, 1.0, -1.0])
 
 
 def pose_of_homography(h: np.ndarray, cam: Camera) -> tuple[np.ndarray, np.ndarray]:
-    """Rotation (polar decomposition) and translation of the tag's plane."""
+    """Rotation (polar decomposition) and translation of the tag's plane, of one homography or a stack of them."""
     k = np.array([[-cam.fx, 0, cam.cx], [0, cam.fy, cam.cy], [0, 0, 1.0]])
     m = np.linalg.inv(k) @ h
-    scale = 1 / np.sqrt(np.linalg.norm(m[:, 0]) * np.linalg.norm(m[:, 1]))
-    m = m * (-scale if m[2, 2] > 0 else scale)  # in front of a camera that looks along -z
-    u, _, vt = np.linalg.svd(np.stack([m[:, 0], m[:, 1], np.cross(m[:, 0], m[:, 1])], 1))
+    scale = 1 / np.sqrt(np.linalg.norm(m[..., 0], axis=-1) * np.linalg.norm(m[..., 1], axis=-1))
+    m = m * np.where(m[..., 2, 2] > 0, -scale, scale)[..., None, None]  # in front of a camera that looks along -z
+    u, _, vt = np.linalg.svd(np.stack([m[..., 0], m[..., 1], np.cross(m[..., 0], m[..., 1])], -1))
     half = cam.tagsize / 2
-    return FLIP @ (u @ vt), m[:, 2] * np.array([half, -half, -half])
+    return FLIP @ (u @ vt), m[..., 2] * np.array([half, -half, -half])
 
 
 def model_view(h: np.ndarray, cam: Camera) -> np.ndarray:
@@ -40,81 +40,107 @@ def object_points(cam: Camera) -> np.ndarray:
 
 
 def rays(corners: np.ndarray, cam: Camera) -> np.ndarray:
-    return np.stack([(corners[:, 0] - cam.cx) / cam.fx, (corners[:, 1] - cam.cy) / cam.fy, np.ones(len(corners))], 1)
+    return np.stack([(corners[..., 0] - cam.cx) / cam.fx, (corners[..., 1] - cam.cy) / cam.fy, np.ones(corners.shape[:-1])], -1)
 
 
 def _projectors(v: np.ndarray) -> np.ndarray:
-    return v[:, :, None] * v[:, None, :] / (v * v).sum(1)[:, None, None]
+    return v[..., :, None] * v[..., None, :] / (v * v).sum(-1)[..., None, None]
 
 
-def iterate(v: np.ndarray, p: np.ndarray, t: np.ndarray, r: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Orthogonal iteration: rotation, translation and object-space error."""
+def _turn(r: np.ndarray) -> np.ndarray:
+    return np.swapaxes(r, -1, -2)
+
+
+def iterate(v: np.ndarray, p: np.ndarray, r: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Orthogonal iteration of a stack: rotations, translations and object-space errors."""
     f, eye = _projectors(v), np.eye(3)
-    to_t = np.linalg.inv(eye - f.mean(0))
+    to_t = np.linalg.inv(eye - f.mean(-3))
+    # The best translation of a rotation is linear in its entries, and so is all that one step needs of the rotated points.
+    pull = np.einsum("nij,nkjl,kb->nilb", to_t, f - eye, p) / len(p)
     centred = p - p.mean(0)
-    error = np.inf
+    about = np.einsum("nkij,kb,ka->niajb", f, p, centred)
+    shift = np.einsum("nkij,ka->niaj", f, centred)
     for _ in range(steps):
-        t = to_t @ ((f - eye) @ (p @ r.T)[:, :, None]).mean(0)[:, 0]
-        q = (f @ (p @ r.T + t)[:, :, None])[:, :, 0]
-        u, _, wt = np.linalg.svd((q - q.mean(0)).T @ centred)
-        r = u @ np.diag([1.0, 1.0, np.linalg.det(u @ wt)]) @ wt  # the points are coplanar: of the two signs, the rotation
-        rest = ((eye - f) @ (p @ r.T + t)[:, :, None])[:, :, 0]
-        error = float((rest * rest).sum())
-    return r, t, error
+        t = np.einsum("nilb,nlb->ni", pull, r)
+        cov = np.einsum("niajb,njb->nia", about, r) + np.einsum("niaj,nj->nia", shift, t)
+        u, _, wt = np.linalg.svd(cov)
+        u[..., 2] *= np.linalg.det(u @ wt)[:, None]  # the points are coplanar: of the two signs, the rotation
+        r = u @ wt
+    rest = np.einsum("nkij,nkj->nki", eye - f, p @ _turn(r) + (t if steps else np.einsum("nilb,nlb->ni", pull, r))[:, None])
+    return r, t, (rest * rest).sum((1, 2))
 
 
-def second_minimum(v: np.ndarray, p: np.ndarray, t: np.ndarray, r: np.ndarray) -> np.ndarray | str:
-    """Rotation at the other local minimum of the error over the tilt, or why there is none.
+def second_minimum(v: np.ndarray, p: np.ndarray, t: np.ndarray, r: np.ndarray) -> list[np.ndarray | str]:
+    """For each pose of a stack the rotation at the other local minimum of the error over the tilt, or why there is none.
 
     In a frame that looks along t the rotation is G . turn(beta) . Z'; with the half tangent of beta
     the error is a quartic over (1 + t^2)^2, whose stationary points are roots of a quartic.
     """
-    axis = normalized(t)
-    first = normalized(np.array([1.0, 0, 0]) - axis[0] * axis)
-    to = np.stack([first, np.cross(axis, first), axis])
+    n, eye = len(v), np.eye(3)
+    axis = t / np.linalg.norm(t, axis=1)[:, None]
+    first = np.array([1.0, 0, 0]) - axis[:, :1] * axis
+    first /= np.linalg.norm(first, axis=1)[:, None]
+    to = np.stack([first, np.cross(axis, first), axis], 1)
     turned = to @ r
-    flat = np.hypot(turned[2, 0], turned[2, 1])
-    cz, sz = (1.0, 0.0) if flat < 1e-100 else (turned[2, 0] / flat, turned[2, 1] / flat)
-    z = np.array([[cz, -sz, 0], [sz, cz, 0], [0, 0, 1]])
+    flat = np.hypot(turned[:, 2, 0], turned[:, 2, 1])
+    none = flat < 1e-100
+    safe = np.where(none, 1.0, flat)
+    cz, sz = np.where(none, 1.0, turned[:, 2, 0] / safe), np.where(none, 0.0, turned[:, 2, 1] / safe)
+    z = np.zeros((n, 3, 3))
+    z[:, 0, 0], z[:, 0, 1], z[:, 1, 0], z[:, 1, 1], z[:, 2, 2] = cz, -sz, sz, cz, 1
     m = turned @ z
-    g = np.array([[m[1, 1], m[0, 1], 0], [-m[0, 1], m[1, 1], 0], [0, 0, 1]])
-    known = np.arctan2(-m[2, 0], m[2, 2])
+    g = np.zeros((n, 3, 3))
+    g[:, 0, 0], g[:, 0, 1], g[:, 1, 0], g[:, 1, 1], g[:, 2, 2] = m[:, 1, 1], m[:, 0, 1], -m[:, 0, 1], m[:, 1, 1], 1
+    known = np.arctan2(-m[:, 2, 0], m[:, 2, 2])
     points = p @ z
-    f, eye = _projectors(v @ to.T), np.eye(3)
-    solve = np.linalg.inv(eye - f.mean(0))
+    f = _projectors(v @ _turn(to))
+    solve = np.linalg.inv(eye - f.mean(1))
     parts = []
     for shape in (eye, _A, _B):
-        q = points @ (g @ shape).T
-        move = solve @ ((f - eye) @ q[:, :, None]).mean(0)[:, 0]
-        parts.append(((eye - f) @ (q + move)[:, :, None])[:, :, 0].ravel())
-    a = np.zeros(5)
+        q = points @ _turn(g @ shape)
+        move = np.einsum("nij,nkjl,nkl->ni", solve, f - eye, q) / q.shape[1]
+        parts.append(np.einsum("nkij,nkj->nki", eye - f, q + move[:, None]).reshape(n, -1))
+    a = np.zeros((n, 5))
     for i in range(3):
         for j in range(3):
-            a[i + j] += parts[i] @ parts[j]
-    error, weight = Poly(a), lambda x: (1 + x * x) ** 2
-    # Numerator of the derivative of error / (1 + t^2)^2, divided by (1 + t^2).
-    slope = Poly([a[1], 2 * a[2] - 4 * a[0], 3 * a[3] - 3 * a[1], 4 * a[4] - 2 * a[2], -a[3]])
-    found = []
-    for root in slope.real_roots():
-        step = 1e-4 * max(1.0, abs(root))
-        here = error(root) / weight(root)
-        if error(root - step) / weight(root - step) + error(root + step) / weight(root + step) - 2 * here >= 0 and abs(2 * np.arctan(root) - known) > 0.1:
-            found.append(root)
-    if len(found) != 1:
-        return "NoMinima" if not found else "MultipleMinima"
-    x = found[0]
-    return to.T @ g @ ((eye + x * _A + x * x * _B) / (1 + x * x)) @ z.T
+            a[:, i + j] += (parts[i] * parts[j]).sum(1)
+    out: list[np.ndarray | str] = []
+    for row, c in enumerate(a.tolist()):
+        error, weight = Poly(c), lambda x: (1 + x * x) ** 2
+        # Numerator of the derivative of error / (1 + t^2)^2, divided by (1 + t^2).
+        slope = Poly([c[1], 2 * c[2] - 4 * c[0], 3 * c[3] - 3 * c[1], 4 * c[4] - 2 * c[2], -c[3]])
+        found = []
+        for root in slope.real_roots():
+            step = 1e-4 * max(1.0, abs(root))
+            here = error(root) / weight(root)
+            if error(root - step) / weight(root - step) + error(root + step) / weight(root + step) - 2 * here >= 0 and abs(2 * np.arctan(root) - known[row]) > 0.1:
+                found.append(root)
+        if len(found) != 1:
+            out.append("NoMinima" if not found else "MultipleMinima")
+            continue
+        x = found[0]
+        out.append(to[row].T @ g[row] @ ((eye + x * _A + x * x * _B) / (1 + x * x)) @ z[row].T)
+    return out
 
 
-def solutions(h: np.ndarray, corners: np.ndarray, cam: Camera, steps: int = 50) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], str | None]:
-    """One or two poses with their errors, and why there is no second."""
+def solve_all(h: np.ndarray, corners: np.ndarray, cam: Camera, steps: int = 50) -> list[tuple[list[tuple[np.ndarray, np.ndarray, float]], str | None]]:
+    """For each of a stack of homographies and corners one or two poses with their errors, and why there is no second."""
+    if not len(h):
+        return []
     v, p = rays(corners, cam), object_points(cam)
-    r, t = pose_of_homography(h, cam)
-    r, t, error = iterate(v, p, t, r, steps)
-    other = second_minimum(v, p, t, r)
-    if isinstance(other, str):
-        return [(r, t, error)], other
-    return [(r, t, error), iterate(v, p, np.zeros(3), other, steps)], None
+    r, t, error = iterate(v, p, pose_of_homography(h, cam)[0], steps)
+    others = second_minimum(v, p, t, r)
+    out = [([(r[i], t[i], float(error[i]))], o if isinstance(o, str) else None) for i, o in enumerate(others)]
+    again = [i for i, o in enumerate(others) if not isinstance(o, str)]
+    if again:
+        for i, *second in zip(again, *iterate(v[again], p, np.stack([others[i] for i in again]), steps), strict=True):
+            out[i][0].append((second[0], second[1], float(second[2])))
+    return out
+
+
+def solutions(h: np.ndarray, corners: np.ndarray, cam: Camera, steps: int = 50) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], str | None]:
+    """One or two poses of one tag."""
+    return solve_all(h[None], corners[None], cam, steps)[0]
 
 
 _POSE = [
@@ -134,13 +160,15 @@ def with_pose(detections: DataFrame, cam: Camera, steps: int = 50, best_only: bo
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for d in batch.to_pylist():
-                h, corners = np.array(d["h"]).reshape(3, 3), np.array(d["corners"]).reshape(4, 2)
-                if refine:
-                    found, why = solutions(h, corners, cam, steps)
-                else:
-                    found, why = [(*pose_of_homography(h, cam), None)], None
+            if not batch.num_rows:
+                continue
+            out, rows = [], batch.to_pylist()
+            h, corners = np.array([d["h"] for d in rows]).reshape(-1, 3, 3), np.array([d["corners"] for d in rows]).reshape(-1, 4, 2)
+            if refine:
+                solved = solve_all(h, corners, cam, steps)
+            else:
+                solved = [([(r, t, None)], None) for r, t in zip(*pose_of_homography(h, cam), strict=True)]
+            for d, (found, why) in zip(rows, solved, strict=True):
                 every = list(enumerate(found))
                 if best_only and refine:
                     every = [min(every, key=lambda e: e[1][2])]
