@@ -33,15 +33,30 @@ class _Reader:
         self.bits = np.array(fam.bits)
         self.codes = np.array(fam.need_codes(), np.uint64)
 
+    def find(self, words: np.ndarray) -> list[tuple[int, int, int] | None]:
+        """id, Hamming distance and rotation of each word's first match."""
+        if not len(words):
+            return []
+        turned = np.stack(families.rotations(words.astype(np.uint64), len(self.bits)), 1)
+        out: list[tuple[int, int, int] | None] = [None] * len(words)
+        for turn in (3, 2, 1, 0):  # the first rotation with a match is written last
+            d = np.bitwise_count(self.codes ^ turned[:, turn, None])
+            near = d <= self.errors
+            at = near.argmax(1)
+            for i in np.flatnonzero(near.any(1)):
+                out[i] = int(at[i]), int(d[i, at[i]]), turn
+        return out
+
     def __call__(self, word: int) -> tuple[int, int, int] | None:
-        """id, Hamming distance, rotation."""
-        turned = np.array(families.rotations(word, len(self.bits)), np.uint64)
-        d = np.bitwise_count(self.codes ^ turned[:, None])
-        near = d <= self.errors
-        for turn in np.flatnonzero(near.any(1)):
-            at = int(near[turn].argmax())
-            return at, int(d[turn, at]), int(turn)
-        return None
+        return self.find(np.array([word], np.uint64))[0]
+
+
+#: Quadrilaterals that are refined and read at once: what they need of memory is bounded by this and the longest side.
+QUADS = 64
+#: Pixels of the frames of a batch that are looked at together, to be put into stacks by size.
+SLICE = 1 << 22
+#: Pixels of the frames that go through the steps at once; a larger frame goes alone.
+STACK = 1 << 18
 
 
 def _turned(h: np.ndarray, turns: int) -> np.ndarray:
@@ -50,48 +65,73 @@ def _turned(h: np.ndarray, turns: int) -> np.ndarray:
     return h @ np.array([[c, -s, 0], [s, c, 0], [0, 0, 1.0]])
 
 
-def detect_one(im: np.ndarray, config: DetectorConfig, readers: list[_Reader]) -> list[dict]:
-    """Detections in one image, reconciled and ordered by id."""
-    if min(im.shape) < SMALLEST:
-        return []
-    kernels.check_size(im.shape)
+def detect_stack(im: np.ndarray, config: DetectorConfig, readers: list[_Reader]) -> list[list[dict]]:
+    """Detections in each of a stack of frames of one size, reconciled and ordered by id."""
+    found: list[list[dict]] = [[] for _ in im]
+    if min(im.shape[1:]) < SMALLEST:
+        return found
+    kernels.check_size(im.shape[1:])
     k = config.decimation()
     small = kernels.decimate_three_halves(im) if k == 1.5 else kernels.decimate(im, int(k)) if k else im
     small = kernels.sigma_filter(np.ascontiguousarray(small), config)
-    if min(small.shape) < 4:
-        return []
+    if min(small.shape[1:]) < 4:
+        return found
     t = kernels.threshold(small, config.qtp.min_white_black_diff, full_blur=config.qtp.full_blur)
     if config.qtp.deglitch:
         t = kernels.deglitch(t)
     factor = config.quad_decimate or 1.0  # as given, also where the image is decimated by its rounded value
     fams = [r.family for r in readers]
     tag_width = max(3, int(min(f.width_at_border for f in fams) / factor))
-    quads = kernels.find_quads(small, t, config, tag_width, any(not f.reversed_border for f in fams), any(f.reversed_border for f in fams))
-    found = []
-    for corners, flipped in quads:
+    every = kernels.find_quads(small, t, config, tag_width, any(not f.reversed_border for f in fams), any(f.reversed_border for f in fams))
+    for start in range(0, len(every[0]), QUADS):
+        frame, corners, flipped = (a[start : start + QUADS] for a in every)
         if k:
-            corners = np.array([[geometry.rescale_corner(v, k) for v in c] for c in corners])
+            corners = geometry.rescale_corner(corners, k)
         if config.refine_edges:
-            corners = kernels.refine(corners, im, flipped, factor + 1)
-        h = kernels.homography(corners)
-        if h is None:
-            continue
+            corners = kernels.refine(corners, im, frame, flipped, factor + 1)
+        h, sound = kernels.homographies(corners)
         for r in readers:
             f = r.family
-            if f.reversed_border != flipped or not f.geometric:
+            at = np.flatnonzero(sound & (flipped == f.reversed_border))
+            if not f.geometric or not len(at):
                 continue
-            word = kernels.read_word(im, h, r.bits, f.width_at_border, f.total_width, f.reversed_border, config.decode_sharpening)
-            hit = r(word[0]) if word else None
-            if hit:
-                own = _turned(h, hit[2])
-                at = kernels.project(own, np.array([(-1, 1), (1, 1), (1, -1), (-1, -1), (0, 0)], np.float64))
-                found.append({"family": f.name, "id": hit[0], "hamming": hit[1], "margin": word[1], "h": own.ravel().tolist(), "center": at[4].tolist(), "corners": [tuple(p) for p in at[:4].tolist()]})
+            right, words, margins = kernels.read_words(im, frame[at], h[at], r.bits, f.width_at_border, f.total_width, f.reversed_border, config.decode_sharpening)
+            at, margins = at[right], margins[right]
+            for i, margin, hit in zip(at, margins, r.find(words[right]), strict=True):
+                if hit:
+                    own = _turned(h[i], hit[2])
+                    p = kernels.project(own, OUTLINE)
+                    found[frame[i]].append({"family": f.name, "id": hit[0], "hamming": hit[1], "margin": float(margin), "h": own.ravel().tolist(), "center": p[4].tolist(), "corners": [tuple(c) for c in p[:4].tolist()]})
+    return [_reconciled(rows) for rows in found]
+
+
+#: The corners and the middle of a tag, in the order of results.
+OUTLINE = np.array([(-1, 1), (1, 1), (1, -1), (-1, -1), (0, 0)], np.float64)
+
+
+def _reconciled(found: list[dict]) -> list[dict]:
     groups: dict[tuple, list[dict]] = {}
     for d in found:
         groups.setdefault((d["id"], d["family"]), []).append(d)
     return [d for key in sorted(groups) for d in sorted(reconcile.greedy(groups[key]), key=reconcile.better_key)]
 
 
+def detect_one(im: np.ndarray, config: DetectorConfig, readers: list[_Reader]) -> list[dict]:
+    """Detections in one image."""
+    return detect_stack(im[None], config, readers)[0]
+
+
+def stacks(images: list[np.ndarray]):
+    """Places of images of one size, at most :data:`STACK` pixels or one image at a time."""
+    sizes: dict[tuple, list[int]] = {}
+    for i, im in enumerate(images):
+        sizes.setdefault(im.shape, []).append(i)
+    for (h, w), places in sizes.items():
+        n = max(1, STACK // max(1, h * w))
+        for start in range(0, len(places), n):
+            yield places[start : start + n]
+
+
 def debug_images(im: np.ndarray, config: DetectorConfig) -> dict[str, np.ndarray]:
     """The image after each step, by name."""
     k = config.decimation()
@@ -123,18 +163,25 @@ class Detector:
 
             readers = [_Reader(f, e) for f, e in fams]
             for batch in batches:
-                out: list[dict] = []
-                for row in range(batch.num_rows):
-                    image_id, w, h, data = (batch.column(batch.schema.get_field_index(n))[row].as_py() for n in ("image_id", "width", "height", "data"))
-                    if config.source_dimensions and (w, h) != config.source_dimensions:
-                        raise ConfigError(f"frame {image_id} is {w} x {h}")
-                    im = np.frombuffer(data, np.uint8)[: w * h].reshape(h, w)
-                    out += [d | {"image_id": image_id, "corners": [v for p in d["corners"] for v in p]} for d in detect_one(im, config, readers)]
-                    if len(out) >= 512:
+                ids, ws, hs, data = (batch.column(batch.schema.get_field_index(n)) for n in ("image_id", "width", "height", "data"))
+                start = 0
+                while start < batch.num_rows:
+                    images, keys, pixels = [], [], 0
+                    while start < batch.num_rows and (not images or pixels < SLICE):
+                        image_id, w, h = (c[start].as_py() for c in (ids, ws, hs))
+                        if config.source_dimensions and (w, h) != config.source_dimensions:
+                            raise ConfigError(f"frame {image_id} is {w} x {h}")
+                        images.append(np.frombuffer(data[start].as_buffer(), np.uint8)[: w * h].reshape(h, w))
+                        keys.append(image_id)
+                        pixels += w * h
+                        start += 1
+                    found: list[list[dict]] = [[]] * len(images)
+                    for places in stacks(images):
+                        for i, rows in zip(places, detect_stack(np.stack([images[i] for i in places]), config, readers), strict=True):
+                            found[i] = rows
+                    out = [d | {"image_id": key, "corners": [v for p in d["corners"] for v in p]} for key, rows in zip(keys, found, strict=True) for d in rows]
+                    if out:
                         yield pa.RecordBatch.from_pylist(out, schema=target)
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=target)
 
         return frames.select("image_id", "width", "height", "data").mapInArrow(run, DETECTION)
 

@@ -1,7 +1,7 @@
-"""Detection on one image in numpy: threshold, components, clusters, quads, codewords.
+"""Detection on images in numpy: threshold, components, clusters, quads, codewords.
 
-Images are uint8 arrays indexed [y, x].  These run inside ``mapInArrow``, one frame
-after the other; every step has the same result as its relational form.
+Images are uint8 arrays indexed [y, x], or stacks [frame, y, x] of one size: inside ``mapInArrow`` a stack of small
+frames goes through each step at once.  Every step has the same result as its relational form.
 """
 
 from __future__ import annotations
@@ -18,30 +18,30 @@ from tesserae.config import ConfigError, DetectorConfig, QuadParams
 
 
 def decimate(im: np.ndarray, k: int) -> np.ndarray:
-    return im[::k, ::k]
+    return im[..., ::k, ::k]
 
 
 def decimate_three_halves(im: np.ndarray) -> np.ndarray:
-    h, w = im.shape[0] // 3, im.shape[1] // 3
-    b = im[: h * 3, : w * 3].astype(np.int32).reshape(h, 3, w, 3)
-    out = np.empty((h, 2, w, 2), np.uint8)
+    lead, h, w = im.shape[:-2], im.shape[-2] // 3, im.shape[-1] // 3
+    b = im[..., : h * 3, : w * 3].astype(np.int32).reshape(*lead, h, 3, w, 3)
+    out = np.empty((*lead, h, 2, w, 2), np.uint8)
     for dy in (0, 1):
         for dx in (0, 1):
-            out[:, dy, :, dx] = (4 * b[:, 2 * dy, :, 2 * dx] + 2 * b[:, 2 * dy, :, 1] + 2 * b[:, 1, :, 2 * dx] + b[:, 1, :, 1]) // 9
-    return out.reshape(h * 2, w * 2)
+            out[..., dy, :, dx] = (4 * b[..., 2 * dy, :, 2 * dx] + 2 * b[..., 2 * dy, :, 1] + 2 * b[..., 1, :, 2 * dx] + b[..., 1, :, 1]) // 9
+    return out.reshape(*lead, h * 2, w * 2)
 
 
 def _convolve(im: np.ndarray, kernel: list[int]) -> np.ndarray:
     n, half = len(kernel), len(kernel) // 2
-    out, valid = im.copy(), im.shape[1] - n
+    out, valid = im.copy(), im.shape[-1] - n
     if valid > 0:
-        total = 127 + sum(k * im[:, i : i + valid].astype(np.int32) for i, k in enumerate(kernel))
-        out[:, half : half + valid] = np.minimum(255, total >> 8)
+        total = 127 + sum(k * im[..., i : i + valid].astype(np.int32) for i, k in enumerate(kernel))
+        out[..., half : half + valid] = np.minimum(255, total >> 8)
     return out
 
 
 def blur(im: np.ndarray, kernel: list[int]) -> np.ndarray:
-    return _convolve(_convolve(im, kernel).T, kernel).T
+    return np.swapaxes(_convolve(np.swapaxes(_convolve(im, kernel), -1, -2), kernel), -1, -2)
 
 
 def sigma_filter(im: np.ndarray, config: DetectorConfig) -> np.ndarray:
@@ -53,24 +53,24 @@ def sigma_filter(im: np.ndarray, config: DetectorConfig) -> np.ndarray:
 
 
 def threshold(im: np.ndarray, least: int = 5, size: int = 4, full_blur: bool = False) -> np.ndarray:
-    th, tw = im.shape[0] // size, im.shape[1] // size
-    t = im[: th * size, : tw * size].reshape(th, size, tw, size)
-    mn, mx = t.min((1, 3)), t.max((1, 3))
-    for axis in (0, 1):
-        steps = (1, -1) if full_blur else (1,)
-        a, b = mn.copy(), mx.copy()
-        for s in steps:
-            to, of = ((slice(1, None), slice(None, -1)) if s == 1 else (slice(None, -1), slice(1, None)))
-            to, of = ((to, slice(None)), (of, slice(None))) if axis == 0 else ((slice(None), to), (slice(None), of))
-            a[to] = np.minimum(a[to], mn[of])
-            b[to] = np.maximum(b[to], mx[of])
-        mn, mx = a, b
-    ys, xs = np.minimum(np.arange(im.shape[0]) // size, th - 1), np.minimum(np.arange(im.shape[1]) // size, tw - 1)
-    mn, mx = mn[np.ix_(ys, xs)].astype(np.int32), mx[np.ix_(ys, xs)].astype(np.int32)
-    out = np.where(im > mn + (mx - mn) // 2, 255, 0).astype(np.uint8)
-    flat = mx - mn < least
-    flat[th * size :], flat[:, tw * size :] = False, False
-    out[flat] = 127
+    lead, (h, w) = im.shape[:-2], im.shape[-2:]
+    th, tw = h // size, w // size
+    t = im[..., : th * size, : tw * size].reshape(*lead, th, size, tw, size)
+    mn, mx = t.min((-3, -1)), t.max((-3, -1))
+    for axis in (-2, -1):
+        a, b = np.moveaxis(mn, axis, 0), np.moveaxis(mx, axis, 0)
+        lo, hi = a.copy(), b.copy()
+        np.minimum(lo[1:], a[:-1], out=lo[1:])
+        np.maximum(hi[1:], b[:-1], out=hi[1:])
+        if full_blur:
+            np.minimum(lo[:-1], a[1:], out=lo[:-1])
+            np.maximum(hi[:-1], b[1:], out=hi[:-1])
+        mn, mx = np.moveaxis(lo, 0, axis), np.moveaxis(hi, 0, axis)
+    middle, flat = mn + (mx - mn) // 2, mx - mn < least
+    ys, xs = np.minimum(np.arange(h) // size, th - 1), np.minimum(np.arange(w) // size, tw - 1)
+    out = np.where(im > middle[..., ys[:, None], xs], np.uint8(255), np.uint8(0))
+    inner = out[..., : th * size, : tw * size]
+    inner[flat[..., ys[: th * size, None], xs[: tw * size]]] = 127
     return out
 
 
@@ -106,87 +106,101 @@ def bayer_threshold(im: np.ndarray, size: int = 32) -> np.ndarray:
 
 def deglitch(t: np.ndarray) -> np.ndarray:
     """Closing of the inner pixels (see the relational form)."""
-    win = np.lib.stride_tricks.sliding_window_view
+    win = lambda a: np.lib.stride_tricks.sliding_window_view(a, (3, 3), (-2, -1))
     d = np.full_like(t, 255)
-    d[1:-1, 1:-1] = win(t, (3, 3)).max((2, 3))
+    d[..., 1:-1, 1:-1] = win(t).max((-2, -1))
     out = t.copy()
-    out[1:-1, 1:-1] = win(d, (3, 3)).min((2, 3))
+    out[..., 1:-1, 1:-1] = win(d).min((-2, -1))
     return out
 
 
 def component_edges(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the numbers y * w + x of equal neighbours."""
-    h, w = t.shape
-    v = t[:, 1:-1]
+    """Links between the numbers y * w + x of equal neighbours; in a stack the numbers go on from frame to frame."""
+    h, w = t.shape[-2:]
+    v = t[..., 1:-1]
     some = v != 127
     first = np.zeros(w - 2, bool)
     first[:1] = True
-    left, right = t[:, :-2], t[:, 2:]
-    up, up_left, up_right = (np.concatenate([np.full((1, w - 2), 1, np.uint8), a[:-1]]) for a in (v, left, right))
+    left, right = t[..., :-2], t[..., 2:]
+    up, up_left, up_right = (np.concatenate([np.full_like(a[..., :1, :], 1), a[..., :-1, :]], -2) for a in (v, left, right))
     below = np.arange(h)[:, None] > 0
-    number = np.arange(h)[:, None] * w + np.arange(1, w - 1)[None, :]
+    number = np.arange(t.size).reshape(t.shape)[..., 1:-1]
     light = below & (v == 255)
+    same_left, same_up = left == v, up == v
+    left_up = up_left == up
     rules = (
-        (some & (left == v), -1),
-        (some & below & (up == v) & (first | ~((left == up_left) & (up_left == up))), -w),
-        (light & (up_left == v) & (first | ~((left == up_left) | (up == up_left))), -w - 1),
+        (some & same_left, -1),
+        (some & below & same_up & (first | ~((left == up_left) & left_up)), -w),
+        (light & (up_left == v) & (first | ~((left == up_left) | left_up)), -w - 1),
         (light & (up_right == v) & (up != up_right), -w + 1),
     )
-    return np.concatenate([number[m] for m, _ in rules]), np.concatenate([number[m] + d for m, d in rules])
+    ends = [number[m] for m, _ in rules]
+    return np.concatenate(ends), np.concatenate([e + d for e, (_, d) in zip(ends, rules, strict=True)])
 
 
 def components(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least pixel number of each pixel's component, and the component's size."""
     a, b = component_edges(t)
+    along = a - b == 1
     label = np.arange(t.size)
+    label[a[along]] = 0
+    label = np.maximum.accumulate(label)  # runs in a row are one from the start
+    a, b = label[a[~along]], label[b[~along]]
+    met = np.zeros(t.size, bool)
+    met[a] = met[b] = True
+    nodes = np.flatnonzero(met)
+    place = np.empty(t.size, np.int64)
+    place[nodes] = np.arange(len(nodes))
+    a, b, root = place[a], place[b], np.arange(len(nodes))
     while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while True:
-            jumped = new[new]
-            if (jumped == new).all():
-                break
-            new = jumped
-        if (new == label).all():
+        p, q = root[a], root[b]
+        open_ = p != q
+        if not open_.any():
             break
-        label = new
+        a, b, p, q = a[open_], b[open_], p[open_], q[open_]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while not ((jumped := root[root]) == root).all():
+            root = jumped
+    to = place  # no longer needed as it was
+    to[:] = np.arange(t.size)
+    to[nodes] = nodes[root]
+    label = to[label]
     return label.reshape(t.shape), np.bincount(label, minlength=t.size)[label].reshape(t.shape)
 
 
 def gradient_points(t: np.ndarray, label: np.ndarray, size: np.ndarray, least: int = 24) -> np.ndarray:
     """Rows (c0, c1, x, y, gx, gy)."""
-    h, w = t.shape
-    v = t.astype(np.int64)
+    h, w = t.shape[-2:]
+    big = size > least
     ok = np.zeros(t.shape, bool)
-    ok[: h - 1, 1 : w - 1] = ((t != 127) & (size > least))[: h - 1, 1 : w - 1]
+    ok[..., : h - 1, 1 : w - 1] = ((t != 127) & big)[..., : h - 1, 1 : w - 1]
     emits = {}
     for dx, dy in ((1, 0), (0, 1), (-1, 1), (1, 1)):
-        other = np.zeros(t.shape, bool)
+        m = np.zeros(t.shape, bool)
         ys, xs = slice(0, h - dy), slice(max(0, -dx), w - max(0, dx))
         yo, xo = slice(dy, h), slice(max(0, dx), w + min(0, dx))
-        other[ys, xs] = (v[yo, xo] != v[ys, xs]) & (size[yo, xo] > least)
-        emits[dx, dy] = ok & other
-    before = np.zeros(t.shape, bool)
-    before[:, 1:] = emits[1, 1][:, :-1]
-    emits[-1, 1] &= ~before
-    out = []
-    for (dx, dy), m in emits.items():
-        y, x = np.nonzero(m)
-        a, b, d = label[y, x], label[y + dy, x + dx], v[y + dy, x + dx] - v[y, x]
-        out.append(np.stack([np.maximum(a, b), np.minimum(a, b), 2 * x + dx, 2 * y + dy, dx * d, dy * d], 1))
-    return np.concatenate(out)
+        m[..., ys, xs] = (t[..., yo, xo] != t[..., ys, xs]) & big[..., yo, xo]
+        emits[dx, dy] = ok & m
+    emits[-1, 1][..., 1:] &= ~emits[1, 1][..., :-1]
+    own = [np.flatnonzero(m) for m in emits.values()]
+    dx, dy = (np.repeat([e[i] for e in emits], [len(i) for i in own]) for i in (0, 1))
+    at = np.concatenate(own)
+    to = at + dy * w + dx
+    t, label = t.ravel(), label.ravel()
+    a, b, d = label[at], label[to], t[to].astype(np.int64) - t[at]
+    row = at // w
+    return np.stack([np.maximum(a, b), np.minimum(a, b), 2 * (at - row * w) + dx, 2 * (row % h) + dy, dx * d, dy * d], 1)
 
 
 # Quads.
 
 
-def slope_keys(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Key that orders points around the middle of their box, in single precision."""
+def slope_keys(x: np.ndarray, y: np.ndarray, box: np.ndarray | None = None) -> np.ndarray:
+    """Key that orders points around the middle of their box, in single precision; ``box`` has left + right and top + bottom of each point's."""
     f = np.float32
-    dx = x.astype(f) - (f(int(x.min()) + int(x.max())) * f(0.5) + f(0.05118))
-    dy = y.astype(f) - (f(int(y.min()) + int(y.max())) * f(0.5) + f(-0.028581))
+    box = np.array([int(x.min()) + int(x.max()), int(y.min()) + int(y.max())]) if box is None else box
+    middle = box.astype(f) * f(0.5) + np.array([0.05118, -0.028581], f)
+    dx, dy = x.astype(f) - middle[..., 0], y.astype(f) - middle[..., 1]
     base = np.where(dy > 0, np.where(dx > 0, f(65536), f(131072)), np.where(dx > 0, f(0), f(-65536)))
     flip = dy < 0
     dx, dy = np.where(flip, -dx, dx), np.where(flip, -dy, dy)
@@ -195,15 +209,25 @@ def slope_keys(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return base + dy / dx
 
 
-def prefix_moments(im: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Running sums of w, wx, wy, wxx, wxy, wyy over ordered points (doubled coordinates)."""
+def point_moments(im: np.ndarray, frame: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """w, wx, wy, wxx, wxy, wyy of points (doubled coordinates) in frames of a stack."""
     px, py = x / 2 + 0.5, y / 2 + 0.5
     ix, iy = px.astype(int), py.astype(int)
-    inner = (ix > 0) & (ix + 1 < im.shape[1]) & (iy > 0) & (iy + 1 < im.shape[0])
-    jx, jy = np.minimum(np.maximum(ix, 1), im.shape[1] - 2), np.minimum(np.maximum(iy, 1), im.shape[0] - 2)
-    i = lambda dy, dx: im[jy + dy, jx + dx].astype(np.float64)
-    w = np.where(inner, np.hypot(i(0, 1) - i(0, -1), i(1, 0) - i(-1, 0)) + 1, 1.0)
-    return np.cumsum(np.stack([w, w * px, w * py, w * px * px, w * px * py, w * py * py], 1), 0)
+    h, w = im.shape[-2:]
+    inner = (ix > 0) & (ix + 1 < w) & (iy > 0) & (iy + 1 < h)
+    at = (frame * h + np.minimum(np.maximum(iy, 1), h - 2)) * w + np.minimum(np.maximum(ix, 1), w - 2)
+    flat = im.ravel()
+    i = lambda by: flat[at + by].astype(np.float64)
+    wt = np.where(inner, np.hypot(i(1) - i(-1), i(w) - i(-w)) + 1, 1.0)
+    out = np.empty((len(x), 6))
+    out[:, 0], out[:, 1], out[:, 2] = wt, wt * px, wt * py
+    out[:, 3], out[:, 4], out[:, 5] = out[:, 1] * px, out[:, 1] * py, out[:, 2] * py
+    return out
+
+
+def prefix_moments(im: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Running sums of w, wx, wy, wxx, wxy, wyy over ordered points of one image."""
+    return np.cumsum(point_moments(im, np.zeros(len(x), int), x, y), 0)
 
 
 def range_moments(prefix: np.ndarray, i0: np.ndarray, i1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,39 +238,77 @@ def range_moments(prefix: np.ndarray, i0: np.ndarray, i1: np.ndarray) -> tuple[n
     return np.where(around[:, None], m + prefix[-1], m), np.where(around, len(prefix) - i0 + i1 + 1, i1 - i0 + 1)
 
 
-def fit_lines(prefix: np.ndarray, i0, i1) -> dict[str, np.ndarray]:
-    """Centre, normal, mean squared error and total error of the lines through ranges of points."""
-    m, n = range_moments(prefix, np.asarray(i0), np.asarray(i1))
+def lines_of(m: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """Centre, normal, mean squared error and total error of the lines through points with these sums and numbers."""
     ex, ey = m[:, 1] / m[:, 0], m[:, 2] / m[:, 0]
     cxx, cxy, cyy = m[:, 3] / m[:, 0] - ex * ex, m[:, 4] / m[:, 0] - ex * ey, m[:, 5] / m[:, 0] - ey * ey
     root = np.sqrt(((cxx - cyy) ** 2 + 4 * cxy**2).astype(np.float32)).astype(np.float64)
     low, high = 0.5 * (cxx + cyy - root), 0.5 * (cxx + cyy + root)
-    a, b = np.stack([cxx - high, cxy], 1), np.stack([cxy, cyy - high], 1)
-    na, nb = (a * a).sum(1), (b * b).sum(1)
-    normal = np.where((na > nb)[:, None], a, b)
+    by_x, by_y = cxx - high, cyy - high
+    na, nb = by_x * by_x + cxy * cxy, cxy * cxy + by_y * by_y
+    one = na > nb
     length = np.sqrt(np.maximum(na, nb).astype(np.float32)).astype(np.float64)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        normal = np.where(length[:, None] > 0, normal / length[:, None], 0)
-    return {"ex": ex, "ey": ey, "nx": normal[:, 0], "ny": normal[:, 1], "mse": low, "err": n * low}
+    safe = np.where(length > 0, length, np.inf)
+    return {"ex": ex, "ey": ey, "nx": np.where(one, by_x, cxy) / safe, "ny": np.where(one, cxy, by_y) / safe, "mse": low, "err": n * low}
 
 
-def corner_maxima(prefix: np.ndarray, most: int) -> np.ndarray | None:
-    """Indices where the fit around a point is worst: candidates for corners."""
-    n = len(prefix)
-    reach = min(20, n // 12)
-    if reach < 2:
-        return None
-    at = np.arange(n)
-    err = fit_lines(prefix, (at - reach) % n, (at + reach) % n)["err"]
-    weights = np.exp(-0.5 * np.arange(-3, 4) ** 2.0)
-    wide = np.concatenate([err[(np.arange(-3, 0)) % n], err, err[np.arange(3) % n]])
-    err = sum(wt * wide[j : j + n] for j, wt in enumerate(weights))
-    top = np.flatnonzero((err > np.roll(err, -1)) & (err > np.roll(err, 1)))
-    if len(top) < 4:
-        return None
-    if len(top) > most:
-        top = top[err[top] > np.sort(err[top])[::-1][most]]
-    return top if len(top) >= 4 else None
+def fit_lines(prefix: np.ndarray, i0, i1) -> dict[str, np.ndarray]:
+    """The lines through ranges of one cluster's points."""
+    return lines_of(*range_moments(prefix, np.asarray(i0), np.asarray(i1)))
+
+
+class Clusters:
+    """Ordered points of many clusters, one after the other, with running sums that begin anew in each."""
+
+    def __init__(self, moments: np.ndarray, lengths: np.ndarray):
+        self.n = lengths
+        self.first = np.cumsum(lengths) - lengths
+        self.prefix = np.empty_like(moments)
+        for s, e in zip(self.first.tolist(), (self.first + lengths).tolist(), strict=True):
+            np.cumsum(moments[s:e], 0, out=self.prefix[s:e])
+
+    def lines(self, c: np.ndarray, i0: np.ndarray, i1: np.ndarray) -> dict[str, np.ndarray]:
+        """Lines through the points i0 to i1 of clusters c, both included, around the end where i0 > i1."""
+        first, n = self.first[c], self.n[c]
+        m = self.prefix[first + i1] - np.where((i0 > 0)[:, None], self.prefix[first + np.maximum(i0, 1) - 1], 0)
+        around = i0 > i1
+        m[around] += self.prefix[(first + n - 1)[around]]
+        return lines_of(m, np.where(around, n - i0 + i1 + 1, i1 - i0 + 1))
+
+    def corner_maxima(self, most: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Candidates for corners, where the fit around a point is worst: by their number k, the clusters (c) and the points' places (c, k)."""
+        own = np.repeat(np.arange(len(self.n)), self.n)
+        n, first = self.n[own], self.first[own]
+        at, reach = np.arange(len(own)) - first, np.minimum(20, n // 12)
+        err = self.lines(own, (at - reach) % n, (at + reach) % n)["err"]
+        weights = np.exp(-0.5 * np.arange(-3, 4) ** 2.0)
+        err = sum(wt * err[first + (at + j) % n] for j, wt in zip(range(-3, 4), weights, strict=True))
+        top = np.flatnonzero((err > err[first + (at + 1) % n]) & (err > err[first + (at - 1) % n]) & (reach >= 2))
+        held: dict[int, list] = {}
+        for part in np.split(top, np.flatnonzero(np.diff(own[top])) + 1):
+            if len(part) > most:
+                part = part[err[part] > np.sort(err[part])[::-1][most]]
+            if len(part) >= 4:
+                held.setdefault(len(part), []).append((own[part[0]], at[part]))
+        return {k: (np.array([c for c, _ in g]), np.array([a for _, a in g])) for k, g in held.items()}
+
+    def best_corners(self, qtp: QuadParams) -> tuple[np.ndarray, np.ndarray]:
+        """The four maxima whose lines fit best: clusters in order, and places (c, 4). Clusters without such are left out."""
+        found = [(np.zeros(0, int), np.zeros((0, 4), int))]
+        for k, (c, top) in self.corner_maxima(qtp.max_nmaxima).items():
+            i, j = np.divmod(np.arange(k * k), k)
+            line = {name: v.reshape(len(c), k * k) for name, v in self.lines(np.repeat(c, k * k), top[:, i].ravel(), top[:, j].ravel()).items()}
+            four = _fours(k)
+            sides = [four[:, a] * k + four[:, b] for a, b in ((0, 1), (1, 2), (2, 3), (3, 0))]
+            ok = np.logical_and.reduce([line["mse"][:, s] <= qtp.max_line_fit_mse for s in sides])
+            ok &= np.abs(line["nx"][:, sides[0]] * line["nx"][:, sides[1]] + line["ny"][:, sides[0]] * line["ny"][:, sides[1]]) <= qtp.cos_critical_rad
+            total = np.where(ok, sum(line["err"][:, s] for s in sides), np.inf)
+            best = total.argmin(1)
+            use = total[np.arange(len(c)), best] / self.n[c] < qtp.max_line_fit_mse
+            found.append((c[use], np.take_along_axis(top, four[best], 1)[use]))
+        c, places = (np.concatenate(a) for a in zip(*found, strict=True))
+        order = np.argsort(c)
+        return c[order], places[order]
 
 
 @functools.lru_cache(maxsize=64)
@@ -254,73 +316,29 @@ def _fours(k: int) -> np.ndarray:
     return np.array(list(itertools.combinations(range(k), 4)))
 
 
-def best_corners(prefix: np.ndarray, top: np.ndarray, qtp: QuadParams) -> tuple[int, int, int, int] | None:
-    """The four maxima whose lines fit best."""
-    k = len(top)
-    i, j = (a.ravel() for a in np.meshgrid(np.arange(k), np.arange(k), indexing="ij"))
-    line = fit_lines(prefix, top[i], top[j])
-    at = lambda a, b: a * k + b
-    four = _fours(k)
-    sides = [at(four[:, a], four[:, b]) for a, b in ((0, 1), (1, 2), (2, 3), (3, 0))]
-    ok = np.logical_and.reduce([line["mse"][s] <= qtp.max_line_fit_mse for s in sides])
-    ok &= np.abs(line["nx"][sides[0]] * line["nx"][sides[1]] + line["ny"][sides[0]] * line["ny"][sides[1]]) <= qtp.cos_critical_rad
-    if not ok.any():
-        return None
-    total = np.where(ok, sum(line["err"][s] for s in sides), np.inf)
-    best = int(total.argmin())
-    return tuple(int(top[q]) for q in four[best]) if total[best] / len(prefix) < qtp.max_line_fit_mse else None
+def intersect(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Meeting points of lines given by centre and normal (last axis), and whether there is one."""
+    det = p[..., 2] * q[..., 3] - p[..., 3] * q[..., 2]
+    ok = np.abs(det) >= 1e-3
+    safe = np.where(ok, det, 1.0)
+    r, t = p[..., 2] * p[..., 0] + p[..., 3] * p[..., 1], q[..., 2] * q[..., 0] + q[..., 3] * q[..., 1]
+    return np.stack([(r * q[..., 3] - t * p[..., 3]) / safe, (p[..., 2] * t - q[..., 2] * r) / safe], -1), ok
 
 
-def intersect(p: tuple, q: tuple) -> tuple[float, float] | None:
-    """Meeting point of lines given by centre and normal."""
-    det = p[2] * q[3] - p[3] * q[2]
-    if abs(det) < 1e-3:
-        return None
-    r, t = p[2] * p[0] + p[3] * p[1], q[2] * q[0] + q[3] * q[1]
-    return (r * q[3] - t * p[3]) / det, (p[2] * t - q[2] * r) / det
+def _heron(a, b, c):
+    s = (a + b + c) / 2
+    return np.sqrt(np.maximum(0.0, s * (s - a) * (s - b) * (s - c)))
 
 
-def _heron(a: float, b: float, c: float) -> float:
-    s = (a + b + c) / 2
-    return max(0.0, s * (s - a) * (s - b) * (s - c)) ** 0.5
-
-
-def valid_quad(c: np.ndarray, tag_width: int, qtp: QuadParams) -> bool:
-    side = [float(np.hypot(*(c[(i + 1) % 4] - c[i]))) for i in range(4)]
-    across = float(np.hypot(*(c[2] - c[0])))
-    if _heron(side[0], side[1], across) + _heron(side[2], side[3], across) < 0.95 * tag_width * tag_width:
-        return False
-    for i in range(4):
-        d1, d2 = c[(i + 1) % 4] - c[i], c[(i + 2) % 4] - c[(i + 1) % 4]
-        long = np.hypot(*d1) * np.hypot(*d2)
-        if long == 0 or abs(d1 @ d2 / long) > qtp.cos_critical_rad or d1[0] * d2[1] < d1[1] * d2[0]:
-            return False
-    return True
-
-
-def fit_quad(points: np.ndarray, im: np.ndarray, qtp: QuadParams, tag_width: int, normal: bool = True, reversed_: bool = True) -> tuple[np.ndarray, bool] | None:
-    """Corners of a quadrilateral through the points (x, y, gx, gy), and whether its border is reversed."""
-    x, y, gx, gy = points.T
-    if (x.max() - x.min()) * (y.max() - y.min()) < tag_width:
-        return None
-    cx, cy = (x.min() + x.max()) * 0.5 + 0.05118, (y.min() + y.max()) * 0.5 - 0.028581
-    flipped = bool(((x - cx) * gx + (y - cy) * gy).sum() < 0)
-    if not (reversed_ if flipped else normal):
-        return None
-    order = np.lexsort((gy, gx, x, y, slope_keys(x, y)))
-    prefix = prefix_moments(im, x[order], y[order])
-    top = corner_maxima(prefix, qtp.max_nmaxima)
-    best = None if top is None else best_corners(prefix, top, qtp)
-    if best is None:
-        return None
-    line = fit_lines(prefix, np.array(best), np.array(best[1:] + best[:1]))
-    if (line["mse"] > qtp.max_line_fit_mse).any():
-        return None
-    lines = list(zip(line["ex"], line["ey"], line["nx"], line["ny"], strict=True))
-    corners = [intersect(lines[i], lines[(i + 1) % 4]) for i in range(4)]
-    if any(q is None for q in corners) or not valid_quad(np.array(corners), tag_width, qtp):
-        return None
-    return np.array(corners), flipped
+def valid_quad(c: np.ndarray, tag_width: int, qtp: QuadParams) -> np.ndarray:
+    """Whether corners (..., 4, 2) make a quadrilateral that is large, square and turned enough."""
+    d = np.roll(c, -1, -2) - c
+    side, across = np.hypot(d[..., 0], d[..., 1]), np.hypot(*np.moveaxis(c[..., 2, :] - c[..., 0, :], -1, 0))
+    area = _heron(side[..., 0], side[..., 1], across) + _heron(side[..., 2], side[..., 3], across)
+    e, long = np.roll(d, -1, -2), side * np.roll(side, -1, -1)
+    cos = np.abs((d * e).sum(-1)) / np.where(long > 0, long, 1.0)
+    turns = d[..., 0] * e[..., 1] >= d[..., 1] * e[..., 0]
+    return (area >= 0.95 * tag_width * tag_width) & ((long > 0) & (cos <= qtp.cos_critical_rad) & turns).all(-1)
 
 
 def merged_corners(prefix: np.ndarray, qtp: QuadParams) -> tuple[int, int, int, int] | None:
@@ -354,92 +372,123 @@ def merged_corners(prefix: np.ndarray, qtp: QuadParams) -> tuple[int, int, int,
     return corners if (line["mse"] <= qtp.max_line_fit_mse).all() else None
 
 
-def find_quads(im: np.ndarray, t: np.ndarray, config: DetectorConfig, tag_width: int, normal: bool, reversed_: bool) -> list[tuple[np.ndarray, bool]]:
+def find_quads(im: np.ndarray, t: np.ndarray, config: DetectorConfig, tag_width: int, normal: bool, reversed_: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Quadrilaterals in a stack of frames: frame (q), corners (q, 4, 2), and whether the border is reversed (q)."""
+    qtp, none = config.qtp, (np.zeros(0, int), np.zeros((0, 4, 2)), np.zeros(0, bool))
     label, size = components(t)
     points = gradient_points(t, label, size)
     if not len(points):
-        return []
-    points = points[np.lexsort((points[:, 5], points[:, 4], points[:, 2], points[:, 3], points[:, 1], points[:, 0]))]
-    starts = np.concatenate([[0], np.flatnonzero(np.any(points[1:, :2] != points[:-1, :2], 1)) + 1])
-    ends = np.append(starts[1:], len(points))
+        return none
+    key = points[:, 0] * t.size + points[:, 1]
+    order = np.argsort(key)
+    points, key = points[order], key[order]
+    starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+    n = np.diff(np.append(starts, len(points)))
+    long = (n >= max(qtp.min_cluster_pixels, 24)) & (n <= 4 * sum(t.shape[1:]))
+    if not long.any():
+        return none
+    points, n = points[np.repeat(long, n)], n[long]
+    starts = np.cumsum(n) - n
+    # Clusters of no use go at once: by box and polarity.
     x, y, gx, gy = points[:, 2:].T
-    # Clusters of no use go at once: by length, box and polarity (where it isn't near the middle).
     low, high = np.minimum.reduceat(points[:, 2:4], starts), np.maximum.reduceat(points[:, 2:4], starts)
-    middle = (low + high) * 0.5 + (0.05118, -0.028581)
-    sums = np.add.reduceat(np.stack([x * gx + y * gy, gx, gy], 1), starts)
-    polarity = sums[:, 0] - (middle * sums[:, 1:]).sum(1)
-    use = (ends - starts >= max(config.qtp.min_cluster_pixels, 24)) & (ends - starts <= 4 * sum(t.shape)) & ((high - low).prod(1) >= tag_width)
-    use &= (normal & (polarity > -1e-6)) | (reversed_ & (polarity < 1e-6))
-    out = []
-    for start, end in zip(starts[use], ends[use], strict=True):
-        quad = fit_quad(points[start:end, 2:], im, config.qtp, tag_width, normal, reversed_)
-        if quad is not None:
-            out.append(quad)
-    return out
+    sums = np.add.reduceat(np.stack([x * gx + y * gy, gx, gy], 1), starts)  # whole numbers: exact in any order
+    flipped = sums[:, 0] - (((low + high) * 0.5 + (0.05118, -0.028581)) * sums[:, 1:]).sum(1) < 0
+    use = ((high - low).prod(1) >= tag_width) & np.where(flipped, reversed_, normal)
+    if not use.any():
+        return none
+    points, low, high, flipped, n = points[np.repeat(use, n)], low[use], high[use], flipped[use], n[use]
+    own, (x, y, gx, gy) = np.repeat(np.arange(len(n)), n), points[:, 2:].T
+    frame = points[:, 0] // (t.shape[1] * t.shape[2])
+    ties = (((y << 16) + x << 10) + gx + 512 << 10) + gy + 512
+    order = np.lexsort((ties, slope_keys(x, y, (low + high)[own]), own))
+    clusters = Clusters(point_moments(im, frame[order], x[order], y[order]), n)
+    c, places = clusters.best_corners(qtp)
+    if not len(c):
+        return none
+    line = {k: v.reshape(-1, 4) for k, v in clusters.lines(np.repeat(c, 4), places.ravel(), np.roll(places, -1, 1).ravel()).items()}
+    sides = np.stack([line["ex"], line["ey"], line["nx"], line["ny"]], -1)
+    corners, met = intersect(sides, np.roll(sides, -1, 1))
+    ok = (line["mse"] <= qtp.max_line_fit_mse).all(1) & met.all(1) & valid_quad(corners, tag_width, qtp)
+    return frame[clusters.first[c]][ok], corners[ok], flipped[c][ok]
 
 
 # Refinement and decoding.
 
 
-def refine(corners: np.ndarray, im: np.ndarray, flipped: bool, reach: float) -> np.ndarray:
-    """Corners moved to lines through the strongest edges near the sides. All four sides are searched at once."""
+def refine(corners: np.ndarray, im: np.ndarray, frame: np.ndarray, flipped: np.ndarray, reach: float) -> np.ndarray:
+    """Corners (q, 4, 2) moved to lines through the strongest edges near the sides, in frames of a stack. All sides are searched at once."""
     f = np.float32
     c = corners.astype(f).astype(np.float64)
     steps = np.arange(-reach, reach + 1e-9, 0.25)
-    d = np.roll(c, -1, 0) - c
-    length = np.hypot(d[:, 0], d[:, 1])
-    if not length.all():
-        return corners
-    normal = np.stack([d[:, 1], -d[:, 0]], 1) / length[:, None] * (-1 if flipped else 1)
+    d = np.roll(c, -1, 1) - c
+    length = np.hypot(d[..., 0], d[..., 1])
+    normal = np.stack([d[..., 1], -d[..., 0]], -1) / np.where(length > 0, length, 1)[..., None] * np.where(flipped, -1, 1)[:, None, None]
     count = np.maximum(16, (length / 8).astype(int))
     place = np.arange(count.max())
-    alpha = ((1 + place) / (count[:, None] + 1))[..., None]
-    p0 = alpha * c[:, None, :] + (1 - alpha) * np.roll(c, -1, 0)[:, None, :]
-    along = normal[:, None, None, :]
-    at = p0[:, :, None, :] + steps[:, None] * along
-    h, w = im.shape
-
-    def pixels(q):
-        x, y = q[..., 0].astype(int), q[..., 1].astype(int)  # towards zero
+    alpha = ((1 + place) / (count[..., None] + 1))[..., None]
+    p0 = alpha * c[:, :, None, :] + (1 - alpha) * np.roll(c, -1, 1)[:, :, None, :]
+    h, w = im.shape[-2:]
+    flat, base = im.ravel(), (frame * (h * w))[:, None, None, None]
+    ats = [p0[..., i, None] + steps * normal[..., None, None, i] for i in (0, 1)]
+
+    def pixels(sign):
+        x, y = ((a + sign * normal[..., None, None, i]).astype(int) for i, a in enumerate(ats))  # towards zero
         ok = (x >= 0) & (x < w) & (y >= 0) & (y < h)
-        return ok, im[np.minimum(np.maximum(y, 0), h - 1), np.minimum(np.maximum(x, 0), w - 1)].astype(np.float64)
+        return ok, flat[base + np.minimum(np.maximum(y, 0), h - 1) * w + np.minimum(np.maximum(x, 0), w - 1)].astype(np.float64)
 
-    (ok1, g1), (ok2, g2) = pixels(at + along), pixels(at - along)
+    (ok1, g1), (ok2, g2) = pixels(1), pixels(-1)
     weight = np.where(ok1 & ok2 & (g1 >= g2), (g2 - g1) ** 2, 0)
-    total = weight.sum(2)
-    use = (total > 0) & (place < count[:, None])
-    best = p0 + ((weight * steps).sum(2) / np.where(total > 0, total, 1))[..., None] * normal[:, None, :]
-    n = use.sum(1)
-    u = use / np.maximum(n, 1)[:, None]
-    e = (best * u[..., None]).sum(1)
-    cov = (best * best * u[..., None]).sum(1) - e * e
-    cxy = (best[..., 0] * best[..., 1] * u).sum(1) - e[:, 0] * e[:, 1]
-    theta = f(0.5) * np.arctan2((-2 * cxy).astype(f), (cov[:, 1] - cov[:, 0]).astype(f))
-    lines = np.stack([e[:, 0], e[:, 1], np.cos(theta), np.sin(theta)], 1)
-    new = corners.copy()
-    for i in range(4):
-        j = (i + 1) % 4
-        if n[i] and n[j] and (hit := intersect(tuple(lines[i]), tuple(lines[j]))) is not None:
-            new[j] = hit
-    return new
+    total = weight.sum(-1)
+    use = (total > 0) & (place < count[..., None])
+    best = p0 + ((weight @ steps) / np.where(total > 0, total, 1))[..., None] * normal[:, :, None, :]
+    n = use.sum(-1)
+    u = use / np.maximum(n, 1)[..., None]
+    e = (best * u[..., None]).sum(2)
+    cov = (best * best * u[..., None]).sum(2) - e * e
+    cxy = (best[..., 0] * best[..., 1] * u).sum(-1) - e[..., 0] * e[..., 1]
+    theta = f(0.5) * np.arctan2((-2 * cxy).astype(f), (cov[..., 1] - cov[..., 0]).astype(f))
+    lines = np.stack([e[..., 0], e[..., 1], np.cos(theta), np.sin(theta)], -1)
+    at, met = intersect(lines, np.roll(lines, -1, 1))
+    met &= (n > 0) & (np.roll(n, -1, 1) > 0) & (length > 0).all(1)[:, None]
+    return np.where(np.roll(met, 1, 1)[..., None], np.roll(at, 1, 1), corners)
 
 
 #: Corners of a tag in its own coordinates, in the order of a quad's corners.
 TAG_CORNERS = np.array([(-1, -1), (1, -1), (1, 1), (-1, 1)], np.float64)
 
 
-def homography(corners: np.ndarray, source: np.ndarray = TAG_CORNERS) -> np.ndarray | None:
-    """3 x 3 map with h22 = 1 from four source points to four corners; None if singular."""
-    a, b = np.zeros((8, 8)), np.zeros(8)
-    for i, ((x, y), (u, v)) in enumerate(zip(source, corners, strict=True)):
-        a[2 * i] = x, y, 1, 0, 0, 0, -x * u, -y * u
-        a[2 * i + 1] = 0, 0, 0, x, y, 1, -x * v, -y * v
-        b[2 * i : 2 * i + 2] = u, v
+def homographies(corners: np.ndarray, source: np.ndarray = TAG_CORNERS) -> tuple[np.ndarray, np.ndarray]:
+    """3 x 3 maps with h22 = 1 from four source points to each of the corners (q, 4, 2), and which of them are sound."""
+    n = len(corners)
+    a, b = np.zeros((n, 8, 8)), corners.reshape(n, 8).astype(np.float64)
+    for i, (x, y) in enumerate(source):
+        a[:, 2 * i, :3] = a[:, 2 * i + 1, 3:6] = x, y, 1
+        for j in (0, 1):
+            v = b[:, 2 * i + j]
+            a[:, 2 * i + j, 6], a[:, 2 * i + j, 7] = -x * v, -y * v
+    h = np.ones((n, 9))
+    h[:, :8] = _solve(a, b)
+    h = h.reshape(n, 3, 3)
+    ok = np.isfinite(h).all((1, 2))
+    ok[ok] = np.abs(np.linalg.det(h[ok])) > 1e-300
+    return h, ok
+
+
+def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solutions of a stack; NaN where a matrix is singular."""
     try:
-        h = np.append(np.linalg.solve(a, b), 1.0).reshape(3, 3)
+        return np.linalg.solve(a, b[..., None])[..., 0]
     except np.linalg.LinAlgError:
-        return None
-    return h if np.isfinite(h).all() and abs(np.linalg.det(h)) > 1e-300 else None
+        if len(a) == 1:
+            return np.full(b.shape, np.nan)
+        return np.concatenate([_solve(a[i : i + 1], b[i : i + 1]) for i in range(len(a))])
+
+
+def homography(corners: np.ndarray, source: np.ndarray = TAG_CORNERS) -> np.ndarray | None:
+    """The map to one tag's corners; None if singular."""
+    h, ok = homographies(np.asarray(corners)[None], source)
+    return h[0] if ok[0] else None
 
 
 def fit_homography(source: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -452,36 +501,37 @@ def fit_homography(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def project(h: np.ndarray, p: np.ndarray) -> np.ndarray:
-    q = np.concatenate([p, np.ones((len(p), 1))], 1) @ h.T
-    return q[:, :2] / q[:, 2:]
-
-
-def sample(im: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Bilinear values; NaN outside."""
-    q = p - 0.5
-    x0, y0 = np.floor(q[:, 0]).astype(int), np.floor(q[:, 1]).astype(int)
-    ok = (x0 >= 0) & (y0 >= 0) & (x0 + 1 < im.shape[1]) & (y0 + 1 < im.shape[0])
-    x, y = np.clip(x0, 0, im.shape[1] - 2), np.clip(y0, 0, im.shape[0] - 2)
-    fx, fy = q[:, 0] - x0, q[:, 1] - y0
-    i = lambda dy, dx: im[y + dy, x + dx].astype(np.float64)
-    v = i(0, 0) * (1 - fx) * (1 - fy) + i(0, 1) * fx * (1 - fy) + i(1, 0) * (1 - fx) * fy + i(1, 1) * fx * fy
+    """Points under one map or a stack of them."""
+    q = np.concatenate([p, np.ones((len(p), 1))], 1) @ np.swapaxes(h, -1, -2)
+    return q[..., :2] / q[..., 2:]
+
+
+def sample(im: np.ndarray, frame: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Bilinear values at points (q, n, 2) in frames of a stack; NaN outside."""
+    q, (h, w) = p - 0.5, im.shape[-2:]
+    low = np.floor(q).astype(int)
+    x0, y0 = low[..., 0], low[..., 1]
+    ok = (x0 >= 0) & (y0 >= 0) & (x0 + 1 < w) & (y0 + 1 < h)
+    at = frame[:, None] * (h * w) + np.minimum(np.maximum(y0, 0), h - 2) * w + np.minimum(np.maximum(x0, 0), w - 2)
+    fx, fy = q[..., 0] - x0, q[..., 1] - y0
+    flat = im.ravel()
+    i = lambda by: flat[at + by].astype(np.float64)
+    v = i(0) * (1 - fx) * (1 - fy) + i(1) * fx * (1 - fy) + i(w) * (1 - fx) * fy + i(w + 1) * fx * fy
     return np.where(ok, v, np.nan)
 
 
-def gray_planes(im: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients (x, y, 1) of the light and the dark border's brightness, from a strip on either side of each edge of the border."""
-    fits = []
+def gray_planes(im: np.ndarray, frame: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (x, y, 1) of the light and the dark border's brightness (q, 3), from a strip on either side of each edge of the border."""
+    fits, (high, wide), flat = [], im.shape[-2:], im.ravel()
     for tag in _strips(width):
-        p = project(h, tag[:, :2]).astype(int)  # towards zero
-        ok = (p[:, 0] >= 0) & (p[:, 1] >= 0) & (p[:, 0] < im.shape[1]) & (p[:, 1] < im.shape[0])
-        if not ok.any():
-            fits.append(np.zeros(3))
-            continue
-        a, v = tag[ok], im[p[ok, 1], p[ok, 0]].astype(np.float64)
-        try:
-            fits.append(np.linalg.solve(a.T @ a, a.T @ v))
-        except np.linalg.LinAlgError:  # too few places
-            fits.append(np.linalg.lstsq(a, v, rcond=None)[0])
+        p = project(h, tag[:, :2])
+        x, y = (np.where(np.isfinite(v), np.clip(v, -2, 1 << 20), -2).astype(int) for v in (p[..., 0], p[..., 1]))  # towards zero
+        ok = (x >= 0) & (y >= 0) & (x < wide) & (y < high)
+        v = flat[np.where(ok, frame[:, None] * (high * wide) + y * wide + x, 0)].astype(np.float64) * ok
+        fit = _solve(np.einsum("qs,si,sj->qij", ok.astype(np.float64), tag, tag), v @ tag)
+        for i in np.flatnonzero(~np.isfinite(fit).all(1)):  # too few places
+            fit[i] = np.linalg.lstsq(tag[ok[i]], v[i, ok[i]], rcond=None)[0] if ok[i].any() else 0
+        fits.append(fit)
     return fits[0], fits[1]
 
 
@@ -499,26 +549,23 @@ def _strips(width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def laplacian(values: np.ndarray, amount: float) -> np.ndarray:
     """values + amount * (4 v - neighbours), zero outside."""
-    z = np.pad(values, 1)
-    return values + amount * (4 * values - z[:-2, 1:-1] - z[2:, 1:-1] - z[1:-1, :-2] - z[1:-1, 2:])
+    z = np.pad(values, [(0, 0)] * (values.ndim - 2) + [(1, 1)] * 2)
+    return values + amount * (4 * values - z[..., :-2, 1:-1] - z[..., 2:, 1:-1] - z[..., 1:-1, :-2] - z[..., 1:-1, 2:])
 
 
-def read_word(im: np.ndarray, h: np.ndarray, bits: np.ndarray, width: int, total: int, reversed_: bool, sharpening: float) -> tuple[int, float] | None:
-    """Codeword and decision margin at a homography, or None where the border has the wrong polarity."""
-    white, black = gray_planes(im, h, width)
-    if (white[2] - black[2] < 0) != reversed_:
-        return None
+def read_words(im: np.ndarray, frame: np.ndarray, h: np.ndarray, bits: np.ndarray, width: int, total: int, reversed_: bool, sharpening: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At homographies (q, 3, 3) in frames of a stack: whether the border has the right polarity, codewords, and decision margins."""
+    white, black = gray_planes(im, frame, h, width)
     tag = (bits + 0.5) / width * 2 - 1
-    v = sample(im, project(h, tag))
+    v = sample(im, frame, project(h, tag))
     plane = np.concatenate([tag, np.ones((len(tag), 1))], 1)
-    rel = v - (plane @ white + plane @ black) / 2
-    grid = np.zeros((total, total))
+    rel = v - (white @ plane.T + black @ plane.T) / 2
+    grid = np.zeros((len(h), total, total))
     at = bits - (width - total) // 2
-    seen = ~np.isnan(rel)
-    grid[at[seen, 1], at[seen, 0]] = rel[seen]
-    value = laplacian(grid, sharpening)[at[:, 1], at[:, 0]]
+    grid[:, at[:, 1], at[:, 0]] = np.where(np.isnan(rel), 0, rel)
+    value = laplacian(grid, sharpening)[:, at[:, 1], at[:, 0]]
     one = value > 0
-    word = int("".join("1" if b else "0" for b in one), 2)
-    f = np.float32
-    margin = min(f(value[one].sum()) / f(1 + one.sum()), f(-value[~one].sum()) / f(1 + (~one).sum()))
-    return word, float(margin)
+    word = (one.astype(np.uint64) << np.arange(len(bits) - 1, -1, -1, dtype=np.uint64)).sum(1, dtype=np.uint64)
+    f, ones = np.float32, one.sum(1)
+    margin = np.minimum((value * one).sum(1).astype(f) / (1 + ones).astype(f), (-value * ~one).sum(1).astype(f) / (1 + len(bits) - ones).astype(f))
+    return (white[:, 2] - black[:, 2] < 0) == reversed_, word, margin
