@@ -40,26 +40,25 @@ def greedy(rows: list[dict]) -> list[dict]:
 def reconcile(detections: DataFrame) -> DataFrame:
     """Rows with image_id, family, id, hamming, margin and corners (array of 8 numbers) that survive.
 
-    Most tags stand once in an image: those rows stay in the JVM, and only the others go to Python, a group at a time.
+    Most tags stand once in an image: those rows stay in the JVM. The others go to Python, many groups in one batch.
     """
-    schema = detections.schema
-    key = ["image_id", "family", "id"]
-    counted = detections.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def group(table):
+    schema, target = detections.schema, to_arrow_schema(detections.schema)
+    groups = detections.groupBy("image_id", "family", "id").agg(F.collect_list(F.struct(*detections.columns)).alias("__rows"))
+
+    def run(batches):
         import pyarrow as pa
 
-        rows = table.to_pylist()
-        for r in rows:
-            r["flat"] = r["corners"]
-            r["corners"] = [tuple(r["flat"][i : i + 2]) for i in range(0, 8, 2)]
-        kept = greedy(rows)
-        for r in kept:
-            r["corners"] = r.pop("flat")
-        return pa.Table.from_pylist(kept, schema=table.schema)
-
-    several = counted.filter("__n > 1").drop("__n").groupBy(*key).applyInArrow(group, schema)
-    return counted.filter("__n = 1").drop("__n").unionByName(several)
+        for batch in batches:
+            kept = []
+            for rows in batch.column(0).to_pylist():
+                kept += greedy([r | {"corners": [tuple(r["corners"][i : i + 2]) for i in range(0, 8, 2)]} for r in rows])
+            if kept:
+                yield pa.RecordBatch.from_pylist([r | {"corners": [v for p in r["corners"] for v in p]} for r in kept], schema=target)
+
+    alone = groups.filter(F.size("__rows") == 1).select("__rows").selectExpr("inline(__rows)")
+    return alone.union(groups.filter(F.size("__rows") > 1).select("__rows").mapInArrow(run, schema))
 
 
 def in_order(detections: DataFrame, *ties: str) -> DataFrame:
