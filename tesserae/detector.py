@@ -55,8 +55,6 @@ class _Reader:
 QUADS = 64
 #: Pixels of the frames of a batch that are looked at together, to be put into stacks by size.
 SLICE = 1 << 22
-#: Pixels of the frames that go through the steps at once; a larger frame goes alone.
-STACK = 1 << 18
 
 
 def _turned(h: np.ndarray, turns: int) -> np.ndarray:
@@ -121,17 +119,6 @@ def detect_one(im: np.ndarray, config: DetectorConfig, readers: list[_Reader]) -
     return detect_stack(im[None], config, readers)[0]
 
 
-def stacks(images: list[np.ndarray]):
-    """Places of images of one size, at most :data:`STACK` pixels or one image at a time."""
-    sizes: dict[tuple, list[int]] = {}
-    for i, im in enumerate(images):
-        sizes.setdefault(im.shape, []).append(i)
-    for (h, w), places in sizes.items():
-        n = max(1, STACK // max(1, h * w))
-        for start in range(0, len(places), n):
-            yield places[start : start + n]
-
-
 def debug_images(im: np.ndarray, config: DetectorConfig) -> dict[str, np.ndarray]:
     """The image after each step, by name."""
     k = config.decimation()
@@ -176,7 +163,7 @@ class Detector:
                         pixels += w * h
                         start += 1
                     found: list[list[dict]] = [[]] * len(images)
-                    for places in stacks(images):
+                    for places in kernels.stacks(images):
                         for i, rows in zip(places, detect_stack(np.stack([images[i] for i in places]), config, readers), strict=True):
                             found[i] = rows
                     out = [d | {"image_id": key, "corners": [v for p in d["corners"] for v in p]} for key, rows in zip(keys, found, strict=True) for d in rows]

@@ -41,18 +41,27 @@ def _images(batches):
         ids, ws, hs, data = (batch.column(batch.schema.get_field_index(n)) for n in ("image_id", "width", "height", "data"))
         for i in range(batch.num_rows):
             w, h = ws[i].as_py(), hs[i].as_py()
-            yield ids[i].as_py(), np.frombuffer(data[i].as_py(), np.uint8)[: w * h].reshape(h, w)
+            yield ids[i].as_py(), np.frombuffer(data[i].as_buffer(), np.uint8)[: w * h].reshape(h, w)
+
+
+def _stacks(batches):
+    """Keys and stacks of the frames of one size in each batch."""
+    for batch in batches:
+        every = list(_images([batch]))
+        for places in kernels.stacks([im for _, im in every]):
+            yield [every[i][0] for i in places], np.stack([every[i][1] for i in places])
 
 
 def map_frames(frames: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Apply an image function to every frame."""
+    """Apply an image function to every frame; it takes stacks of frames of one size as well."""
 
     def run(batches):
         import pyarrow as pa
 
-        for key, im in _images(batches):
-            out = np.ascontiguousarray(f(im), np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([out.shape[1]], pa.int32()), pa.array([out.shape[0]], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["image_id", "width", "height", "data"])
+        for keys, stack in _stacks(batches):
+            out = np.ascontiguousarray(f(stack), np.uint8)
+            n, h, w = out.shape
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.full(n, w, np.int32)), pa.array(np.full(n, h, np.int32)), pa.array([i.tobytes() for i in out], pa.binary())], names=["image_id", "width", "height", "data"])
 
     return frames.select("image_id", "width", "height", "data").mapInArrow(run, FRAME)
 
@@ -77,13 +86,18 @@ def unpack(frames: DataFrame) -> DataFrame:
 
 
 def labels(ternary: DataFrame) -> DataFrame:
-    """image_id, pix_id, rep: the component of every pixel, named by its least pixel."""
+    """Pixel rows (image_id, w, h, x, y, v, pix_id) with the component of every pixel, named by its least pixel (rep), and its size."""
 
     def run(batches):
         import pyarrow as pa
 
-        for key, im in _images(batches):
-            rep, _ = kernels.components(im)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(im.size, key)), pa.array(np.arange(im.size, dtype=np.int64)), pa.array(rep.ravel().astype(np.int64))], names=["image_id", "pix_id", "rep"])
+        for keys, stack in _stacks(batches):
+            n, h, w = stack.shape
+            rep, size = kernels.components(stack)
+            frame, pix = np.divmod(np.arange(stack.size), h * w)
+            y, x = np.divmod(pix, w)
+            small = [pa.array(a.astype(np.int32)) for a in (np.full(stack.size, w), np.full(stack.size, h), x, y, stack.ravel())]
+            wide = [pa.array(a) for a in (pix, rep.ravel() - frame * (h * w), size.ravel())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int64)[frame]), *small, *wide], names=["image_id", "w", "h", "x", "y", "v", "pix_id", "rep", "size"])
 
-    return ternary.select("image_id", "width", "height", "data").mapInArrow(run, "image_id bigint, pix_id bigint, rep bigint")
+    return ternary.select("image_id", "width", "height", "data").mapInArrow(run, "image_id bigint, w int, h int, x int, y int, v int, pix_id bigint, rep bigint, size bigint")

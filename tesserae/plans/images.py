@@ -143,7 +143,7 @@ def _ternary8(spark, sf_dir):
 
 query("cc_edges", f"WITH {_MO}, {_ternary('mo', 80, 80)}, {_edges_sql('tn', 80)} SELECT * FROM eg")(lambda s, d: pixels.component_edges(pixels.threshold(bridges.mosaic(s, d))))
 query("cc_labels", f"WITH RECURSIVE {_T8}, {_LB} SELECT image_id, pix_id, rep FROM lb")(lambda s, d: frames.labels(frames.pack(_ternary8(s, d))).select("image_id", "pix_id", "rep"))
-query("cc_sizes", f"WITH RECURSIVE {_T8}, {_LB} SELECT DISTINCT image_id, rep, size FROM sz")(lambda s, d: frames.labels(frames.pack(_ternary8(s, d))).groupBy("image_id", "rep").agg(F.count(F.lit(1)).alias("size")))
+query("cc_sizes", f"WITH RECURSIVE {_T8}, {_LB} SELECT DISTINCT image_id, rep, size FROM sz")(lambda s, d: frames.labels(frames.pack(_ternary8(s, d))).filter("pix_id = rep").select("image_id", "rep", "size"))
 
 # Clusters on 8 x 8 images, with a size limit of 2 so that small components count.
 _LEAST = 2
@@ -157,12 +157,7 @@ _CL = f"""{_GP}, k AS (SELECT image_id, c0, c1, count(*) AS n, min(x) AS x0, max
 
 
 def _points8(spark, sf_dir):
-    t = _ternary8(spark, sf_dir)
-    lab = frames.labels(frames.pack(t))
-    size = lab.groupBy("image_id", "rep").agg(F.count(F.lit(1)).alias("size"))
-    lab = lab.join(size, ["image_id", "rep"])
-    labelled = t.withColumn("pix_id", (F.col("y") * F.col("w") + F.col("x")).cast("bigint")).join(lab, ["image_id", "pix_id"])
-    return pixels.gradient_points(labelled, _LEAST)
+    return pixels.gradient_points(frames.labels(frames.pack(_ternary8(spark, sf_dir))), _LEAST)
 
 
 query("gradient_points", f"WITH RECURSIVE {_GP} SELECT * FROM gp")(lambda s, d: _points8(s, d).drop("w", "h"))

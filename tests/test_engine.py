@@ -8,10 +8,10 @@ import pytest
 
 from tesserae import families
 from tesserae.config import Camera, ConfigError, DetectorConfig, FamilyError, QuadParams, gaussian_kernel, load_config
-from tesserae.detector import DetectorBuilder, _Reader, detect_one
+from tesserae.detector import DetectorBuilder, _Reader, detect_one, detect_stack
 from tesserae.functions import algebra, geometry
 from tesserae.operators import analytics, decode, frames, kernels, pixels, pose, reconcile
-from tesserae.sources import generators, pnm, records
+from tesserae.sources import generators, pnm, records, scenes
 
 WORDS36 = [51559569327, 10220429184, 10179510348, 57948543051]
 
@@ -334,6 +334,41 @@ def test_algebra():
     assert np.allclose(kernels.fit_homography(src, kernels.project(h, src)), h)
 
 
+def test_stacks_give_what_single_frames_give(monkeypatch):
+    fams = [families.family(n) for n in ("tag25h9", "tag36h11")]
+    readers = [_Reader(f, 1) for f in fams]
+    images = [scenes.pair_scene(k, *fams) for k in range(12)] + [np.full((40, 40), 90, np.uint8), np.zeros((5, 5), np.uint8)]
+    config = DetectorConfig(quad_sigma=-0.8)
+    alone = [detect_one(im, config, readers) for im in images]
+    assert sum(map(len, alone)) >= 20
+    for most in (1, 30000, 1 << 18):
+        monkeypatch.setattr(kernels, "STACK", most)
+        seen = []
+        for places in kernels.stacks(images):
+            seen += places
+            assert detect_stack(np.stack([images[i] for i in places]), config, readers) == [alone[i] for i in places]
+        assert sorted(seen) == list(range(len(images)))
+
+
+def test_stacks_of_poses():
+    cam, rng = Camera(0.1, 600, 620, 320, 240), np.random.default_rng(5)
+    source = np.array([(-1, 1), (1, 1), (1, -1), (-1, -1)], np.float64)
+    corners = np.array([(300, 260), (360, 255), (355, 200), (298, 205)], float) + rng.normal(0, 4, (30, 4, 2))
+    h, sound = kernels.homographies(corners, source)
+    assert sound.all() and pose.solve_all(h[:0], corners[:0], cam) == []
+    for one, (found, why) in zip(zip(h, corners, strict=True), pose.solve_all(h, corners, cam), strict=True):
+        want, reason = pose.solutions(*one, cam)
+        assert why == reason and len(found) == len(want)
+        for a, b in zip(found, want, strict=True):
+            assert all(np.allclose(p, q) for p, q in zip(a, b, strict=True)) and np.isclose(np.linalg.det(a[0]), 1)
+    # After many steps the translation is the best for its rotation, and the error is that of both.
+    for one, (found, _) in zip(corners, pose.solve_all(h, corners, cam, 5000), strict=True):
+        for r, t, error in found:
+            v, p = pose.rays(one, cam), pose.object_points(cam) @ r.T
+            off = [sum(np.linalg.norm(np.cross(ray, q + t + d)) ** 2 / (ray @ ray) for ray, q in zip(v, p, strict=True)) for d in (np.zeros(3), *np.eye(3) * 1e-4, *np.eye(3) * -1e-4)]
+            assert np.isclose(off[0], error) and min(off[1:]) >= error
+
+
 def test_merging_finds_the_corners():
     fam = families.family("tag25h9")
     im = scene(fam, 4, 0, 7)
