@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.sources import pnm
+
 
 def checkerboard(spark: SparkSession, width: int, height: int, cell: int, images: int = 1) -> DataFrame:
     """Pixel rows of boards that begin with black."""
@@ -37,6 +39,13 @@ def from_arrays(spark: SparkSession, images: dict[int, np.ndarray]) -> DataFrame
     return spark.createDataFrame(rows, "image_id bigint, width int, height int, data binary")
 
 
+def from_colour(spark: SparkSession, images: dict[int, np.ndarray], order: str = "rgb") -> DataFrame:
+    """Gray frames from arrays [y, x, channel] in the order ``rgb`` or ``bgr``."""
+    if order not in ("rgb", "bgr"):
+        raise ValueError(f"no order {order!r} of channels")
+    return from_arrays(spark, {k: pnm.to_luma(im if order == "rgb" else im[..., ::-1]) for k, im in images.items()})
+
+
 def from_strided(frames: DataFrame, stride: str = "stride") -> DataFrame:
     """Frames whose rows are ``stride`` bytes apart, packed."""
     rows = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda i: F.substring(F.col("data"), i * F.col(stride) + 1, F.col("width")))

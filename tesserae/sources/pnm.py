@@ -7,6 +7,7 @@ the ``pnm`` DataSource does the same under ``spark.read.format("pnm")``.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -90,6 +91,11 @@ def read_frames(spark: SparkSession, folder: str, glob: str = "*.{pnm,pgm,ppm,pb
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     if files.isEmpty():
         raise FileNotFoundError(f"no image in {folder}")
+    return decoded(files)
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """Gray frames of ``binaryFile`` rows of anymaps, also of a stream."""
     return files.select("path", F.xxhash64("path").alias("image_id"), "content").mapInArrow(_frame_rows, FRAMES)
 
 
@@ -110,7 +116,7 @@ def read_images(spark: SparkSession, folder: str, glob: str = "*.{png,jpg,jpeg}"
 
 
 def save_frames(frames: DataFrame, folder: str) -> int:
-    """Write every frame as ``<image_id>.pnm`` to a folder that all executors share."""
+    """Write every frame as ``<image_id>.pnm`` to a folder that all executors share. A file appears whole, also where a task runs twice."""
 
     def run(batches):
         import pyarrow as pa
@@ -121,8 +127,10 @@ def save_frames(frames: DataFrame, folder: str) -> int:
         n = 0
         for batch in batches:
             for r in batch.select(["image_id", "width", "height", "data"]).to_pylist():
-                with store.open_output_stream(f"{base}/{r['image_id']}.pnm") as out:
+                new = f"{base}/.{r['image_id']}.{uuid.uuid4().hex}"
+                with store.open_output_stream(new) as out:
                     out.write(write(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"])))
+                store.move(new, f"{base}/{r['image_id']}.pnm")
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 

@@ -14,6 +14,12 @@ def read_runs(spark: SparkSession, *paths: str) -> DataFrame:
     return analytics.from_records(spark.read.text(list(paths)).filter(F.trim("value") != ""))
 
 
+def malformed(spark: SparkSession, *paths: str) -> DataFrame:
+    """Number of lines that :func:`read_runs` leaves out because they can't be read (lines, path), for a warning; files without such are absent."""
+    text = spark.read.text(list(paths)).filter(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("path"))
+    return text.filter(F.from_json("value", analytics.RUN_SCHEMA)["label"].isNull()).groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def append_runs(rows: DataFrame, folder: str) -> None:
     """Append one JSON document a run."""
     analytics.to_records(rows).write.mode("append").text(folder)

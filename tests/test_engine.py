@@ -6,12 +6,14 @@ import math
 import numpy as np
 import pytest
 
+from tesserae import __main__ as main
 from tesserae import families
 from tesserae.config import Camera, ConfigError, DetectorConfig, FamilyError, QuadParams, gaussian_kernel, load_config
 from tesserae.detector import DetectorBuilder, _Reader, detect_one, detect_stack
 from tesserae.functions import algebra, geometry
 from tesserae.operators import analytics, decode, frames, kernels, pixels, pose, reconcile
 from tesserae.sources import generators, pnm, records, scenes
+from tesserae.streaming import frames as stream
 
 WORDS36 = [51559569327, 10220429184, 10179510348, 57948543051]
 
@@ -350,6 +352,31 @@ def test_stacks_give_what_single_frames_give(monkeypatch):
         assert sorted(seen) == list(range(len(images)))
 
 
+def test_image_files_as_a_stream(spark, tmp_path):
+    fam = families.family("tag25h9")
+    images = {k: scenes.scene(k, fam) for k in range(5)}
+    colour = {k: np.stack([im] * 3, -1) for k, im in images.items()}
+    for of in (generators.from_colour(spark, colour), generators.from_colour(spark, colour, "bgr")):
+        assert pnm.save_frames(of, f"file://{tmp_path}/in") == 5
+    assert sorted(p.name for p in (tmp_path / "in").iterdir() if p.suffix != ".crc") == [f"{k}.pnm" for k in range(5)]
+    blue = {1: np.dstack([np.full((9, 9), 200, np.uint8), np.zeros((9, 9, 2), np.uint8)])}
+    assert {pnm.to_luma(blue[1])[0, 0], bytes(generators.from_colour(spark, blue, "bgr").first()["data"])[0]} == {50}
+    found = main.detector(main.parser().parse_args(["detect", "", "--family", "tag25h9:1", "--family", "tag36h11", "--sigma", "-0.8"]))
+    assert [(f.name, e) for f, e in found.families] == [("tag25h9", 1), ("tag36h11", 2)] and found.config.quad_sigma == -0.8
+    for most, want in ((None, [0, 1, 2, 3, 4]), (3, None)):
+        out = str(tmp_path / f"out{most}")
+        stream.detect_stream(found, stream.image_stream(spark, str(tmp_path / "in"), files_per_batch=2, max_frames=most), out, str(tmp_path / f"check{most}")).awaitTermination()
+        ids = sorted(r["id"] for r in spark.read.parquet(out).collect())
+        assert ids == want if want else len(ids) == 3
+
+
+def test_malformed_lines_are_counted(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"label": "x", "images": []}\n\nnot json\n{"images": []}\n')
+    (tmp_path / "b.jsonl").write_text('{"label": "y", "images": []}\n')
+    (row,) = records.malformed(spark, str(tmp_path)).collect()
+    assert row["lines"] == 2 and row["path"].endswith("a.jsonl")
+
+
 def test_stacks_of_poses():
     cam, rng = Camera(0.1, 600, 620, 320, 240), np.random.default_rng(5)
     source = np.array([(-1, 1), (1, 1), (1, -1), (-1, -1)], np.float64)
