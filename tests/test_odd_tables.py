@@ -2,8 +2,25 @@
 
 import math
 
+import pytest
+
 from tesserae.operators import analytics
 
+ENTRY = __import__("__spark_entry__")
+
+
+@pytest.fixture(scope="module")
+def holes(spark, tmp_path_factory):
+    """Embeddings of two mosaics: one without its last rows of cells, one without some in the middle."""
+    import duckdb
+
+    folder, con = str(tmp_path_factory.mktemp("holes")), duckdb.connect()
+    gone = [*range(57, 100), 117, 144, 145, 146, 155, 199]
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter(f"vec_id < 200 AND NOT vec_id IN ({', '.join(map(str, gone))})")
+    rows.coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    return con, folder
+
 
 def test_shares_of_a_total_of_zero(spark):
     rows = [("a", 1, 0, 0, 5), ("a", 1, 0, 1, -5), ("a", 1, 0, 2, -1), ("a", 1, 0, 3, 1), ("b", 1, 0, 0, 0), ("c", 1, 0, 0, 1), ("c", 1, 0, 1, 3), ("d", 1, 0, 0, None)]
@@ -11,3 +28,14 @@ def test_shares_of_a_total_of_zero(spark):
     got = {(r["label"], r["seq"]): (r["cumulative"], r["pct"]) for r in analytics.cumulative(df).collect()}
     assert [got["a", i] for i in (0, 2)] == [(5, math.inf), (-1, -math.inf)] and [got["c", i] for i in (0, 1)] == [(1, 25.0), (4, 100.0)]
     assert all(got[k][0] == 0 and math.isnan(got[k][1]) for k in (("a", 1), ("a", 3), ("b", 0))) and got["d", 0] == (None, None)
+
+
+def _query_equals_sql(spark, duck, folder, name):
+    df, want = ENTRY.queries()[name](spark, folder), duck.sql(ENTRY.oracle_sql()[name])
+    columns = sorted(df.columns)
+    assert sorted(tuple(r) for r in df.select(*columns).collect()) == sorted(want.select(*columns).fetchall())
+
+
+@pytest.mark.parametrize("name", ["blur_h", "blur_sep", "sharpen", "image_diff"])
+def test_blurs_of_images_that_lack_pixels(spark, holes, name):
+    _query_equals_sql(spark, *holes, name)
