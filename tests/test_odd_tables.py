@@ -2,9 +2,10 @@
 
 import math
 
+import numpy as np
 import pytest
 
-from tesserae.operators import analytics
+from tesserae.operators import analytics, frames, pixels
 
 ENTRY = __import__("__spark_entry__")
 
@@ -39,3 +40,29 @@ def _query_equals_sql(spark, duck, folder, name):
 @pytest.mark.parametrize("name", ["blur_h", "blur_sep", "sharpen", "image_diff"])
 def test_blurs_of_images_that_lack_pixels(spark, holes, name):
     _query_equals_sql(spark, *holes, name)
+
+
+@pytest.mark.parametrize("name", ["threshold_arrow", "threshold_odd"])
+def test_thresholds_of_images_that_lack_pixels(spark, holes, name):
+    _query_equals_sql(spark, *holes, name)
+
+
+def test_forms_agree_where_pixels_are_missing(spark):
+    """Whole cells, single pixels and all of some tiles are missing; the last row and column are partial tiles."""
+    rng, w, h = np.random.default_rng(3), 22, 19
+    rows = [(i, w, h, x, y, int(rng.integers(0, 256))) for i in range(6) for y in range(h) for x in range(w) if i % 3 == 0 or (rng.random() > 0.3 and not (i == 1 and x // 4 in (1, 4)) and not (i == 4 and y // 4 in (0, 3)))]
+    px = spark.createDataFrame(rows, "image_id bigint, w int, h int, x int, y int, v int")
+    assert sorted(map(tuple, frames.unpack(frames.pack(px)).collect())) == sorted(rows)
+    slow, fast = pixels.threshold(px), frames.threshold(frames.pack(px))
+    assert sorted(map(tuple, frames.unpack(fast).collect())) == sorted(map(tuple, slow.collect()))
+    found = {(r["image_id"], r["y"] * w + r["x"]): r["rep"] for r in frames.labels(fast).collect()}
+    assert len(found) == slow.count() < len(rows)
+    assert all(found[i, rep] == rep for (i, _), rep in found.items())
+
+
+def test_sizes_change_for_whole_frames_only(spark):
+    px = spark.createDataFrame([(1, 4, 4, x, y, 9) for y in range(4) for x in range(4)] + [(2, 4, 4, 0, 0, 9)], "image_id bigint, w int, h int, x int, y int, v int")
+    half = lambda p: frames.map_frames(frames.pack(p), lambda im: im[..., ::2, ::2]).collect()
+    assert [(r["width"], bytes(r["data"]), r["known"]) for r in half(px.filter("image_id = 1"))] == [(2, b"\x09" * 4, None)]
+    with pytest.raises(Exception, match="whole frames only"):
+        half(px)
