@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from tesserae.operators import analytics, frames, pixels
+from tesserae.operators import analytics, frames, moments, pixels
 
 ENTRY = __import__("__spark_entry__")
 
@@ -66,3 +66,12 @@ def test_sizes_change_for_whole_frames_only(spark):
     assert [(r["width"], bytes(r["data"]), r["known"]) for r in half(px.filter("image_id = 1"))] == [(2, b"\x09" * 4, None)]
     with pytest.raises(Exception, match="whole frames only"):
         half(px)
+
+
+def test_line_errors_that_are_decimal_fractions(spark):
+    """Of 312.1875 and 44.6875 the third decimal hangs on the last bit; points in one place have no normal."""
+    points = {1: [(50, 33, 5), (4, 50, 5), (41, 87, 2)], 2: [(40, 0, 1), (14, 78, 3), (29, 88, 5), (27, 39, 3)], 3: [(49, 97, 3)] * 3}
+    df = spark.createDataFrame([(k, *p) for k, ps in points.items() for p in ps], "k int, x bigint, y bigint, w bigint")
+    got = {r["k"]: r for r in moments.cluster_lines(df, ["k"]).collect()}
+    assert [got[k]["mse"] for k in (1, 2, 3)] == [312.1875, 44.6875, 0.0]
+    assert [round(math.hypot(got[k]["nx"], got[k]["ny"]), 9) for k in (1, 2, 3)] == [1, 1, 0]
