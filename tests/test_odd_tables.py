@@ -5,7 +5,10 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tesserae.operators import analytics, frames, moments, pixels
+from tesserae.sources import scenes
 
 ENTRY = __import__("__spark_entry__")
 
@@ -75,3 +78,10 @@ def test_line_errors_that_are_decimal_fractions(spark):
     got = {r["k"]: r for r in moments.cluster_lines(df, ["k"]).collect()}
     assert [got[k]["mse"] for k in (1, 2, 3)] == [312.1875, 44.6875, 0.0]
     assert [round(math.hypot(got[k]["nx"], got[k]["ny"]), 9) for k in (1, 2, 3)] == [1, 1, 0]
+
+
+def test_tasks_of_scenes_grow_in_number_only(spark, tmp_path, monkeypatch):
+    spark.range(1000).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(scenes, "TASK", 50)
+    rows = scenes.frames(spark, str(tmp_path)).select("image_id").withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("image_id").alias("n"), F.sum("image_id").alias("s")).collect()
+    assert len(rows) == 20 and max(r["n"] for r in rows) <= 60 and sum(r["s"] for r in rows) == 999 * 500
