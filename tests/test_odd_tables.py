@@ -7,6 +7,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from tesserae import families
+from tesserae.config import DetectorConfig, QuadParams
+from tesserae.detector import _Reader, detect_one
 from tesserae.operators import analytics, frames, moments, pixels
 from tesserae.sources import scenes
 
@@ -80,6 +83,15 @@ def test_line_errors_that_are_decimal_fractions(spark):
     assert [round(math.hypot(got[k]["nx"], got[k]["ny"]), 9) for k in (1, 2, 3)] == [1, 1, 0]
 
 
+def test_noise_is_no_marker():
+    """Beside the marker of this scene lies noise whose word is two bits from a code."""
+    config, read = DetectorConfig(qtp=QuadParams(full_blur=True)), [_Reader(families.family("tag36h11"), 2)]
+    im = scenes.tilted_scene(49230, read[0].family)
+    assert [(d["id"], d["hamming"]) for d in detect_one(im, config, read)] == [(49230 % 587, 0)]
+    faint = np.rint((im - 128.0) / 15 + 128).astype(np.uint8)  # a marker of little contrast is found still
+    assert [(d["id"], d["hamming"]) for d in detect_one(faint, config, read)] == [(49230 % 587, 0)]
+
+
 def test_tasks_of_scenes_grow_in_number_only(spark, tmp_path, monkeypatch):
     spark.range(1000).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     monkeypatch.setattr(scenes, "TASK", 50)
